@@ -167,6 +167,7 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").alias("first_seen_at"),
         F.col("o_totalprice").alias("price"),
         F.col("o_orderpriority").alias("kind"),
+        key.alias("owner_id"),
     )
 
 
@@ -177,6 +178,7 @@ SELECT o_orderkey AS listing_id,
        CASE WHEN o_orderkey % 5 > 0 THEN 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0')
             || CASE o_orderkey % 5 WHEN 1 THEN ' b' WHEN 2 THEN ' xyzuvw' ELSE '' END END AS address_normalized,
        CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_custkey AS VARCHAR) END AS ruian_address_code,
-       o_orderdate AS first_seen_at, o_totalprice AS price, o_orderpriority AS kind
+       o_orderdate AS first_seen_at, o_totalprice AS price, o_orderpriority AS kind,
+       o_custkey AS owner_id
 FROM orders
 """
