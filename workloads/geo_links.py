@@ -142,7 +142,7 @@ SELECT CAST(sum(n) AS BIGINT) AS count, round(sum(lat * n) / sum(n), 6) AS lat,
 FROM comp JOIN v USING (id) GROUP BY c"""
 
 
-MAP_EPS = 0.0061
+MAP_EPS = 0.0081
 
 
 @query("J12_W5_A7_density_clusters", _components_sql(MAP_EPS))
