@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +35,15 @@ def all_of(conditions: Iterable[Column]) -> Column:
     return out
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row however often ``use`` reads it.
+
+    Conditional branches are not covered by common-subexpression elimination, so a ladder of
+    tests on a folded text would otherwise fold the text again for every test.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fixed_map(mapping: dict) -> Column:
     """A literal map column from a small driver-side table."""
     pairs: list[Column] = []

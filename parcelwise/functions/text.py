@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parcelwise.functions.keys import fixed_map
+from parcelwise.functions.keys import fixed_map, let
 
 # Room layouts with the pattern that names each one, in the order they are tried.
 DISPOSITION_PATTERNS = [
@@ -148,15 +148,18 @@ def _first(branches: list[tuple[Column, Column | str]]) -> Column:
 
 
 def _words_to_value(col: Column, words: dict[str, str], exact_first: bool) -> Column:
-    key = normalize_for_match(col)
-    contained = _first([(F.contains(key, F.lit(w)), v) for w, v in words.items()])
-    found = F.coalesce(fixed_map(words)[key], contained) if exact_first else contained
-    return F.when(col != "", found)
+    def look_up(key: Column) -> Column:
+        contained = _first([(F.contains(key, F.lit(w)), v) for w, v in words.items()])
+        return F.coalesce(fixed_map(words)[key], contained) if exact_first else contained
+
+    return F.when(col != "", let(normalize_for_match(col), look_up))
 
 
 def parse_disposition(col: Column) -> Column:
-    folded = strip_diacritics(col)
-    return _first([(folded.rlike("(?iU)" + p), v) for p, v in DISPOSITION_PATTERNS])
+    return let(
+        strip_diacritics(col),
+        lambda folded: _first([(folded.rlike("(?iU)" + p), v) for p, v in DISPOSITION_PATTERNS]),
+    )
 
 
 def parse_ownership(col: Column, strict: bool = False) -> Column:
@@ -181,20 +184,23 @@ def parse_energy_class(col: Column) -> Column:
 
 def parse_floor(col: Column) -> Column:
     """struct<current, total>: ground-floor words, 'x of y', else a lone number."""
-    text = normalize_for_match(col)
     pair = r"(-?\d+)\s*\.?\s*(?:patro|np|podlazi)?\s*(?:z|of|/)\s*(\d+)"
     lone = r"(?U)\b(-?\d+)\b"
-    nothing = F.lit(None).cast("int")
-    current = (
-        F.when(text.rlike(r"(?U)\b(prizemi|zvysene\s*prizemi)\b"), F.lit(0))
-        .when(text.rlike(pair), F.regexp_extract(text, pair, 1).try_cast("int"))
-        .when(text.rlike(lone), F.regexp_extract(text, lone, 1).try_cast("int"))
-    )
-    total = F.when(
-        ~text.rlike(r"(?U)\b(prizemi|zvysene\s*prizemi)\b") & text.rlike(pair),
-        F.regexp_extract(text, pair, 2).try_cast("int"),
-    ).otherwise(nothing)
-    return F.struct(current.alias("current"), total.alias("total"))
+    ground = r"(?U)\b(prizemi|zvysene\s*prizemi)\b"
+
+    def read(text: Column) -> Column:
+        current = (
+            F.when(text.rlike(ground), F.lit(0))
+            .when(text.rlike(pair), F.regexp_extract(text, pair, 1).try_cast("int"))
+            .when(text.rlike(lone), F.regexp_extract(text, lone, 1).try_cast("int"))
+        )
+        total = F.when(
+            ~text.rlike(ground) & text.rlike(pair),
+            F.regexp_extract(text, pair, 2).try_cast("int"),
+        )
+        return F.struct(current.alias("current"), total.alias("total"))
+
+    return let(normalize_for_match(col), read)
 
 
 def normalize_address(col: Column) -> Column:

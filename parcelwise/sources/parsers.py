@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.functions import text as t
-from parcelwise.functions.keys import fixed_map
+from parcelwise.functions.keys import fixed_map, let
 from parcelwise.schemas import DETAIL, FEATURES, VOCABULARIES
 
 Parser = Callable[[DataFrame], DataFrame]
@@ -138,53 +138,49 @@ def split_locality(whole: Column) -> Column:
     return F.struct(district.alias("city_district"), locality.alias("locality"))
 
 
-def _last_value(routed: Column, target: str) -> Column:
-    """Value of the last item routed to ``target``."""
-    hits = F.filter(routed, lambda r: r["target"] == target)
-    return F.get(hits, F.size(hits) - 1)["value"]
-
-
-def _last_per_key(entries: Column) -> Column:
-    """Drop entries whose key comes again later."""
-    n = F.size(entries)
-    keep = F.filter(
-        entries,
-        lambda e, i: ~F.exists(F.slice(entries, i + 2, n), lambda later: later["key"] == e["key"]),
-    )
-    return keep
+_ITEMS = "array<struct<name:string,value:string,unit:string,type:string>>"
+_RAW = "raw:"
 
 
-def routed_items(items: Column) -> Column:
-    """Items with their target; NULL-named items are skipped."""
+def item_facts(items: Column) -> Column:
+    """map<target, struct<value, unit>> of the items; the last item of a target wins, an unknown
+    label is kept under 'raw:<label>', nameless items are skipped."""
     named = F.filter(F.coalesce(items, F.array().cast(_ITEMS)), lambda i: i["name"].isNotNull())
-    return F.transform(
+    entries = F.transform(
         named,
         lambda i: F.struct(
-            i["name"].alias("name"), i["value"].alias("value"), i["unit"].alias("unit"),
-            item_target(i["name"]).alias("target"),
+            F.coalesce(item_target(i["name"]), F.concat(F.lit(_RAW), i["name"])).alias("key"),
+            F.struct(i["value"].alias("value"), i["unit"].alias("unit")).alias("value"),
         ),
     )
 
+    def newest(all_entries: Column) -> Column:
+        keys, n = all_entries["key"], F.size(all_entries)
+        return F.filter(
+            all_entries,
+            lambda e, i: F.array_position(F.slice(keys, i + 2, n), e["key"]) == 0,
+        )
 
-_ITEMS = "array<struct<name:string,value:string,unit:string,type:string>>"
+    return F.map_from_entries(let(entries, newest))
 
 
-def extra_features(routed: Column) -> Column:
+def extra_features(facts: Column) -> Column:
     """map of free-form facts: unknown labels as they are, 'extra' targets with their unit."""
-    loose = F.filter(
-        routed, lambda r: r["target"].isNull() | F.startswith(r["target"], F.lit("extra:"))
+    loose = F.map_filter(
+        facts, lambda k, _: F.startswith(k, F.lit(_RAW)) | F.startswith(k, F.lit("extra:"))
     )
-    entries = F.transform(
+    shown = F.transform_values(
         loose,
-        lambda r: F.struct(
-            F.coalesce(F.substring_index(r["target"], ":", -1), r["name"]).alias("key"),
-            F.when(
-                r["target"].isNotNull() & (r["unit"] != ""),
-                F.to_json(F.struct(r["value"].alias("value"), r["unit"].alias("unit"))),
-            ).otherwise(r["value"]).alias("value"),
-        ),
+        lambda k, v: F.when(
+            F.startswith(k, F.lit("extra:")) & (v["unit"] != ""), F.to_json(v)
+        ).otherwise(v["value"]),
     )
-    return F.map_from_entries(_last_per_key(entries))
+    return F.transform_keys(shown, lambda k, _: F.substring(k, F.instr(k, ":") + 1, F.length(k)))
+
+
+def unknown_labels(facts: Column) -> Column:
+    raw = F.filter(F.map_keys(facts), lambda k: F.startswith(k, F.lit(_RAW)))
+    return F.transform(raw, lambda k: F.substring(k, len(_RAW) + 1, F.length(k)))
 
 
 @parser("portal")
@@ -198,7 +194,12 @@ def parse_detail(raw: DataFrame) -> DataFrame:
     doc = raw.withColumn("d", F.from_json("payload", DETAIL))
     cut = doc.select(
         *raw.columns,
-        F.col("d").isNull().alias("__bad_json"),
+        # a document that fails to parse yields all-NULL fields; only then look at it again
+        F.when(
+            F.coalesce("d.name", "d.price", "d.price_czk", "d.locality", "d.text",
+                       F.col("d.seo").cast("string"), F.col("d.items").cast("string")).isNull(),
+            F.json_object_keys("payload").isNull(),
+        ).otherwise(F.col("payload").isNull()).alias("__bad_json"),
         json_int(F.col("d.seo.category_main_cb")).cast("int").alias("__main"),
         json_int(F.col("d.seo.category_type_cb")).cast("int").alias("__type"),
         listed_price(F.col("d.price_czk"), F.col("d.price"), F.col("d.price_hidden")).alias("__price"),
@@ -211,9 +212,9 @@ def parse_detail(raw: DataFrame) -> DataFrame:
         ).alias("__name"),
         F.col("d.meta_description").alias("__meta"),
         F.coalesce(t.non_blank(F.col("d.currency")), F.lit("CZK")).alias("currency"),
-        routed_items(F.col("d.items")).alias("__items"),
+        item_facts(F.col("d.items")).alias("__items"),
     )
-    top = lambda k: _last_value(F.col("__items"), f"top:{k}")
+    top = lambda k: F.col("__items")[f"top:{k}"]["value"]
     fields = cut.select(
         "*",
         *[
@@ -252,15 +253,13 @@ def parse_detail(raw: DataFrame) -> DataFrame:
         F.col("__geo.lat").alias("lat"),
         F.col("__geo.lon").alias("lon"),
         *[
-            t.to_bool(_last_value(F.col("__items"), f"feat:{f}")).alias(f)
+            t.to_bool(F.col("__items")[f"feat:{f}"]["value"]).alias(f)
             for f in FEATURES[:7]
         ],
         "description",
         F.lit("active").alias("status"),
         extra_features(F.col("__items")).alias("extra_features"),
-        F.transform(
-            F.filter("__items", lambda r: r["target"].isNull()), lambda r: r["name"]
-        ).alias("unknown_keys"),
+        unknown_labels(F.col("__items")).alias("unknown_keys"),
         F.lit(PARSER_VERSION).alias("parser_version"),
         F.array_compact(
             F.array(
