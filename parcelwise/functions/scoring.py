@@ -367,7 +367,8 @@ def precision_factor(precision: Column) -> Column:
 def age_days(first_seen: Column, as_of: Column) -> Column:
     """Whole 24-hour periods between the two, never negative."""
     micros = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(first_seen.cast("timestamp"))
-    return F.greatest(F.floor(micros / 86_400_000_000), F.lit(0)).cast("long")
+    whole = F.greatest(F.floor(micros / 86_400_000_000), F.lit(0)).cast("long")
+    return F.when(micros.isNotNull(), whole)
 
 
 def freshness_factor(days: Column) -> Column:
@@ -392,7 +393,8 @@ def confidence(
 
 
 def raw_liquidity(dom: Column, turnover: Column) -> Column:
-    d = F.coalesce(F.greatest(dom.cast("double"), F.lit(0.0)), F.lit(60.0))
+    # greatest() skips NULLs, so a missing value is replaced before the clamp
+    d = F.greatest(F.coalesce(dom.cast("double"), F.lit(60.0)), F.lit(0.0))
     t = F.coalesce(turnover.cast("double"), F.lit(0.1))
     return (
         F.when(dom.isNull() & turnover.isNull(), _null("double"))

@@ -95,9 +95,8 @@ def with_property(listings: DataFrame, properties: DataFrame, how: str = "left")
 def with_source_slug(listings: DataFrame, sources: dict[int, str]) -> DataFrame:
     """Name of the feed, 'unknown' for an unregistered id. The register is a handful of rows
     known on the driver, so it is a literal, not a join."""
-    return listings.withColumn(
-        "source_slug", F.coalesce(fixed_map(sources)[F.col("source_id")], F.lit("unknown"))
-    )
+    named = fixed_map(sources)[F.col("source_id")] if sources else F.lit(None)
+    return listings.withColumn("source_slug", F.coalesce(named, F.lit("unknown")))
 
 
 SUMMARY_COLUMNS = [
@@ -126,7 +125,7 @@ def search(
         page = with_property(page, properties)
     page = page.where(listing_filter(**criteria)).orderBy(*order).offset(offset).limit(limit)
     if not on_property:
-        page = with_property(page, properties)
+        page = with_property(page, properties).orderBy(*order)
     page = with_source_slug(page, sources)
     return page.select(*[c for c in SUMMARY_COLUMNS if c in page.columns])
 

@@ -175,9 +175,21 @@ def _pins(spark, sf_dir):
     )
 
 
-@query("M1_A7_map_clusters_zoom_11")
+def _map_sql(zoom: int) -> str:
+    eps = search.map_eps(zoom)
+    return f"""
+WITH RECURSIVE v AS (SELECT property_id AS id, lat, lon, count(*) AS n FROM ({L}) JOIN ({P}) USING (property_id)
+   WHERE status = 'active' AND {IN_BOX} GROUP BY ALL),
+e AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON sqrt((a.lat - b.lat) * (a.lat - b.lat) + (a.lon - b.lon) * (a.lon - b.lon)) <= {eps}),
+walk(id, seen) AS (SELECT id, id FROM v UNION SELECT e.b, walk.seen FROM walk JOIN e ON e.a = walk.id),
+comp AS (SELECT id, min(seen) AS c FROM walk GROUP BY id)
+SELECT CAST(sum(n) AS BIGINT) AS count, {r("sum(lat * n) / sum(n)", 6)} AS lat, {r("sum(lon * n) / sum(n)", 6)} AS lon
+FROM comp JOIN v USING (id) GROUP BY c"""
+
+
+@query("M1_A7_map_clusters_below_pin_zoom", _map_sql(8))
 def _map_clusters(spark, sf_dir):
-    found = search.map_view(ad.listings(spark, sf_dir), ad.properties(spark, sf_dir), BOX, zoom=11)
+    found = search.map_view(ad.listings(spark, sf_dir), ad.properties(spark, sf_dir), BOX, zoom=8)
     return rounded(found, 6)
 
 

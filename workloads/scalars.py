@@ -347,7 +347,7 @@ def _complete(spark, sf_dir):
 @query(
     "Q1_Q2_liquidity",
     f"""WITH x AS (SELECT p_partkey, CASE WHEN p_size % 5 > 0 THEN p_size * 4 - 20 END AS dom, CASE WHEN p_size % 4 > 0 THEN (p_size % 7 - 1) / 10.0 END AS turn FROM part),
-y AS (SELECT p_partkey, turn, dom IS NULL AND turn IS NULL AS none, CASE WHEN coalesce(turn, 0.1) > 0 THEN -0.6 * coalesce(greatest(dom, 0), 60) - 0.4 / nullif(coalesce(turn, 0.1), 0) END AS raw FROM x)
+y AS (SELECT p_partkey, turn, dom IS NULL AND turn IS NULL AS none, CASE WHEN coalesce(turn, 0.1) > 0 THEN -0.6 * greatest(coalesce(dom, 60), 0) - 0.4 / nullif(coalesce(turn, 0.1), 0) END AS raw FROM x)
 SELECT p_partkey, CASE WHEN NOT none AND raw IS NOT NULL THEN {r("raw")} END AS raw,
  CASE WHEN none THEN NULL WHEN raw IS NULL THEN {r("0.0")} ELSE {r("least(100, greatest(0, (raw + 100) / 90 * 100))")} END AS score FROM y""",
 )
