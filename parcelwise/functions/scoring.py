@@ -299,7 +299,7 @@ def ruin_keywords(description: Column) -> Column:
     return _mentions(description, RUIN_PATTERN)
 
 
-def risk_flags(
+def raised_flags(
     price: Column,
     size: Column,
     ownership: Column,
@@ -313,8 +313,8 @@ def risk_flags(
     description: Column,
     median: Column,
     p25: Column,
-) -> Column:
-    """Names of the raised flags, in the order of ``SEVERITIES``."""
+) -> dict[str, Column]:
+    """Boolean per flag, in the order of ``SEVERITIES``."""
     raised = {
         "price_too_low": price_too_low(price, size, p25),
         "legal_encumbrance": legal_encumbrance(description),
@@ -325,7 +325,24 @@ def risk_flags(
         "photo_count_low": few_photos(photo_count),
         "description_keywords": ruin_keywords(description),
     }
-    return F.array_compact(F.array(*[F.when(raised[n], F.lit(n)) for n in SEVERITIES]))
+    return {name: raised[name] for name in SEVERITIES}
+
+
+def flag_names(raised: Mapping[str, Column]) -> Column:
+    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in raised.items()]))
+
+
+def risk_flags(*inputs: Column) -> Column:
+    """Names of the raised flags (inputs as in :func:`raised_flags`)."""
+    return flag_names(raised_flags(*inputs))
+
+
+def risk_score_of(raised: Mapping[str, Column]) -> Column:
+    """The score of :func:`risk_score`, straight from the booleans."""
+    total = F.lit(0.0)
+    for name, c in raised.items():
+        total = total + F.when(c, SEVERITIES[name]).otherwise(0.0)
+    return F.least(total / SEVERITY_FOR_100 * 100.0, F.lit(100.0))
 
 
 def risk_score(flags: Column) -> Column:

@@ -42,22 +42,20 @@ MODEL_SCHEMA = (
 )
 
 
-def design(listings: DataFrame) -> DataFrame:
-    """Group columns, the target ``y`` and the features of every listing that can be priced.
+def design_columns(have: set[str]) -> list[Column]:
+    """Group columns, the target ``y`` and the features, from listing columns.
 
     Missing toggles count as absent, a missing floor as 0; categories stay NULL when unknown.
     """
-    have = set(listings.columns)
     flag = lambda c: (
         F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0)
     )
     text = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
     size = F.col("size_m2").cast("double")
-    return listings.select(
-        *[F.col(c) for c in ("listing_id",) if c in have],
+    return [
         s.parent_city(F.col("city_district")).alias("city"),
-        "property_type",
-        "ownership_type",
+        F.col("property_type"),
+        F.col("ownership_type"),
         F.log(s.ppm2(F.col("price"), F.col("size_m2"))).alias("y"),
         F.when(size > 0, F.log(F.when(size > 0, size))).alias("log_size_m2"),
         F.coalesce(F.col("floor_current").cast("double"), F.lit(0.0)).alias("floor_current"),
@@ -66,7 +64,11 @@ def design(listings: DataFrame) -> DataFrame:
         .cast("double").alias("top_floor_walkup"),
         *[text(c).alias(c) for c in CATEGORICAL[:-1]],
         s.year_bucket(F.col("year_built")).alias("year_built_bucket"),
-    )
+    ]
+
+
+def design(listings: DataFrame) -> DataFrame:
+    return listings.select(*design_columns(set(listings.columns)))
 
 
 def trainable(rows: DataFrame) -> DataFrame:
@@ -196,7 +198,7 @@ def fit_models(
 ) -> DataFrame:
     """One row per fitted group; groups with fewer than ``min_rows`` usable rows have none."""
     spark = listings.sparkSession
-    rows = materialize(trainable(design(listings)).drop("listing_id"))
+    rows = materialize(trainable(design(listings)))
     sizes = materialize(rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")))
     # at most rows / max_group_rows groups, so this read is small whatever the table's size
     large = [tuple(r) for r in sizes.where(F.col("n") > max_group_rows).select(*GROUP).collect()]
@@ -214,30 +216,46 @@ def fit_models(
     return materialize(models.unionByName(spark.createDataFrame(out, MODEL_SCHEMA)))
 
 
-def predicted_log(coefficients: Column, intercept: Column) -> Column:
-    """Prediction from the design columns; a level the model never saw counts as the reference."""
+def predicted_log(coefficients: Column, intercept: Column, row: Column) -> Column:
+    """Prediction from a design row; a level the model never saw counts as the reference."""
     total = intercept
     for name in CONTINUOUS + BINARY:
-        total = total + F.coalesce(coefficients[name], F.lit(0.0)) * F.col(name)
+        total = total + F.coalesce(coefficients[name], F.lit(0.0)) * row[name]
     for name in CATEGORICAL:
-        label = F.concat(F.lit(f"cat__{name}__"), F.col(name))
+        label = F.concat(F.lit(f"cat__{name}__"), row[name])
         total = total + F.coalesce(coefficients[label], F.lit(0.0))
     return total
 
 
-def predict(listings: DataFrame, models: DataFrame, keep: Sequence[str] = ("listing_id",)) -> DataFrame:
-    """keep columns, predicted_log, actual_log and hedonic_fit for every listing.
+def with_predictions(listings: DataFrame, models: DataFrame) -> DataFrame:
+    """Add predicted_log, actual_log and hedonic_fit to every listing.
 
-    The model table is broadcast only after its row count was checked.
+    One join with the model table, which is broadcast only after its row count was checked;
+    listings are neither shuffled nor joined with themselves in that case.
     """
     few = models.limit(MAX_BROADCAST_MODELS + 1).count() <= MAX_BROADCAST_MODELS
-    side = F.broadcast(models) if few else models
-    rows = design(listings)
-    return rows.join(
-        side.select(*GROUP, "intercept", "coefficients"), GROUP, "left"
-    ).select(
-        *keep,
-        predicted_log(F.col("coefficients"), F.col("intercept")).alias("predicted_log"),
-        F.col("y").alias("actual_log"),
-        F.col("intercept").isNotNull().alias("hedonic_fit"),
+    side = models.select(
+        *[F.col(g).alias(f"__{g}") for g in GROUP], F.col("intercept").alias("__intercept"),
+        F.col("coefficients").alias("__coefficients"),
+    )
+    rows = listings.withColumn("__x", F.struct(*design_columns(set(listings.columns))))
+    same = F.lit(True)
+    for g in GROUP:
+        same = same & (F.col(f"__x.{g}") == F.col(f"__{g}"))
+    joined = rows.join(F.broadcast(side) if few else side, same, "left")
+    return joined.select(
+        *listings.columns,
+        predicted_log(F.col("__coefficients"), F.col("__intercept"), F.col("__x"))
+        .alias("predicted_log"),
+        F.col("__x.y").alias("actual_log"),
+        F.col("__intercept").isNotNull().alias("hedonic_fit"),
+    )
+
+
+def predict(
+    listings: DataFrame, models: DataFrame, keep: Sequence[str] = ("listing_id",)
+) -> DataFrame:
+    """The ``keep`` columns with predicted_log, actual_log and hedonic_fit."""
+    return with_predictions(listings, models).select(
+        *keep, "predicted_log", "actual_log", "hedonic_fit"
     )

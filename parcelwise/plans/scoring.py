@@ -38,7 +38,7 @@ def with_model(population: DataFrame, models: DataFrame | None) -> DataFrame:
             F.log(s.ppm2(F.col("price"), F.col("size_m2"))).alias("actual_log"),
             F.lit(False).alias("hedonic_fit"),
         )
-    return population.join(hedonic.predict(population, models), "listing_id")
+    return hedonic.with_predictions(population, models)
 
 
 _OPTIONAL = {
@@ -95,11 +95,14 @@ def score_rows(
             c("predicted_log").isNotNull() & c("actual_log").isNotNull(),
             s.undervaluation_abs(c("predicted_log"), c("size_m2"), c("price")),
         ).alias("undervaluation_abs"),
-        s.risk_flags(
-            c("price"), c("size_m2"), c("ownership_type"), c("building_type"), c("year_built"),
-            c("floor_current"), c("floor_total"), c("has_lift"), c("energy_class"),
-            c("photo_count"), c("description"), c("__ppm2_median"), c("__ppm2_p25"),
-        ).alias("risk_flags"),
+        F.struct(*[
+            flag.alias(name)
+            for name, flag in s.raised_flags(
+                c("price"), c("size_m2"), c("ownership_type"), c("building_type"), c("year_built"),
+                c("floor_current"), c("floor_total"), c("has_lift"), c("energy_class"),
+                c("photo_count"), c("description"), c("__ppm2_median"), c("__ppm2_p25"),
+            ).items()
+        ]).alias("__flags"),
         s.completeness().alias("completeness"),
         s.age_days(c("first_seen_at"), as_of).alias("freshness_days"),
         s.liquidity_score(c("__dom_median_days"), c("__turnover_quarterly")).alias("liquidity_score"),
@@ -114,9 +117,11 @@ def score_rows(
             c("dist_park_m"), c("dist_road_m"),
         ).alias("location"),
     )
+    raised = {name: c(f"__flags.{name}") for name in s.SEVERITIES}
     scored = parts.select(
         "*",
-        s.risk_score(c("risk_flags")).alias("risk_score"),
+        s.risk_score_of(raised).alias("risk_score"),
+        s.flag_names(raised).alias("risk_flags"),
         s.confidence(
             c("sample_size"), c("relaxation_level"), c("completeness"), c("address_precision"),
             c("freshness_days"),
@@ -161,9 +166,10 @@ def nightly(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(today's statistics, models, scores) of a population.
 
-    The population is written once: statistics, models and scores each read it.
+    The population is written once, in even parts: statistics, models and scores each read it, and
+    the listings of a large property leave the join in few partitions.
     """
-    pop = materialize(population)
+    pop = materialize(population, even=True)
     today = materialize(market_stats(pop, F.to_date(as_of), listing_kind=None))
     history = today if stats_history is None else stats_history.unionByName(
         today, allowMissingColumns=True

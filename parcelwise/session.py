@@ -44,12 +44,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, even: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the written table.
 
     Used where a result is read several times or a loop grows the lineage: a lost
     executor then costs a re-read, not a re-run, and every reader sees the same rows.
+    ``even`` rebalances the rows first, for results that come out of a skewed step.
     """
+    if even:
+        df = df.hint("rebalance")
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/parcelwise-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)

@@ -124,7 +124,9 @@ def detail_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        F.struct(c("description").alias("value")).alias("text"), items.alias("items"))).substr(F.lit(2), F.lit(1000000)),
     )
     json = F.concat(F.expr("'{'"), price, F.lit(","), seo, F.lit(","), point, F.lit(","), body.substr(F.lit(2), F.lit(1000000)))
-    return ad.listings(spark, sf_dir).select(
+    # landed payloads come in many files; the order-line table is a single small one
+    landed = ad.listings(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "listing_id")
+    return landed.select(
         F.lit("portal").alias("source_slug"), c("listing_id").alias("source_listing_id"),
         c("last_seen_at").cast("timestamp").alias("fetched_at"),
         F.concat(F.lit("https://portal.example/"), c("listing_id")).alias("canonical_url"),

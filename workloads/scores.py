@@ -217,7 +217,7 @@ FROM k"""
 def _no_model(spark, sf_dir):
     from parcelwise.session import materialize
 
-    pop = materialize(_population(spark, sf_dir))
+    pop = materialize(_population(spark, sf_dir), even=True)
     today = plan.market_stats(pop, F.to_date(as_of()), listing_kind=None)
     out = plan.score_rows(pop, today, None, V1, as_of())
     return rounded(out.select(
