@@ -1,7 +1,7 @@
 """Time the headline queries: one warm-up, then the median of the timed runs.
 
 Reads ``BENCH_SF_DIR`` (default /root/testdata/sf0.1), ``BENCH_CPUS`` (default 8), ``BENCH_RUNS``
-(default 2) and ``BENCH_QUERIES`` (comma-separated name parts) and prints one JSON line.
+(default 1) and ``BENCH_QUERIES`` (comma-separated name parts) and prints one JSON line.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     picked = [p for p in os.environ.get("BENCH_QUERIES", "").split(",") if p]
     spark = build_session(
         "parcelwise-bench",

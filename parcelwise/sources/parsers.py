@@ -165,9 +165,16 @@ def item_facts(items: Column) -> Column:
 
 
 def extra_features(facts: Column) -> Column:
-    """map of free-form facts: unknown labels as they are, 'extra' targets with their unit."""
+    """map of free-form facts: unknown labels as they are, 'extra' targets with their unit. A label
+    spelled like an 'extra' target gives way to it."""
+    label = lambda k: F.substring(k, F.instr(k, ":") + 1, F.length(k))
     loose = F.map_filter(
-        facts, lambda k, _: F.startswith(k, F.lit(_RAW)) | F.startswith(k, F.lit("extra:"))
+        facts,
+        lambda k, _: F.startswith(k, F.lit("extra:"))
+        | (
+            F.startswith(k, F.lit(_RAW))
+            & ~F.map_contains_key(facts, F.concat(F.lit("extra:"), label(k)))
+        ),
     )
     shown = F.transform_values(
         loose,
@@ -175,7 +182,7 @@ def extra_features(facts: Column) -> Column:
             F.startswith(k, F.lit("extra:")) & (v["unit"] != ""), F.to_json(v)
         ).otherwise(v["value"]),
     )
-    return F.transform_keys(shown, lambda k, _: F.substring(k, F.instr(k, ":") + 1, F.length(k)))
+    return F.transform_keys(shown, lambda k, _: label(k))
 
 
 def unknown_labels(facts: Column) -> Column:

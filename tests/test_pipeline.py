@@ -120,13 +120,13 @@ def test_hedonic_needs_fifty_rows(spark):
 
 def test_hedonic_recovers_truth_despite_outliers_and_both_ways_agree(spark):
     df = hedonic_rows(spark, 600, 2, outliers=30)
-    small = hedonic.fit_models(df).head()
-    large = hedonic.fit_models(df, max_group_rows=100).head()
+    by_group, by_cluster = hedonic.fit_models(df), hedonic.fit_models(df, max_group_rows=100)
+    small, large = by_group.head(), by_cluster.head()
     assert small.coefficients["log_size_m2"] == pytest.approx(0.05, abs=0.02)
     assert small.coefficients["top_floor_walkup"] == pytest.approx(-0.08, abs=0.03)
     assert small.intercept == pytest.approx(11, abs=0.1)
     assert large.n_samples == small.n_samples and large.coefficients.keys() == small.coefficients.keys()
-    ps, pl = (hedonic.predict(df, hedonic.fit_models(df, max_group_rows=k)).select("listing_id", "predicted_log") for k in (10**6, 100))
+    ps, pl = (hedonic.predict(df, m).select("listing_id", "predicted_log") for m in (by_group, by_cluster))
     gap = ps.join(pl.withColumnRenamed("predicted_log", "other"), "listing_id").agg(F.max(F.abs(F.col("predicted_log") - F.col("other")))).head()[0]
     assert gap < 1e-6
 

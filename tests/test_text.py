@@ -71,7 +71,7 @@ def test_variants(spark):
         detail(items=[{"name": "Vymyšlený atribut", "value": 5}, {"name": "vytah", "value": "ne"}, {"value": 1}, {"name": "Výtah", "value": "ano"}]),
         detail(seo={"category_main_cb": 1}), "{broken", detail(name="Dům 5+1", seo={"category_main_cb": "2", "category_type_cb": 9}),
         detail(items=[{"name": "Rok kolaudace", "value": 1500}]), detail(currency="EUR"), detail(name=None, meta_description=None),
-        detail(items=None), "[]",
+        detail(items=None), "[]", detail(items=[{"name": "anuita_czk", "value": 1}, {"name": "Anuita", "value": 2}]),
     ]
     r = parse(spark, *docs)
     assert [(x.price_hidden, x.price and int(x.price)) for x in r[:5]] == [(True, None), (False, 8_690_000), (True, None), (True, None), (False, 5)]
@@ -84,3 +84,4 @@ def test_variants(spark):
     assert (r[13].property_type, r[13].listing_kind, r[13].disposition) == ("dum", "prodej", "5+1")
     assert r[14].parse_error == "implausible year_built" and r[15].parse_error == "currency is not CZK"
     assert r[16].disposition is None and r[17].parse_status == "ok" and r[18].parse_status == "quarantine"
+    assert r[19].extra_features == {"anuita_czk": "2"}
