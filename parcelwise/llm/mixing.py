@@ -76,7 +76,8 @@ def mix(docs: DataFrame, seed: str = SEED, epochs: int = MAX_EPOCHS, block_rows:
     blocks = 64
     while blocks * block_rows < rows.count() and blocks < 1 << 24:
         blocks *= 4
-    block = F.conv(F.substring("key", 1, 6), 16, 10).cast("long") % blocks
+    # blocks are powers of four up to 2**24, so they cut the six leading digits in order of the key
+    block = F.expr(f"CAST(conv(substring(key, 1, 6), 16, 10) AS BIGINT) DIV {(1 << 24) // blocks}")
     by_key = rows.withColumn("block", block)
     sums = by_key.groupBy("source", "block").agg(F.sum("size").alias("words"))
     lead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
