@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import decontaminate, mixing, quality, sharding, simhash
+from parcelwise.llm import decontaminate, mixing, quality, repeats, sharding, simhash
 from parcelwise.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,11 +79,15 @@ def op8_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_network, op3_hypergeometric_shuffle, op4_fair_queue_mix, op7_qgram_decontamination,
-        op8_simhash_vantage,
+        op8_simhash_vantage, op9_fm_index_repeats,
     )
 }
 ORACLES: dict[str, str] = {"op4_fair_queue_mix": OP4_SQL}
