@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import decontaminate, mixing, quality, repeats, sharding, simhash
+from parcelwise.llm import automaton, decontaminate, mixing, quality, repeats, sharding, simhash, toxicity
 from parcelwise.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,15 @@ FROM q LEFT JOIN n ON q.doc_id = n.doc_id
 """
 
 
+def op6_ratio_scaled_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
+        F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op7_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -83,11 +92,15 @@ def op9_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_quality_network, op3_hypergeometric_shuffle, op4_fair_queue_mix, op7_qgram_decontamination,
-        op8_simhash_vantage, op9_fm_index_repeats,
+        op1_quality_network, op3_hypergeometric_shuffle, op4_fair_queue_mix, op6_ratio_scaled_toxicity,
+        op7_qgram_decontamination, op8_simhash_vantage, op9_fm_index_repeats, op10_backoff_automaton,
     )
 }
 ORACLES: dict[str, str] = {"op4_fair_queue_mix": OP4_SQL}

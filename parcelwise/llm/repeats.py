@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm import textbytes as tb
+from parcelwise.llm.common import discard, keep
 from parcelwise.llm.fmindex import Index
-from parcelwise.session import materialize
 
 WINDOW = 35
 GRAM = 5
-HOT = 2000
+HOT = 20_000
 SHARD_BYTES = 3_000_000
 _PLACE = 26  # bits for the place of a word in a slice, below the bits of the hash
 _TURN = 0xD6E8FEB86659FD93
@@ -100,7 +100,7 @@ def _marks(keyed: DataFrame, window: int, hot: int) -> DataFrame:
 
     ``places`` only says where to look, so there the first key suffices.
     """
-    seen = materialize(_occurrences(keyed, window))
+    seen, path = keep(_occurrences(keyed, window))
     often = seen.groupBy("gram").count().where("count > 1")
     marked = seen.join(often, "gram").select("k1", (F.col("place") * 2 + (F.col("count") > hot).cast("int")).alias("mark"))
     places = marked.groupBy("k1").agg(F.collect_set("mark").alias("places"))
@@ -111,10 +111,12 @@ def _marks(keyed: DataFrame, window: int, hot: int) -> DataFrame:
         .select("k1", "k2", "copies", (F.struct("k1", "k2") == F.col("first")).alias("chosen"))
         .distinct()
     )
-    return (
+    marks, _ = keep(
         slim.select("k1", "k2").distinct().join(places, "k1", "left").join(copied, ["k1", "k2"], "left")
         .where("places IS NOT NULL OR copies IS NOT NULL")
     )
+    discard(seen, path)
+    return marks
 
 
 def _content_keys(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +271,7 @@ def _take_out(text: bytes, starts: list[int], windows: list[bytes], n: int, wind
 def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
     keyed = _keyed(docs)
-    pieces = materialize(_cut(keyed, _marks(keyed, window, hot), window))
+    pieces, _ = keep(_cut(keyed, _marks(keyed, window, hot), window))
     contents = pieces.where(F.col("kind") == _CONTENT)
     shards = 1 + int(contents.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes
     told = (
