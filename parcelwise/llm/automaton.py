@@ -34,7 +34,7 @@ from parcelwise.llm.common import fold, keep
 
 ORDER = 6
 MAX_NGRAMS = 1_000_000
-DISCOUNT = 0.7
+DISCOUNT = 0.8
 END = 10
 BLOCK_BYTES = 24_000_000
 _LENGTH = 56  # a key is the n-gram's bytes, the last lowest, with its length above
@@ -42,8 +42,10 @@ _STEPS = 1024
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
-def stream(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols of all rows one after the other, place of each row's first symbol and the end)."""
+def stream(buf: np.ndarray, off: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of all rows one after the other, place of each row's first symbol and the end).
+
+    ``fold`` puts A-Z into lower case."""
     start, end, doc = tb.words(buf, off)
     rows = len(off) - 1
     size = end - start
@@ -56,7 +58,7 @@ def stream(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # a word moves by as much as what was dropped before it
     goes = np.cumsum(size + 1) - (size + 1) + np.cumsum(n == 0)[doc] if len(doc) else start
     inside = ~tb.GAP[buf]
-    out[np.repeat(goes - np.cumsum(size) + size, size) + np.arange(size.sum())] = tb.LOWER[buf[inside]]
+    out[np.repeat(goes - np.cumsum(size) + size, size) + np.arange(size.sum())] = tb.LOWER[buf[inside]] if fold else buf[inside]
     out[(goes + size)[~last]] = 32
     return out, at
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import automaton, decontaminate, mixing, quality, repeats, sharding, simhash, toxicity
-from parcelwise.llm.common import fold
+from parcelwise.llm import automaton, decontaminate, mixing, perplexity, quality, repeats, rollups, sharding, simhash, toxicity
+from parcelwise.llm.common import fold, keep
+from parcelwise.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +28,54 @@ def op1_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MARKS = r"[#*$%&|<>]"
+
+
+def op2_delta_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches over all documents: counts by words, counts by pieces, removal of all but the first of equal
+    texts, and word counts revised for texts freed of marks; two of them are then delivered again."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    counted, _ = keep(docs.select(
+        "doc_id", "source", "lang", F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"),
+        rollups.count_by_pattern(text).alias("words"), rollups.count_by_pattern(text, rollups.PIECE).alias("pieces"),
+        rollups.count_by_pattern(F.regexp_replace(text, MARKS, "")).alias("bare"),
+    ))
+    first = counted.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"))
+    marked = counted.join(first, ["t1", "t2"]).withColumn("copy", F.col("doc_id") > F.col("first"))
+
+    def counts(rows: DataFrame, tokenizer: str, tokens: str, *more: str) -> DataFrame:
+        return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(tokens).alias("tokens"), *more)
+
+    copies, kept = marked.where("copy"), marked.where("copy IS NOT TRUE AND bare <> words")
+    batches = {
+        "words": rollups.inserted(counts(counted, "words-1", "words")),
+        "pieces": rollups.inserted(counts(counted, "pieces-1", "pieces")),
+        "copies": rollups.deleted(counts(copies, "words-1", "words").union(counts(copies, "pieces-1", "pieces"))),
+        "bare": rollups.revised(counts(kept.withColumn("old_tokens", F.col("words")), "words-1", "bare", "old_tokens")),
+    }
+    totals = rollups.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    for name in ("words", "pieces", "copies", "copies", "bare", "words"):
+        totals.apply(name, batches[name])
+    return totals.totals()
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT source, lang, coalesce(text, '') AS t, doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS copy
+  FROM documents),
+c AS (
+  SELECT source, lang, 'words-1' AS tokenizer,
+         len(regexp_extract_all(regexp_replace(t, '[#*$%&|<>]', '', 'g'), '[^\x20\x09-\x0D]+')) AS n
+  FROM d WHERE copy IS NOT TRUE
+  UNION ALL
+  SELECT source, lang, 'pieces-1', len(regexp_extract_all(t, '\p{L}+|\p{N}|[^\p{L}\p{N}\x20\x09-\x0D]'))
+  FROM d WHERE copy IS NOT TRUE)
+SELECT source, lang, tokenizer, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens
+FROM c GROUP BY source, lang, tokenizer
+"""
+
+
 def op3_hypergeometric_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
@@ -69,6 +119,10 @@ FROM q LEFT JOIN n ON q.doc_id = n.doc_id
 """
 
 
+def op5_kneser_ney_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_ratio_scaled_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -99,8 +153,9 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_quality_network, op3_hypergeometric_shuffle, op4_fair_queue_mix, op6_ratio_scaled_toxicity,
-        op7_qgram_decontamination, op8_simhash_vantage, op9_fm_index_repeats, op10_backoff_automaton,
+        op1_quality_network, op2_delta_rollups, op3_hypergeometric_shuffle, op4_fair_queue_mix,
+        op5_kneser_ney_rules, op6_ratio_scaled_toxicity, op7_qgram_decontamination, op8_simhash_vantage,
+        op9_fm_index_repeats, op10_backoff_automaton,
     )
 }
-ORACLES: dict[str, str] = {"op4_fair_queue_mix": OP4_SQL}
+ORACLES: dict[str, str] = {"op2_delta_rollups": OP2_SQL, "op4_fair_queue_mix": OP4_SQL}
