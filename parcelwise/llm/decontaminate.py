@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from parcelwise.llm import textbytes as tb
 
@@ -252,6 +253,7 @@ def indexes(benchmark: DataFrame, rate: float, item_id: str = "item_id", text: s
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
     """(doc_id, item_id, edits, start, end) of every item found in every document."""
     rows = docs.select("doc_id", "text")
+    id_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     doc_kind, item_kind = dict(rows.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {doc_kind}, item_id {item_kind}, edits int, start long, end long"
     names = ["doc_id", "item_id", "edits", "start", "end"]
@@ -264,7 +266,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE)
                 if found:
                     row, item, edits, start, end = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(row)), pa.array([shared.value.ids[k] for k in item]),
+                        [batch.column(0).take(pa.array(row)), pa.array([shared.value.ids[k] for k in item], id_type),
                          pa.array(edits, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
                         names,
                     )

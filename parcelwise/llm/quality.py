@@ -172,7 +172,7 @@ def train(chunks: list[np.ndarray], label: np.ndarray, epochs: int = EPOCHS, see
 
 def training_chunks(docs: DataFrame, sample: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     """Evenly spread chunks of the sampled texts, cut in Spark tasks, in id order."""
-    texts = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
     kind = dict(texts.dtypes)["doc_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -113,7 +113,7 @@ def train(sets: list[np.ndarray], label: np.ndarray, prior: float) -> Model:
 
 def training_sets(docs: DataFrame, sample: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     """The feature sets of the sampled texts, in id order."""
-    texts = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
