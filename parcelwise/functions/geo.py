@@ -37,31 +37,36 @@ def cell_band(lat: Column, radius_m: float) -> Column:
     return F.floor(lat / (radius_m / METRES_PER_DEGREE)).cast("long")
 
 
-def _band_lon_step(band: Column, radius_m: float) -> Column:
-    """Longitude width of a cell in ``band``: the search radius at its worst latitude.
+def _band_columns(band: Column, radius_m: float) -> Column:
+    """How many equal cells go round the earth in ``band``, each at least as wide as the search radius at
+    the band's worst latitude; one near the poles, where a radius may reach any longitude.
 
     A tiny allowance keeps points lying exactly one radius apart in neighbouring cells.
     """
     height = radius_m / METRES_PER_DEGREE
     edge = F.greatest(F.abs(band * height), F.abs((band + 1) * height)) + height
-    return F.lit(height * (1 + 1e-9)) / F.cos(F.radians(F.least(edge, F.lit(89.0))))
+    step = F.lit(height * (1 + 1e-9)) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))
+    return F.when((edge < 90) & (step < 60), F.floor(360 / step)).otherwise(1).cast("long")
 
 
 def cell_column(lon: Column, band: Column, radius_m: float) -> Column:
-    return F.floor(lon / _band_lon_step(band, radius_m)).cast("long")
+    """Cell number in the band, counted eastwards from the date line."""
+    n = _band_columns(band, radius_m)
+    turned = F.pmod(lon + 180, F.lit(360.0))
+    return F.least(F.floor(turned * n / 360), n - 1).cast("long")
 
 
 def cells_around(lat: Column, lon: Column, radius_m: float) -> Column:
-    """array<struct<band, col>> of the cells that can hold a point within the radius."""
+    """array<struct<band, col>> of the cells that can hold a point within the radius, across the date
+    line and over the poles too."""
     home = cell_band(lat, radius_m)
 
     def row(offset: int) -> Column:
-        band = home + offset
-        step = _band_lon_step(band, radius_m)
-        first, last = F.floor((lon - step) / step), F.floor((lon + step) / step)
+        band = (home + offset).cast("long")
+        n, col = _band_columns(band, radius_m), cell_column(lon, band, radius_m)
         return F.transform(
-            F.sequence(first.cast("long"), last.cast("long")),
-            lambda c: F.struct(band.cast("long").alias("band"), c.alias("col")),
+            F.array_distinct(F.array(*[F.pmod(col + i, n) for i in (-1, 0, 1)])),
+            lambda c: F.struct(band.alias("band"), c.alias("col")),
         )
 
     return F.concat(row(-1), row(0), row(1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.session import materialize
+from parcelwise.session import discard, materialize
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -13,7 +13,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
 
     Each round takes the smallest label among a vertex and its neighbours, then the label of that
     label, so a chain of length n needs about log n rounds. Labels are written to the shared folder
-    every round; a lost executor never restarts the loop. Raises if ``max_rounds`` is not enough.
+    every round and the ones before are removed; a lost executor never restarts the loop. Raises if ``max_rounds`` is not enough.
     """
     both = materialize(
         edges.select(F.col("a").alias("v"), F.col("b").alias("w"))
@@ -26,7 +26,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
         return labels.withColumnRenamed("l", "component")
     touched = both.select("v").distinct()
     lonely = vertices.join(touched, "v", "left_anti").select("v", F.col("v").alias("component"))
-    labels = materialize(touched.select("v", F.col("v").alias("l")))
+    table = materialize(touched.select("v", F.col("v").alias("l")))
+    labels = table
     for _ in range(max_rounds):
         around = (
             both.join(labels.select(F.col("v").alias("w"), F.col("l").alias("wl")), "w")
@@ -44,7 +45,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
             )
         )
         changed = nxt.where(F.col("l") != F.col("old")).limit(1).count()
-        labels = nxt.select("v", "l")
+        discard(table)
+        table, labels = nxt, nxt.select("v", "l")
         if not changed:
             return labels.withColumnRenamed("l", "component").unionByName(lonely)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -12,9 +12,6 @@ depend on the value alone:
 
 The result is exact. The largest unit of work is the set of distinct values in one bucket of one
 group, which the bucket width bounds to a relative spread of 1/BUCKETS_PER_E.
-
-When the caller has measured that the whole input is small (:func:`few_rows`), the built-in
-aggregate is the faster equal of all that and is used instead.
 """
 
 from __future__ import annotations
@@ -26,19 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BUCKETS_PER_E = 512
-FEW_ROWS = 2_000_000
 
 # name -> (column, one of "sum", "min", "max"): further aggregates taken in the same pass
 Extra = Mapping[str, tuple[str, str]]
 _COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def few_rows(df: DataFrame, limit: int = FEW_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows. Meant for written tables, where counting reads
-    file footers only."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def value_bucket(v: Column) -> Column:
     """Monotone bucket number: logarithmic away from zero, linear around it."""
     return F.floor(F.signum(v) * F.log1p(F.abs(v)) * BUCKETS_PER_E).cast("int")
@@ -197,40 +187,6 @@ def resolve(
     return ranked.groupBy(*keys).agg(*aggs).select(*cols)
 
 
-def _small_stats(
-    rows: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    quantiles: Mapping[str, float],
-    trim: float | None,
-    extra: Extra | None,
-) -> DataFrame:
-    """The same result by one shuffle on the keys, for inputs known to be small."""
-    v = F.col(value)
-    aggs = [
-        F.count(F.lit(1)).alias("n_samples"),
-        F.avg(v).alias("mean"),
-        F.stddev_pop(v).alias("stddev"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        *_extras(extra),
-        F.percentile(v, [float(q) for q in quantiles.values()]).alias("__q"),
-    ]
-    if trim is not None:
-        rows = rows.select(
-            "*",
-            F.row_number().over(Window.partitionBy(*keys).orderBy(v)).alias("__rn"),
-            F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("__n"),
-        )
-        cut = _cut(F.col("__n"), trim)
-        inside = (F.col("__rn") > cut) & (F.col("__rn") <= F.col("__n") - cut)
-        aggs.append(F.avg(F.when(inside, v)).alias("trimmed_mean"))
-    plain = [*keys, "n_samples", "mean", "stddev", "min", "max", *(extra or {})]
-    quants = [F.col("__q")[i].alias(name) for i, name in enumerate(quantiles)]
-    tail = ["trimmed_mean"] if trim is not None else []
-    return rows.groupBy(*keys).agg(*aggs).select(*plain, *quants, *tail)
-
-
 def order_stats(
     df: DataFrame,
     keys: Sequence[str],
@@ -238,20 +194,16 @@ def order_stats(
     quantiles: Mapping[str, float],
     trim: float | None = None,
     extra: Extra | None = None,
-    small: bool = False,
 ) -> DataFrame:
     """keys, n_samples, mean, stddev (population), min, max, the ``extra`` aggregates, one column
     per quantile (linear interpolation) and, with ``trim``, trimmed_mean.
 
-    Rows with a NULL or NaN value are ignored; NULL keys form a group of their own. ``small``
-    states that the input was measured to be small.
+    Rows with a NULL or NaN value are ignored; NULL keys form a group of their own.
     """
     needed = sorted({c for c, _ in (extra or {}).values()} - set(keys))
     rows = df.select(*keys, *needed, F.col(value).cast("double").alias("__v")).where(
         F.col("__v").isNotNull() & ~F.isnan("__v")
     )
-    if small:
-        return _small_stats(rows, keys, "__v", quantiles, trim, extra)
     summary = summarise(histogram(rows, keys, "__v", extra), keys, quantiles, trim, extra)
     wanted = open_buckets(summary)
     carried = [*SUMMARY, *(extra or {})]

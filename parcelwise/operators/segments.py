@@ -42,11 +42,11 @@ def segment_id(key: Column) -> Column:
 
 
 def segment_stats(
-    df: DataFrame, keys: list[str], value: str = "ppm2", small: bool = False
+    df: DataFrame, keys: list[str], value: str = "ppm2"
 ) -> DataFrame:
     """n, median, trimmed mean, quartiles and population deviation of the positive values."""
     usable = df.where((F.col(value) > 0) & (F.col(value) < float("inf")))
-    return os_.order_stats(usable, keys, value, STAT_QUANTILES, TRIM, small=small)
+    return os_.order_stats(usable, keys, value, STAT_QUANTILES, TRIM)
 
 
 def with_levels(keys: DataFrame) -> DataFrame:
@@ -82,7 +82,6 @@ def relaxed_stats(
     listings: DataFrame,
     min_n: int = s.MIN_SAMPLES,
     quantiles: Mapping[str, float] | None = None,
-    small: bool | None = None,
 ) -> DataFrame:
     """Per base segment: the first ladder level with at least ``min_n`` values and the statistics
     of everything pooled at that level. Unresolved segments keep a row with NULL level.
@@ -90,8 +89,7 @@ def relaxed_stats(
     Input: the segment columns plus price and size_m2. Raw rows are never multiplied by the six
     levels: value histograms of the base segments are, and they are small. Rows are read a second
     time only for the few buckets whose inner order matters. The narrow (segment, value) rows are
-    written once because they are read twice; their count decides on the short way for
-    small inputs (``small`` overrides that).
+    written once because they are read twice.
     """
     quantiles = dict(quantiles or STAT_QUANTILES)
     rows = materialize(
@@ -99,54 +97,39 @@ def relaxed_stats(
         .where(F.col("__v") > 0)
         .select("segment", "segment_key", "__v")
     )
-    if small is None:
-        small = os_.few_rows(rows)
-    if small:
-        bases = rows.select("segment", "segment_key").distinct()
-    else:
-        base = materialize(os_.histogram(rows, ["segment", "segment_key"], "__v"))
-        bases = base.select("segment", "segment_key").distinct()
-    members = (
+    base = materialize(os_.histogram(rows, ["segment", "segment_key"], "__v"))
+    bases = base.select("segment", "segment_key").distinct()
+    members = materialize(
         with_levels(bases)
         .select("segment_key", F.explode("__levels").alias("__l"))
         .select("segment_key", "__l.level", "__l.rkey")
     )
-    if small:
-        pooled_rows = rows.select("segment_key", "__v").join(members, "segment_key")
-        stats = os_.order_stats(pooled_rows, ["level", "rkey"], "__v", quantiles, TRIM, small=True)
-        usable = stats
-    else:
-        members = materialize(members)
-        ladder = base.drop("segment").join(members, "segment_key")
-        summary = materialize(
-            os_.summarise(
-                os_.roll_up(ladder, ["level", "rkey"]), ["level", "rkey"], quantiles, TRIM
-            )
-        )
-        usable = summary
+    ladder = base.drop("segment").join(members, "segment_key")
+    summary = materialize(
+        os_.summarise(os_.roll_up(ladder, ["level", "rkey"]), ["level", "rkey"], quantiles, TRIM)
+    )
     chosen = (
         members.join(
-            usable.where(F.col("n_samples") >= min_n).select("level", "rkey"), ["level", "rkey"]
+            summary.where(F.col("n_samples") >= min_n).select("level", "rkey"), ["level", "rkey"]
         )
         .groupBy("segment_key")
         .agg(F.min("level").alias("level"), F.min_by("rkey", "level").alias("rkey"))
     )
-    if not small:
-        chosen = materialize(chosen)
-        wanted = os_.open_buckets(summary).join(
-            chosen.select("level", "rkey").distinct(), ["level", "rkey"], "left_semi"
-        )
-        # (base segment, bucket) -> the pooled groups that need this bucket opened
-        routes = ladder.select("segment_key", "level", "rkey", "__b").join(
-            wanted, ["level", "rkey", "__b"]
-        )
-        counted = (
-            rows.select("segment_key", "__v", os_.value_bucket(F.col("__v")).alias("__b"))
-            .join(routes, ["segment_key", "__b"])
-            .groupBy("level", "rkey", "__b", "__v", "__start", *os_.SUMMARY)
-            .agg(F.count(F.lit(1)).alias("__c"))
-        )
-        stats = os_.resolve(counted, ["level", "rkey"], "__v", quantiles, TRIM)
+    chosen = materialize(chosen)
+    wanted = os_.open_buckets(summary).join(
+        chosen.select("level", "rkey").distinct(), ["level", "rkey"], "left_semi"
+    )
+    # (base segment, bucket) -> the pooled groups that need this bucket opened
+    routes = ladder.select("segment_key", "level", "rkey", "__b").join(
+        wanted, ["level", "rkey", "__b"]
+    )
+    counted = (
+        rows.select("segment_key", "__v", os_.value_bucket(F.col("__v")).alias("__b"))
+        .join(routes, ["segment_key", "__b"])
+        .groupBy("level", "rkey", "__b", "__v", "__start", *os_.SUMMARY)
+        .agg(F.count(F.lit(1)).alias("__c"))
+    )
+    stats = os_.resolve(counted, ["level", "rkey"], "__v", quantiles, TRIM)
     return (
         bases.join(chosen, "segment_key", "left")
         .join(stats, ["level", "rkey"], "left")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.operators.history import price_as_of
-from parcelwise.operators.order_stats import few_rows, order_stats
+from parcelwise.operators.order_stats import order_stats
 from parcelwise.plans.search import listing_filter, with_property
 from parcelwise.session import materialize
 
@@ -50,9 +50,8 @@ def breakdown(
     """Per group: counts, prices, price per m2, centroid and the change of the median against
     ``days_ago`` days before ``as_of``; largest groups first."""
     active = materialize(breakdown_population(listings, properties, group_by, **criteria))
-    small = few_rows(active)
     now = order_stats(
-        active, ["group_key"], "ppm2", {"median_ppm2": 0.5}, small=small,
+        active, ["group_key"], "ppm2", {"median_ppm2": 0.5},
         extra={
             "__price": ("price", "sum"),
             "min_price": ("price", "min"),
@@ -78,8 +77,7 @@ def breakdown(
         cut,
     ).select("group_key", (F.col("price_then") / F.col("size_m2")).alias("ppm2_then"))
     past = order_stats(
-        then if small else materialize(then), ["group_key"], "ppm2_then",
-        {"median_ppm2_then": 0.5}, small=small,
+        materialize(then), ["group_key"], "ppm2_then", {"median_ppm2_then": 0.5},
     ).select("group_key", "median_ppm2_then")
     m, t = F.col("median_ppm2"), F.col("median_ppm2_then")
     return (
@@ -111,7 +109,7 @@ def yield_by_district(
     )
     sides = order_stats(
         active, ["city_district", "listing_kind"], "ppm2", {"med": 0.5},
-        extra=CENTROID_SUMS, small=few_rows(active),
+        extra=CENTROID_SUMS,
     )
     sale, rent = F.col("listing_kind") == "prodej", F.col("listing_kind") == "pronajem"
     plain = sides.groupBy("city_district").agg(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,9 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
 }
 
+_shipped: set[str] = set()
+_written: set[str] = set()
+
 
 def build_session(app: str = "parcelwise", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs rely on; a cluster may override any of them."""
@@ -25,7 +30,28 @@ def build_session(app: str = "parcelwise", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in {**DEFAULT_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, so that functions pickled by module name load anywhere.
+
+    Not needed where the package is installed on all machines. Once per application.
+    """
+    key = spark.sparkContext.applicationId
+    if key in _shipped:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="parcelwise-"), "parcelwise.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(top):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(top)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(key)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,4 +82,25 @@ def materialize(df: DataFrame, even: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/parcelwise-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    _written.add(path)
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written.discard(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table behind a ``materialize`` result that nothing reads any more."""
+    if path := df.__dict__.get("scratch_path"):
+        _remove(df.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove every table that ``materialize`` wrote in this process; call it once results are saved."""
+    for path in sorted(_written):
+        _remove(spark, path)

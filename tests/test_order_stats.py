@@ -24,25 +24,23 @@ def expected(values, trim=0.1):
     }
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_documented_cases(spark, small):
+def test_documented_cases(spark):
     df = spark.createDataFrame(
         [("a", float(x)) for x in range(1, 10)] + [("b", float(x)) for x in [*range(1, 10), 1000]] + [("c", 7.0)], "k string, v double")
-    rows = {r.k: r for r in o.order_stats(df, ["k"], "v", Q, 0.1, small=small).collect()}
+    rows = {r.k: r for r in o.order_stats(df, ["k"], "v", Q, 0.1).collect()}
     assert (rows["a"].median, rows["a"].p25, rows["a"].p75) == (5.0, 3.0, 7.0)
     assert rows["b"].trimmed_mean == 5.5
     assert (rows["c"].n_samples, rows["c"].stddev, rows["c"].trimmed_mean) == (1, 0.0, 7.0)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_random_groups_with_hot_group_nulls_and_ties(spark, small):
+def test_random_groups_with_hot_group_nulls_and_ties(spark):
     rng = np.random.default_rng(7)
     data = [(None, float(x)) for x in rng.lognormal(6, 1, 3000)]
     data += [("tied", 12.5)] * 900 + [("tied", float(x)) for x in rng.normal(0, 5, 100)]
     data += [(f"g{i % 17}", float(x)) for i, x in enumerate(rng.normal(0, 1000, 700))]
     data += [("g1", None), ("g1", float("nan"))]
     df = spark.createDataFrame(data, "k string, v double")
-    got = {r.k: r.asDict() for r in o.order_stats(df, ["k"], "v", Q, 0.1, small=small, extra={"total": ("v", "sum")}).collect()}
+    got = {r.k: r.asDict() for r in o.order_stats(df, ["k"], "v", Q, 0.1, extra={"total": ("v", "sum")}).collect()}
     groups = {}
     for k, v in data:
         if v is not None and v == v:
@@ -67,7 +65,7 @@ def test_distributed_rank_equals_competition_rank(spark):
     assert got == {i: 1 + sum(w > v for w in values) for i, v in enumerate(values)}
 
 
-def test_ladder_ways_agree_and_pool_grows_with_level(spark):
+def test_ladder_against_plain_pools(spark):
     rng = np.random.default_rng(5)
     rows = [
         (["Praha 1", "Praha 2", "Brno", None][rng.integers(4)], "byt", ["2+kk", "3+1", None][rng.integers(3)],
@@ -77,15 +75,22 @@ def test_ladder_ways_agree_and_pool_grows_with_level(spark):
     ]
     df = spark.createDataFrame(rows, "city_district string, property_type string, disposition string, ownership_type string, "
                                      "building_type string, size_m2 double, condition string, price double")
-    a = {r.segment_key: r.asDict() for r in seg.relaxed_stats(df, small=True).collect()}
-    b = {r.segment_key: r.asDict() for r in seg.relaxed_stats(df, small=False).collect()}
-    assert a.keys() == b.keys()
-    for k in a:
-        assert a[k]["relaxation_level"] == b[k]["relaxation_level"]
-        for c in ("n_samples", "median", "p25", "p75", "trimmed_mean", "stddev"):
-            assert a[k][c] == (None if b[k][c] is None else pytest.approx(b[k][c], rel=1e-9))
-    assert any(r["relaxation_level"] == 0 for r in a.values()) or any(r["relaxation_level"] for r in a.values())
-    assert all(r["n_samples"] >= 30 for r in a.values() if r["relaxation_level"] is not None)
+    got = {r.segment_key: r.asDict() for r in seg.relaxed_stats(df).collect()}
+    bases = seg.with_segment(df.withColumn("v", F.col("price") / F.col("size_m2"))).select("segment", "segment_key", "v")
+    levels = seg.with_levels(bases).select("segment_key", "v", F.explode("__levels").alias("l")).select("segment_key", "v", "l.level", "l.rkey").collect()
+    pools, routes = {}, {}
+    for r in levels:
+        pools.setdefault((r.level, r.rkey), []).append(r.v)
+        routes.setdefault(r.segment_key, {})[r.level] = r.rkey
+    assert got.keys() == routes.keys()
+    for k, route in routes.items():
+        level = next((lv for lv in sorted(route) if len(pools[lv, route[lv]]) >= 30), None)
+        assert got[k]["relaxation_level"] == level
+        if level is not None:
+            for name, want in expected(pools[level, route[level]]).items():
+                if name in got[k]:
+                    assert got[k][name] == pytest.approx(want, rel=1e-9), (k, name)
+    assert any(r["relaxation_level"] == 0 for r in got.values()) or any(r["relaxation_level"] for r in got.values())
 
 
 def test_previous_in_key_matches_plain_lag(spark):

@@ -118,12 +118,12 @@ def detail_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).otherwise("Toyen, Praha 2 - ")
     name = F.concat(F.lit("Prodej bytu "), (k % 5 + 1).cast("string"), F.when(c("has_balcony"), "+1").otherwise("+kk"))
     body = F.concat(
-        F.lit("{"), F.to_json(F.struct(F.struct(F.when(k < 6, name).alias("value")).alias("name"),
+        F.lit("{"), F.substr(F.to_json(F.struct(F.struct(F.when(k < 6, name).alias("value")).alias("name"),
                                        F.concat(F.lit("Byt 3+1, "), name).alias("meta_description"),
                                        F.struct(place.alias("value")).alias("locality"),
-                                       F.struct(c("description").alias("value")).alias("text"), items.alias("items"))).substr(F.lit(2), F.lit(1000000)),
+                                       F.struct(c("description").alias("value")).alias("text"), items.alias("items"))), F.lit(2)),
     )
-    json = F.concat(F.expr("'{'"), price, F.lit(","), seo, F.lit(","), point, F.lit(","), body.substr(F.lit(2), F.lit(1000000)))
+    json = F.concat(F.expr("'{'"), price, F.lit(","), seo, F.lit(","), point, F.lit(","), F.substr(body, F.lit(2)))
     # landed payloads come in many files; the order-line table is a single small one
     landed = ad.listings(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "listing_id")
     return landed.select(
@@ -315,7 +315,7 @@ def _sanity(spark, sf_dir):
   FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY ALL),
 n AS (SELECT CAST(o_custkey AS VARCHAR) AS id, min(o_orderdate) AS f, max(o_orderdate) AS l, arg_max(CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END, (o_orderdate, o_orderkey)) AS st0,
    max_by(struct_pack(s := CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END, p := o_totalprice), (o_orderdate, o_orderkey)) AS x
-  FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' GROUP BY ALL)
+  FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY ALL)
 SELECT coalesce(o.id, n.id) AS source_listing_id, strftime(coalesce(o.f, n.f), '%Y-%m-%d') AS first_seen, strftime(coalesce(n.l, o.l), '%Y-%m-%d') AS last_seen,
  CASE WHEN n.id IS NOT NULL THEN n.x.s ELSE o.st END AS status, CASE WHEN n.id IS NOT NULL THEN n.x.p ELSE o.p END AS price
 FROM o FULL JOIN n ON o.id = n.id""",
@@ -328,7 +328,7 @@ def _upsert(spark, sf_dir):
         F.max_by("o_orderstatus", "o_orderkey").alias("status"), F.max_by("o_totalprice", "o_orderkey").alias("price"),
     ).withColumn("source_slug", F.lit("portal"))
     # one state per listing and moment, so that the newest state is unique
-    new = orders.where(F.col("o_orderdate") >= moment("2001-01-01T00:00:00")).groupBy(key, "o_orderdate").agg(
+    new = orders.where(F.col("o_orderdate") >= moment("1998-01-01T00:00:00")).groupBy(key, "o_orderdate").agg(
         F.max_by(F.struct(F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("s"), F.col("o_totalprice").alias("p")), "o_orderkey").alias("x")
     ).select(F.lit("portal").alias("source_slug"), "source_listing_id", F.col("x.s").alias("status"), F.col("x.p").alias("price"),
              F.col("o_orderdate").alias("seen_at"))

@@ -125,9 +125,10 @@ def _population(spark, sf_dir):
 @query(
     "A9_hedonic_category_levels",
     f"""WITH b AS (SELECT CASE WHEN city_district LIKE 'Praha%' THEN 'Praha' ELSE city_district END AS city, ownership_type AS own,
-   building_type, disposition, condition, energy_class, city_district FROM ({L}) JOIN ({P}) USING (property_id)
+   building_type, disposition, condition, energy_class, city_district, CASE WHEN year_built IS NULL THEN 'unknown' WHEN year_built < 1948 THEN '<1948'
+   WHEN year_built < 1990 THEN '1948-1989' WHEN year_built < 2010 THEN '1990-2009' ELSE '2010+' END AS year_built_bucket FROM ({L}) JOIN ({P}) USING (property_id)
    WHERE status = 'active' AND last_seen_at >= {AS_OF_SQL} - INTERVAL 90 DAY AND price > 0 AND size_m2 > 0),
-u AS (UNPIVOT b ON building_type, disposition, condition, energy_class, city_district INTO NAME feature VALUE level),
+u AS (UNPIVOT b ON building_type, disposition, condition, energy_class, city_district, year_built_bucket INTO NAME feature VALUE level),
 d AS (SELECT DISTINCT city, own, feature, level FROM u),
 n AS (SELECT *, row_number() OVER (PARTITION BY city, own, feature ORDER BY level) AS rn FROM d)
 SELECT city, own AS ownership_type, feature, coalesce(string_agg(level, ',' ORDER BY level) FILTER (WHERE rn > 1), '') AS levels
@@ -135,7 +136,7 @@ FROM n GROUP BY ALL""".replace("UNPIVOT b ON building_type", "UNPIVOT (SELECT *
 )
 def _levels(spark, sf_dir):
     rows = hedonic.trainable(hedonic.design(_population(spark, sf_dir)))
-    return hedonic.category_levels(rows).where(F.col("feature") != "year_built_bucket").select(
+    return hedonic.category_levels(rows).select(
         "city", "ownership_type", "feature", F.array_join("levels", ",").alias("levels")
     )
 
