@@ -3,14 +3,15 @@
 Huber M-estimation by iteratively reweighted least squares: tuning constant 1.345, scale from the
 median absolute residual, at most 50 rounds, until the deviance settles within 1e-8.
 
-Groups up to ``max_group_rows`` rows are fitted side by side, one group per Arrow batch group.
-Larger groups, of which there can only be (rows / max_group_rows), are each fitted over the whole
-cluster with weighted linear regression, so no group is ever gathered in one task.
+Every solution is the least squares solution of smallest norm, so collinear columns share their effect
+alike whatever a group's size. Groups up to ``max_group_rows`` rows are fitted in one task each. Larger
+ones are fitted all together: a round is one pass in which every task adds up weighted normal equations
+for the groups it meets, and one pass for the median absolute residual; no group is ever gathered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,6 @@ from parcelwise.session import materialize
 GROUP = ["city", "property_type", "ownership_type"]
 MIN_FIT_ROWS = 50
 MAX_GROUP_ROWS = 250_000
-MAX_BROADCAST_MODELS = 20_000
 HUBER_T = 1.345
 MAD_TO_SIGMA = 0.6744897501960817
 TOLERANCE = 1e-8
@@ -140,80 +140,182 @@ def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _fit_large(rows: DataFrame, levels: dict[str, list[str]]) -> tuple:
-    """One big group, every round a few passes over the cluster."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+def huber_weight(resid: np.ndarray, scale: float) -> tuple[np.ndarray, float]:
+    """(weights, loss) of residuals at a scale."""
+    z = np.abs(resid) / scale
+    loss = np.where(z <= HUBER_T, 0.5 * z * z, HUBER_T * z - 0.5 * HUBER_T**2).sum()
+    return np.where(z <= HUBER_T, 1.0, HUBER_T / np.maximum(z, HUBER_T)), float(loss)
 
-    names = CONTINUOUS + BINARY
-    dummies = [(f"cat__{f}__{lv}", f, lv) for f in CATEGORICAL for lv in levels.get(f, [])]
-    flat = rows.select(
-        "y", *names,
-        *[
-            F.when(F.col(f) == lv, 1.0).otherwise(0.0).alias(f"__d{i}")
-            for i, (_, f, lv) in enumerate(dummies)
-        ],
+
+def least_norm(xx: np.ndarray, xy: np.ndarray) -> np.ndarray:
+    """The solution of smallest norm of the normal equations. Columns are brought to one scale to
+    tell the rank, which does not change the set of solutions; the norm is taken afterwards."""
+    size = np.sqrt(np.maximum(np.diag(xx), 0))
+    size = np.where(size > 0, size, 1.0)
+    values, vectors = np.linalg.eigh(xx / np.outer(size, size))
+    keep = values > values.max(initial=0) * 1e-11
+    some = (vectors[:, keep] / values[keep]) @ (vectors[:, keep].T @ (xy / size)) / size
+    # directions that change no prediction, in the original columns
+    free = vectors[:, ~keep] / size[:, None]
+    if not free.shape[1]:
+        return some
+    basis = np.linalg.qr(free)[0]
+    return some - basis @ (basis.T @ some)
+
+
+_PLAIN = 1 + len(CONTINUOUS) + len(BINARY)
+
+
+def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows to blocks: (gid, y, plain columns and category codes as one matrix)."""
+    for pdf in frames:
+        out = [
+            (gid, part.drop(columns="gid").to_numpy(float).tobytes())
+            for gid, part in pdf.groupby("gid", sort=False)
+        ]
+        yield pd.DataFrame(out, columns=["gid", "block"])
+
+
+def _unpack(block: bytes, widths: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(design matrix, target) of a block; ``widths`` are the levels of each category."""
+    data = np.frombuffer(block).reshape(-1, _PLAIN + len(CATEGORICAL))
+    parts = [np.ones((len(data), 1)), data[:, 1:_PLAIN]]
+    for i, width in enumerate(widths):
+        parts.append((data[:, _PLAIN + i, None] == np.arange(1, width + 1)).astype(float))
+    return np.concatenate(parts, axis=1), data[:, 0]
+
+
+def _normal_equations(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per group and task: sums over all its blocks at the state's coefficients and scale."""
+    sums: dict[int, list] = {}
+    for pdf in frames:
+        for r in pdf.itertuples(index=False):
+            x, y = _unpack(r.block, r.widths)
+            w, loss = np.ones(len(y)), 0.0
+            if r.beta is not None and len(r.beta):
+                w, loss = huber_weight(y - x @ np.asarray(r.beta), r.scale)
+            xw = x * w[:, None]
+            new = [xw.T @ x, xw.T @ y, loss]
+            old = sums.get(r.gid)
+            sums[r.gid] = new if old is None else [a + b for a, b in zip(old, new, strict=True)]
+    part = hash(tuple(sums)) % 32
+    rows = [(g, part, xx.tobytes(), xy.tobytes(), loss) for g, (xx, xy, loss) in sums.items()]
+    yield pd.DataFrame(rows, columns=["gid", "part", "xx", "xy", "loss"])
+
+
+def _added(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    xy = sum(np.frombuffer(v) for v in pdf["xy"])
+    xx = sum(np.frombuffer(v) for v in pdf["xx"]).reshape(len(xy), len(xy))
+    return xx, xy, float(pdf["loss"].sum())
+
+
+def _add_parts(pdf: pd.DataFrame) -> pd.DataFrame:
+    xx, xy, loss = _added(pdf)
+    row = (pdf["gid"].iloc[0], 0, xx.tobytes(), xy.tobytes(), loss)
+    return pd.DataFrame([row], columns=["gid", "part", "xx", "xy", "loss"])
+
+
+def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    xx, xy, loss = _added(pdf)
+    beta = least_norm(xx, xy)
+    return pd.DataFrame([(pdf["gid"].iloc[0], beta.tolist(), loss)], columns=["gid", "next", "loss"])
+
+
+def _residuals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        for r in pdf.itertuples(index=False):
+            x, y = _unpack(r.block, r.widths)
+            resid = y - x @ np.asarray(r.beta)
+            yield pd.DataFrame({"gid": r.gid, "resid": resid, "away": np.abs(resid)})
+
+
+def _label(feature: str):
+    return lambda level: F.concat(F.lit(f"cat__{feature}__"), level)
+
+
+def _fit_together(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Models of all ``groups`` (GROUP, n), every round for those that have not settled."""
+    by_feature = category_levels(rows).groupBy(*GROUP).agg(
+        F.map_from_entries(F.collect_list(F.struct("feature", "levels"))).alias("levels")
     )
-    inputs = names + [f"__d{i}" for i in range(len(dummies))]
-    data = materialize(
-        VectorAssembler(inputCols=inputs, outputCol="features").transform(flat).select("y", "features")
+    found = groups.join(by_feature, GROUP, "left")
+    no_level = F.array().cast("array<string>")
+    levels = {f: F.coalesce(F.col("levels")[f], no_level) for f in CATEGORICAL}
+    named = materialize(
+        found.select(
+            F.monotonically_increasing_id().alias("gid"), *GROUP, "n",
+            *[levels[f].alias(f"__{f}") for f in CATEGORICAL],
+        )
     )
-    solver = LinearRegression(
-        featuresCol="features", labelCol="y", weightCol="w", solver="normal", regParam=0.0,
-        standardization=False, predictionCol="p",
+    codes = [
+        F.coalesce(F.array_position(F.col(f"__{f}"), F.col(f)), F.lit(0)).cast("double").alias(f"c_{f}")
+        for f in CATEGORICAL
+    ]
+    coded = rows.join(named, GROUP).select("gid", "y", *CONTINUOUS, *BINARY, *codes)
+    blocks = materialize(coded.mapInPandas(_pack, "gid long, block binary"), even=True)
+    widths = F.array(*[F.size(f"__{f}") for f in CATEGORICAL])
+    state = named.select(
+        "gid", widths.alias("widths"), F.array().cast("array<double>").alias("beta"),
+        F.lit(None).cast("double").alias("scale"), F.lit(None).cast("double").alias("before"),
     )
-    model = solver.fit(data.withColumn("w", F.lit(1.0)))
-    before = float("inf")
-    for _ in range(MAX_ROUNDS - 1):
-        scale = _scale(model.transform(data))
-        if scale == 0.0:
-            break
-        z = F.abs(F.col("y") - F.col("p")) / scale
-        weight = F.when(z <= HUBER_T, 1.0).otherwise(HUBER_T / F.greatest(z, F.lit(HUBER_T)))
-        model = solver.fit(model.transform(data).select("y", "features", weight.alias("w")))
-        fitted = model.transform(data)
-        scale = _scale(fitted)
-        if scale == 0.0:
+    settled = []
+    for turn in range(MAX_ROUNDS + 1):
+        sums = blocks.join(state, "gid").mapInPandas(
+            _normal_equations, "gid long, part int, xx binary, xy binary, loss double"
+        )
+        kinds = "gid long, part int, xx binary, xy binary, loss double"
+        solved = materialize(
+            sums.groupBy("gid", "part").applyInPandas(_add_parts, kinds)
+            .groupBy("gid").applyInPandas(_solve, "gid long, next array<double>, loss double")
+            .join(state, "gid")
+        )
+        # the loss belongs to the coefficients that the round began with
+        stop = (F.abs(F.col("loss") - F.col("before")) <= TOLERANCE) if turn > 1 else F.lit(False)
+        stop = F.coalesce(stop, F.lit(False)) | F.lit(turn == MAX_ROUNDS)
+        settled.append(solved.where(stop).select("gid", "widths", "beta"))
+        going = solved.where(~stop).select(
+            "gid", "widths", F.col("next").alias("beta"), (F.col("loss") if turn else F.lit(None).cast("double")).alias("before")
+        )
+        away = blocks.join(going, "gid").select("gid", "block", "widths", "beta").mapInPandas(
+            _residuals, "gid long, resid double, away double"
+        )
+        middle = order_stats(away, ["gid"], "away", {"m": 0.5}).select("gid", (F.col("m") / MAD_TO_SIGMA).alias("scale"))
+        state = materialize(going.join(middle, "gid").select("gid", "widths", "beta", "scale", "before"))
+        settled.append(state.where("scale = 0").select("gid", "widths", "beta"))
+        state = state.where("scale > 0")
+        if state.isEmpty():
             break
-        z = F.abs(F.col("y") - F.col("p")) / scale
-        loss = F.when(z <= HUBER_T, 0.5 * z * z).otherwise(HUBER_T * z - 0.5 * HUBER_T**2)
-        now = fitted.agg(F.sum(loss)).head()[0]
-        if abs(now - before) <= TOLERANCE:
-            break
-        before = now
-    resid = F.col("y") - F.col("p")
-    n, sd = model.transform(data).agg(F.count(F.lit(1)), F.stddev_pop(resid)).head()
-    labels = names + [d[0] for d in dummies]
-    coefs = dict(zip(labels, map(float, model.coefficients), strict=True))
-    return float(model.intercept), coefs, int(n), len(labels), float(sd)
-
-
-def _scale(fitted: DataFrame) -> float:
-    resid = fitted.select(F.abs(F.col("y") - F.col("p")).alias("r"))
-    return order_stats(resid, [], "r", {"m": 0.5}).head()["m"] / MAD_TO_SIGMA
+    done = settled[0]
+    for more in settled[1:]:
+        done = done.unionByName(more)
+    done = materialize(done)
+    spread = (
+        blocks.join(done, "gid").select("gid", "block", "widths", "beta").mapInPandas(_residuals, "gid long, resid double, away double")
+        .groupBy("gid").agg(F.stddev_pop("resid").alias("residual_stddev"))
+    )
+    labels = F.concat(
+        F.array(*[F.lit(c) for c in CONTINUOUS + BINARY]),
+        *[F.transform(F.col(f"__{f}"), _label(f)) for f in CATEGORICAL],
+    )
+    return named.join(done, "gid").join(spread, "gid").select(
+        *GROUP, F.col("beta")[0].alias("intercept"),
+        F.map_from_arrays(labels, F.slice("beta", F.lit(2), F.size(labels))).alias("coefficients"),
+        F.col("n").alias("n_samples"), F.size(labels).alias("n_features"), "residual_stddev",
+    )
 
 
 def fit_models(
     listings: DataFrame, min_rows: int = MIN_FIT_ROWS, max_group_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:
     """One row per fitted group; groups with fewer than ``min_rows`` usable rows have none."""
-    spark = listings.sparkSession
     rows = materialize(trainable(design(listings)))
     sizes = materialize(rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")))
-    # at most rows / max_group_rows groups, so this read is small whatever the table's size
-    large = [tuple(r) for r in sizes.where(F.col("n") > max_group_rows).select(*GROUP).collect()]
     fitting = sizes.where(F.col("n").between(min_rows, max_group_rows)).select(*GROUP)
     models = rows.join(fitting, GROUP).groupBy(*GROUP).applyInPandas(_fit_group, MODEL_SCHEMA)
-    if not large:
+    large = sizes.where(F.col("n") > max_group_rows)
+    if large.isEmpty():
         return materialize(models)
-    out = []
-    for key in large:
-        mine = rows
-        for name, value in zip(GROUP, key, strict=True):
-            mine = mine.where(F.col(name) == value)
-        levels = {r["feature"]: r["levels"] for r in category_levels(mine).collect()}
-        out.append((*key, *_fit_large(mine, levels)))
-    return materialize(models.unionByName(spark.createDataFrame(out, MODEL_SCHEMA)))
+    return materialize(models.unionByName(_fit_together(rows, large)))
 
 
 def predicted_log(coefficients: Column, intercept: Column, row: Column) -> Column:
@@ -228,12 +330,8 @@ def predicted_log(coefficients: Column, intercept: Column, row: Column) -> Colum
 
 
 def with_predictions(listings: DataFrame, models: DataFrame) -> DataFrame:
-    """Add predicted_log, actual_log and hedonic_fit to every listing.
-
-    One join with the model table, which is broadcast only after its row count was checked;
-    listings are neither shuffled nor joined with themselves in that case.
-    """
-    few = models.limit(MAX_BROADCAST_MODELS + 1).count() <= MAX_BROADCAST_MODELS
+    """Add predicted_log, actual_log and hedonic_fit to every listing: one join with the model table, whose
+    measured size decides at run time whether it is broadcast."""
     side = models.select(
         *[F.col(g).alias(f"__{g}") for g in GROUP], F.col("intercept").alias("__intercept"),
         F.col("coefficients").alias("__coefficients"),
@@ -242,7 +340,7 @@ def with_predictions(listings: DataFrame, models: DataFrame) -> DataFrame:
     same = F.lit(True)
     for g in GROUP:
         same = same & (F.col(f"__x.{g}") == F.col(f"__{g}"))
-    joined = rows.join(F.broadcast(side) if few else side, same, "left")
+    joined = rows.join(side, same, "left")
     return joined.select(
         *listings.columns,
         predicted_log(F.col("__coefficients"), F.col("__intercept"), F.col("__x"))

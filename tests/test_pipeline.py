@@ -131,6 +131,20 @@ def test_hedonic_recovers_truth_despite_outliers_and_both_ways_agree(spark):
     assert gap < 1e-6
 
 
+def test_collinear_columns_get_the_same_coefficients_in_both_ways(spark):
+    a = hedonic_rows(spark, 300, 2).withColumn("floor_current", F.lit(1))
+    b = hedonic_rows(spark, 260, 6, district="Brno").withColumn("floor_current", F.lit(2))
+    df = a.union(b)
+    one, many = ({r.city: r for r in hedonic.fit_models(df, max_group_rows=m).collect()} for m in (10_000, 100))
+    assert one.keys() == many.keys() == {"Praha", "Brno"}
+    for city, x in one.items():
+        y = many[city]
+        assert (x.n_samples, x.n_features) == (y.n_samples, y.n_features)
+        assert x.intercept == pytest.approx(y.intercept, abs=1e-6)
+        assert x.coefficients == pytest.approx(y.coefficients, abs=1e-6)
+        assert x.residual_stddev == pytest.approx(y.residual_stddev, rel=1e-6)
+
+
 def test_prediction_of_unseen_level_uses_reference(spark):
     df = hedonic_rows(spark, 200, 3)
     m = hedonic.fit_models(df)
@@ -278,3 +292,40 @@ def test_watchlist_hits_match_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want and want
     rest = market.watchlist_hits(w, l, spark.createDataFrame(list(want)[:50], "watchlist_id int, listing_id int"))
     assert rest.count() == len(want) - 50
+
+
+def listing_docs(spark, day, ids):
+    doc = lambda i: json.dumps({
+        "name": {"value": "Prodej bytu 2+kk"}, "price_czk": {"value_raw": 5_000_000 + i}, "seo": {"category_main_cb": 1, "category_type_cb": 1},
+        "gps": {"lat": 50.05, "lon": 14.4}, "locality": {"value": "Dlouhá 12, Praha 1"},
+        "items": [{"name": "Celková plocha", "value": "56", "unit": "m²"}, {"name": "Vlastnictví", "value": "Osobní"}]}, ensure_ascii=False)
+    rows = [("portal", str(i), dt.datetime(2024, 1, day), f"h{day}-{i}", "https://x", doc(i)) for i in ids]
+    return spark.createDataFrame(rows, "source_slug string, source_listing_id string, fetched_at timestamp, content_hash string, canonical_url string, payload string")
+
+
+def test_second_batch_keeps_links_and_finds_the_relisting(spark):
+    from parcelwise.plans import ingest as plan
+
+    props = spark.createDataFrame([], "property_id bigint, lat double, lon double, address_normalized string, address_precision string, locality string, "
+                                      "city_district string, cadastral_area string, postcode string, ruian_address_code string")
+    one = plan.ingest(listing_docs(spark, 1, [1]), spark.createDataFrame([], LISTING), props)
+    first = one.listings.head()
+    assert first.property_id is not None and first.dedup_cluster_id is None
+    two = plan.ingest(listing_docs(spark, 2, [2]), one.listings, one.properties)
+    rows = {r.source_listing_id: r for r in two.listings.collect()}
+    assert rows["1"].property_id == rows["2"].property_id == first.property_id
+    assert rows["1"].dedup_cluster_id == rows["2"].dedup_cluster_id == rows["1"].listing_id
+    assert two.properties.count() == 1
+    # the earlier one is withdrawn: the cluster is released
+    gone = two.listings.withColumn("status", F.when(F.col("source_listing_id") == "1", "withdrawn").otherwise(F.col("status")))
+    three = plan.ingest(listing_docs(spark, 3, [2]), gone, two.properties)
+    assert {r.dedup_cluster_id for r in three.listings.collect()} == {None}
+
+
+def test_cluster_ids_are_kept(spark):
+    from parcelwise.operators import dedup
+
+    rows = spark.createDataFrame([(1, None), (2, 9), (3, 9), (4, 9), (5, 7), (6, None)], "listing_id bigint, dedup_cluster_id bigint")
+    found = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "listing_id bigint, canonical_id bigint")
+    got = {r.listing_id: r.dedup_cluster_id for r in dedup.with_cluster_ids(rows, found).collect()}
+    assert got == {1: 9, 2: 9, 3: 3, 4: 3, 5: None, 6: None}
