@@ -7,6 +7,12 @@ the distance lie inside, the others outside. Every distinct fingerprint has one
 and as a query it goes to each leaf that the triangle bounds cannot exclude. Inside a leaf queries and
 residents are compared on all 64 bits, so no pair within the radius is lost and none beyond is linked.
 
+Links of a longer fingerprint estimate a similarity (:func:`wide_near_duplicates`): ``WIDE_WORDS`` times 64
+bits, on which a Jaccard similarity of word shingles shows as an expected share of differing bits. At the
+distances of 0.8 no radius on 64 bits lets a tree exclude anything, so there every one of many short bit ranges
+has a tree whose leaves a query enters without reach, and pairs are verified on all bits. A pair at exactly 0.8 agrees on
+some range with probability 0.99, a closer one more often.
+
 The trees' shape is fitted on a bounded sample of distinct fingerprints; every fingerprint is indexed.
 Copies of one fingerprint are one row of the search; a leaf hands on a spanning forest of its pairs,
 never the pairs themselves, so a dense group costs as many rows as it has members.
@@ -18,6 +24,7 @@ repeated rows repeat in the result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import fresh, row_hash
+from parcelwise.llm import textbytes as tb
+from parcelwise.llm.common import fresh, keep, row_hash
 from parcelwise.operators.graph import connected_components
 from parcelwise.session import materialize
 
@@ -36,30 +44,48 @@ RADIUS = 4
 TREES = 3
 LEAF_ROWS = 2048
 SAMPLE = 100_000
+WIDE_WORDS = 4
+WIDE_RANGE = 10
 SEED = 42
 _FEW = 1 << 14  # shingles whose bits are unpacked at once
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The unsigned fingerprint of one UTF-8 text."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of every shingle of one UTF-8 text, repeats included."""
     parts = text.lower().split()
     n = len(parts) - shingle + 1
     if not parts:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(parts)
     digest = xxhash.xxh64_intdigest
     if n <= 1:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], dtype="<u8")
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     begin = [0, *(gaps[: n - 1] + 1).tolist()]
     end = [*gaps[shingle - 1 :].tolist(), len(joined)]
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(begin, end, strict=True)], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(begin, end, strict=True)], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Eight bytes: a bit is set if it is set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, _FEW):
+    for i in range(0, len(hashes), _FEW):
         part = hashes[i : i + _FEW]
         bits = np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return np.packbits(2 * ones > len(hashes), bitorder="little")
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The unsigned fingerprint of one UTF-8 text."""
+    return int(majority(shingle_hashes(text, shingle)).view("<u8")[0])
+
+
+def wide_fingerprint(text: bytes, shingle: int, words: int) -> bytes:
+    """``words`` fingerprints of the same shingles under different mixtures of their hashes."""
+    hashes = shingle_hashes(text, shingle)
+    more = (tb.mix(hashes ^ np.uint64(0xA0761D6478BD642F * k % 2**64)).astype("<u8") for k in range(1, words))
+    return b"".join(majority(h).tobytes() for h in (hashes, *more))
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -230,10 +256,84 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return keyed.join(of.join(named, "component").select("fp", "component_id", "component"), "fp")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def wide_radius(similarity: float, words: int = WIDE_WORDS) -> int:
+    """Differing bits expected at a Jaccard similarity, and one standard deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(64 * words * share + math.sqrt(64 * words * share * (1 - share)))
+
+
+def wide_leaf_links(ids: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (member, root) of the pairs within ``radius``; ``prints`` has a row of words by id."""
+    n = len(ids)
+    parent = np.arange(n)
+    block = max(1, (1 << 19) // max(1, n))
+    for i in range(0, n, block):
+        far = np.zeros((min(block, n - i), n - i), np.uint16)
+        for k in range(prints.shape[1]):
+            far += np.bitwise_count(prints[i : i + block, None, k] ^ prints[None, i:, k])
+        q, h = np.nonzero(far <= radius)
+        settle(parent, q + i, h + i)
+    away = np.flatnonzero(parent != np.arange(n))
+    return ids[away], ids[parent[away]]
+
+
+def wide_links(prints: DataFrame, radius: int, words: int = WIDE_WORDS, leaf_rows: int = LEAF_ROWS,
+               sample: int = SAMPLE // 4) -> DataFrame:
+    """(a, b): links between the ids ``fp`` of distinct ``wide`` fingerprints."""
+    spark = prints.sparkSession
+    n = prints.count()
+    some = prints.orderBy(F.xxhash64("fp", F.lit(7)), "fp").limit(sample).toPandas()["wide"]
+    bits = np.frombuffer(b"".join(some), "<u8").reshape(-1, words)
+    per_leaf = max(16, leaf_rows * len(bits) // max(1, n))
+    places = [(w, s) for w in range(words) for s in range(0, 65 - WIDE_RANGE, WIDE_RANGE)]
+    forest = spark.sparkContext.broadcast(
+        [(w, VantageTree.fit(bits[:, w], s, WIDE_RANGE, per_leaf, i)) for i, (w, s) in enumerate(places)]
+    )
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, words)
+            for t, (w, tree) in enumerate(forest.value):
+                row, leaf = tree.route(np.ascontiguousarray(values[:, w]), 0)
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(leaf * len(places) + t), batch.column(0).take(rows), batch.column(1).take(rows)],
+                    ["leaf", "fp", "wide"],
+                )
+
+    def search(table: pa.Table) -> pa.Table:
+        mine = np.frombuffer(b"".join(table.column("wide").to_pylist()), "<u8").reshape(-1, words)
+        a, b = wide_leaf_links(table.column("fp").to_numpy(), mine, radius)
+        return pa.table({"a": a, "b": b})
+
+    routed = prints.select("fp", "wide").mapInArrow(route, "leaf long, fp long, wide binary")
+    return routed.groupBy("leaf").applyInArrow(search, "a long, b long")
+
+
+def wide_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = WIDE_WORDS) -> DataFrame:
+    """(doc_id, row, component): groups of documents linked by an estimated similarity of at least ``similarity``."""
+    texts = docs.select("doc_id", row_hash(docs).alias("row"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = [wide_fingerprint((t or "").encode(), shingle, words) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(wide, pa.binary())], ["doc_id", "row", "wide"]
+            )
+
+    keyed, _ = keep(
+        texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, row long, wide binary").withColumn("fp", F.xxhash64("wide"))
+    )
+    prints = materialize(keyed.select("fp", "wide").distinct())
+    edges = materialize(wide_links(prints, wide_radius(similarity, words), words).distinct())
+    of = connected_components(prints.select(F.col("fp").alias("v")), edges).withColumnRenamed("v", "fp")
+    return keyed.join(of, "fp").select("doc_id", "row", "component")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one with the smallest id."""
     (row,) = fresh(docs, "row")
-    found = near_duplicates(docs, shingle, radius)
+    found = wide_near_duplicates(docs, shingle, similarity)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     stays = found.groupBy("component").agg(F.min(first).alias("first")).select(
         F.col("first.doc_id").alias("stay_id"), F.col("first.row").alias("stay_row")
