@@ -197,7 +197,7 @@ def _map_clusters(spark, sf_dir):
     "W3_same_source_duplicates",
     f"""
 WITH l AS (SELECT listing_id, property_id, source_id, round_even(size_m2 / 7, 0) AS m2, disposition,
-                  ownership_type, first_seen_at FROM ({L})),
+                  ownership_type, first_seen_at FROM ({L}) WHERE status = 'active'),
 g AS (SELECT *, count(*) OVER w AS cluster_size,
              first_value(listing_id) OVER (w ORDER BY first_seen_at, listing_id) AS canonical_id
       FROM l WINDOW w AS (PARTITION BY property_id, source_id, m2, disposition, ownership_type))
