@@ -13,4 +13,5 @@ def load_all() -> None:
         scores,
         search,
         streams,
+        tables,
     )
