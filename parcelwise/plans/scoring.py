@@ -9,6 +9,7 @@ from parcelwise.functions import scoring as s
 from parcelwise.operators import hedonic
 from parcelwise.operators.history import latest_stats
 from parcelwise.operators.segments import relaxed_stats, with_segment
+from parcelwise.plans.market import rent_comparables, time_on_market
 from parcelwise.session import materialize
 
 
@@ -30,6 +31,18 @@ def market_stats(population: DataFrame, as_of_date: Column, listing_kind: str |
     )
 
 
+def market_inputs(listings: DataFrame, as_of: Column) -> DataFrame:
+    """(segment_key, dom_median_days, turnover_quarterly, rent_ppm2, rent_n, rent_level) of all ``listings``,
+    closed ones and rentals included: what liquidity and yield need besides prices."""
+    sold = time_on_market(with_segment(listings), ["segment_key"], as_of).select(
+        "segment_key", F.col("dom_median_days").cast("double").alias("dom_median_days"), "turnover_quarterly"
+    )
+    rents = rent_comparables(listings).where(F.col("rent_level").isNotNull()).select(
+        "segment_key", "rent_ppm2", "rent_n", "rent_level"
+    )
+    return sold.join(rents, "segment_key", "full")
+
+
 def with_model(population: DataFrame, models: DataFrame | None) -> DataFrame:
     """Add predicted_log, actual_log and hedonic_fit."""
     if models is None:
@@ -163,14 +176,22 @@ def score_rows(
 def nightly(
     population: DataFrame, config: s.ScoringConfig, as_of: Column, model_version: str = "v1",
     stats_history: DataFrame | None = None, max_group_rows: int = hedonic.MAX_GROUP_ROWS,
+    market: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(today's statistics, models, scores) of a population.
 
+    ``market`` holds all listings, closed ones and rentals too; with it the statistics carry time on market,
+    turnover and rents, so that liquidity and yield are scored. Location inputs (distances, amenity
+    counts) are columns of the population, as the spatial operators add them.
+
     The population is written once, in even parts: statistics, models and scores each read it, and
     the listings of a large property leave the join in few partitions.
     """
     pop = materialize(population, even=True)
-    today = materialize(market_stats(pop, F.to_date(as_of), listing_kind=None))
+    today = market_stats(pop, F.to_date(as_of), listing_kind=None)
+    if market is not None:
+        today = today.join(market_inputs(market, as_of), "segment_key", "left")
+    today = materialize(today)
     history = today if stats_history is None else stats_history.unionByName(
         today, allowMissingColumns=True
     )

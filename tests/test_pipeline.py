@@ -167,6 +167,26 @@ def test_nightly_scores(spark):
     assert float(r.undervaluation_pct) == pytest.approx(max(-50, min(50, (math.exp(diff) - 1) * 100)), abs=1e-3)
 
 
+def test_nightly_scores_all_components_when_the_market_is_given(spark):
+    t = lambda m, d: F.lit(dt.datetime(2024, m, d))
+    pop = hedonic_rows(spark, 300, 4).withColumn("listing_kind", F.lit("prodej")).withColumn("first_seen_at", t(3, 1))
+    pop = pop.withColumn("last_seen_at", t(3, 10)).withColumn("status", F.lit("active")).withColumn("photo_count", F.lit(9))
+    pop = pop.withColumn("description", F.lit("klid")).withColumn("address_precision", F.lit("rooftop"))
+    closed = pop.limit(60).withColumn("status", F.lit("withdrawn"))
+    rents = pop.withColumn("listing_kind", F.lit("pronajem")).withColumn("price", F.col("size_m2") * 400)
+    near = pop.select("*", *[F.lit(300.0).alias(c) for c in ("dist_metro_m", "dist_tram_m", "dist_train_m", "dist_park_m", "dist_road_m")],
+                      F.create_map(F.lit("supermarket"), F.lit(3)).alias("amenity_counts"))
+    stats, _, out = scoring.nightly(near, s.ScoringConfig(s.WEIGHTS_V1, s.DEFAULT_REFS), t(3, 11), market=pop.union(closed).union(rents))
+    assert stats.where("dom_median_days IS NULL OR rent_ppm2 IS NULL").count() == 0
+    rows = out.collect()
+    assert len(rows) == 300
+    for name in ("undervaluation_pct", "yield_gross_pct", "liquidity_score", "location_score", "risk_score", "composite"):
+        assert all(r[name] is not None for r in rows), name
+    r = rows[0]
+    size = pop.where(pop.listing_id == r.listing_id).head().size_m2
+    assert r.components.monthly_rent == pytest.approx(400 * size, rel=1e-6)
+
+
 def test_score_visibility_and_history(spark):
     t = lambda d: dt.datetime(2024, 1, d)
     df = spark.createDataFrame([(1, "v1", t(1), 0.9), (1, "v2", t(2), None), (2, "v1", t(1), 0.29), (2, "v1", t(3), 0.3)],
