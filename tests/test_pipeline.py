@@ -282,7 +282,15 @@ def test_incremental_ingest_over_two_runs(spark):
     assert {k: int(r.price) for k, r in rows.items()} == {"1": 100, "2": 250, "3": 300}
     assert rows["2"].first_seen_at == dt.datetime(2024, 1, 1) and rows["2"].last_seen_at == dt.datetime(2024, 1, 5)
     assert {r.source_listing_id: int(r.price) for r in st.run_incremental(*args).collect()} == {"1": 100, "2": 250, "3": 300}
-    assert spark.createDataFrame([], LISTING).columns == st.VersionedTable(spark, f"{root}/table", LISTING).read().columns
+    table = st.BucketedTable(spark, f"{root}/table", LISTING, ["source_slug", "source_listing_id"])
+    assert spark.createDataFrame([], LISTING).columns == table.read().columns
+    assert len(set(table.current().values())) == 2  # the second batch left the bucket of listing 1 alone
+    for d in (6, 7, 8):
+        payloads(spark, f"{root}/in", [("2", d, 250 + d)])
+        assert st.run_incremental(*args).count() == 3
+    assert len(table._manifests()) == 2
+    named = set(table.current().values()) | set(table.current(below=table._manifests()[-1]).values())
+    assert {int(n[1:]) for n in table._names("data")} == named
 
 
 def test_changed_only_keeps_state_between_runs(spark):
