@@ -28,7 +28,7 @@ from parcelwise.llm.common import fold, labelled_sample
 
 SIZES = (3, 4, 5)
 BITS = 18
-PER_CLASS = 2500
+PER_CLASS = 2000
 THRESHOLD = 0.7
 ROUNDS = 80
 PENALTY = 1e-3
@@ -73,24 +73,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -500, 500)))
 
 
-def log_count_ratios(feature: np.ndarray, toxic: np.ndarray, smooth: float = 1.0) -> np.ndarray:
-    """By feature, from (feature, label of the text) pairs; 0 for features that are rare or balanced."""
-    p = np.bincount(feature[toxic], minlength=1 << BITS) + smooth
-    q = np.bincount(feature[~toxic], minlength=1 << BITS) + smooth
+def log_count_ratios(toxic: np.ndarray, other: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+    """By feature, from its numbers of toxic and other texts; 0 for features that are rare or balanced."""
+    p, q = toxic + smooth, other + smooth
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    ratio[(p + q - 2 * smooth < LEAST_DOCS) | (np.abs(ratio) < LEAST_RATIO)] = 0
+    ratio[(toxic + other < LEAST_DOCS) | (np.abs(ratio) < LEAST_RATIO)] = 0
     return ratio
 
 
 def train(sets: list[np.ndarray], label: np.ndarray, prior: float) -> Model:
     """Fit on the feature sets of the sample; ``prior`` is the share of toxic texts among all labels."""
-    size = np.array([len(s) for s in sets])
-    feature = np.concatenate(sets)
-    ratio = log_count_ratios(feature, np.repeat(label == 1, size))
+    counts = np.zeros((2, 1 << BITS))
+    for s, y in zip(sets, label, strict=True):
+        counts[int(y), s] += 1
+    ratio = log_count_ratios(counts[1], counts[0])
     used = ratio != 0
     number = np.cumsum(used) - 1
-    keep = used[feature]
-    column, doc = number[feature[keep]], np.repeat(np.arange(len(sets)), size)[keep]
+    kept = [number[s[used[s]]].astype(np.int32) for s in sets]
+    column = np.concatenate(kept)
+    doc = np.repeat(np.arange(len(sets), dtype=np.int32), [len(k) for k in kept])
     scale = ratio[used]
     w, m, v = (np.zeros(len(scale)) for _ in range(3))
     b = mb = vb = 0.0
@@ -126,9 +127,10 @@ def training_sets(docs: DataFrame, sample: DataFrame) -> tuple[list[np.ndarray],
                 [batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["doc_id", "label", "sets"]
             )
 
-    got = texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, label int, sets binary").toPandas()
-    got = got.sort_values(["doc_id", "sets"], kind="stable")
-    return [np.frombuffer(s, "<u4").astype(np.int64) for s in got["sets"]], got["label"].to_numpy(np.float64)
+    got = texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, label int, sets binary").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("sets", "ascending")])
+    sets = [np.frombuffer(s.as_buffer(), "<u4") for s in got.column("sets")]
+    return sets, got.column("label").to_numpy().astype(np.float64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1,
