@@ -265,6 +265,8 @@ def wide_radius(similarity: float, words: int = WIDE_WORDS) -> int:
 def wide_leaf_links(ids: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (member, root) of the pairs within ``radius``; ``prints`` has a row of words by id."""
     n = len(ids)
+    order = np.argsort(ids)  # the smallest id is the root, whichever leaf finds the group
+    ids, prints = ids[order], prints[order]
     parent = np.arange(n)
     block = max(1, (1 << 19) // max(1, n))
     for i in range(0, n, block):
@@ -310,6 +312,16 @@ def wide_links(prints: DataFrame, radius: int, words: int = WIDE_WORDS, leaf_row
     return routed.groupBy("leaf").applyInArrow(search, "a long, b long")
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """Links with the same components: each member's smallest root, and that root with its other roots.
+
+    Trees name the same root for most members of a group, so the second kind is few rows.
+    """
+    by = links.groupBy("a").agg(F.min("b").alias("low"), F.collect_set("b").alias("roots"))
+    roots = by.select(F.explode("roots").alias("a"), F.col("low").alias("b")).where(F.col("a") != F.col("b"))
+    return by.select("a", F.col("low").alias("b")).union(roots).distinct()
+
+
 def wide_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = WIDE_WORDS) -> DataFrame:
     """(doc_id, row, component): groups of documents linked by an estimated similarity of at least ``similarity``."""
     texts = docs.select("doc_id", row_hash(docs).alias("row"), "text")
@@ -325,7 +337,7 @@ def wide_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
         texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, row long, wide binary").withColumn("fp", F.xxhash64("wide"))
     )
     prints = materialize(keyed.select("fp", "wide").distinct())
-    edges = materialize(wide_links(prints, wide_radius(similarity, words), words).distinct())
+    edges = materialize(contracted(wide_links(prints, wide_radius(similarity, words), words)))
     of = connected_components(prints.select(F.col("fp").alias("v")), edges).withColumnRenamed("v", "fp")
     return keyed.join(of, "fp").select("doc_id", "row", "component")
 
