@@ -36,7 +36,7 @@ ORDER = 6
 MAX_NGRAMS = 1_000_000
 DISCOUNT = 0.8
 END = 10
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 12_000_000
 _LENGTH = 56  # a key is the n-gram's bytes, the last lowest, with its length above
 _STEPS = 1024
 _HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -346,7 +346,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, model: Automaton | Non
         number, block = TaskContext.get().partitionId() << 24, _Block()
         for batch in batches:
             out = batch.column(2).to_numpy(zero_copy_only=False)
-            for lo, hi, buf, off in tb.slices(batch.column(1), 4 * tb.SLICE):
+            for lo, hi, buf, off in tb.slices(batch.column(1), 2 * tb.SLICE):
                 low = tb.LOWER[buf]
                 start, end, doc = tb.words(low, off)
                 block.add(
