@@ -285,6 +285,134 @@ def _unvarints(data: np.ndarray) -> np.ndarray:
     return out
 
 
+class Words:
+    """The words of some documents, to be numbered by frequency and spelled once each."""
+
+    def __init__(self) -> None:
+        self.bytes = 0
+        self.parts: list[tuple] = []
+
+    def add(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct words' hashes, number there of every word, its row, words by row) of the texts."""
+        start, end, doc = tb.words(buf, off)
+        distinct, first, where = np.unique(tb.span_hashes(buf, start, end), return_index=True, return_inverse=True)
+        where, n = where.astype(np.int32), tb.per_row(doc, len(off) - 1)
+        self.parts.append((distinct, where, n, *_spelled(buf, start[first], end[first] - start[first])))
+        self.bytes += len(buf)
+        return distinct, where, doc, n
+
+    def close(self) -> tuple[list[pa.Array], bytes, list[np.ndarray], np.ndarray]:
+        """(every part's texts as word numbers, the words in order with a blank after each, the number
+        of every part's distinct words, the words' hashes in order)."""
+        distinct, first, where = np.unique(np.concatenate([p[0] for p in self.parts]), return_index=True, return_inverse=True)
+        cuts = np.cumsum([0, *(len(p[0]) for p in self.parts)])
+        used = np.zeros(len(distinct), np.int64)
+        for p, a, b in zip(self.parts, cuts, cuts[1:], strict=False):
+            used[where[a:b]] += np.bincount(p[1], minlength=b - a)
+        order = np.argsort(-used, kind="stable")
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        letters, size = np.concatenate([p[3] for p in self.parts]), np.concatenate([p[4] for p in self.parts])
+        pick = first[order]
+        spelling, _ = _spelled(letters, (np.cumsum(size) - size)[pick], size[pick] - 1)
+        texts, numbers = [], [number[where[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+        for p, mine in zip(self.parts, numbers, strict=True):
+            data, width = _varints(mine[p[1]])
+            ends = np.concatenate([[0], np.cumsum(p[2])])
+            off = np.concatenate([[0], np.cumsum(width)])[ends].astype(np.int64)
+            texts.append(pa.Array.from_buffers(pa.large_binary(), len(p[2]), [None, pa.py_buffer(off), pa.py_buffer(data)]).cast(pa.binary()))
+        return texts, spelling.tobytes(), numbers, distinct[order]
+
+
+def _spelled(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the spans' bytes with a blank after each, sizes with the blank)."""
+    size = size + 1
+    last = np.cumsum(size) - 1
+    at = np.repeat(start - (last + 1 - size), size) + np.arange(size.sum())
+    at[last] = 0
+    out = buf[at] if len(buf) else np.zeros(0, np.uint8)
+    out[last] = 32
+    return out, size
+
+
+def respelled(spelling: bytes, texts: list[np.ndarray], limit: int = tb.SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, end text, bytes, offsets) of texts given as numbers of words, about ``limit`` bytes at a time."""
+    letters = np.frombuffer(spelling, np.uint8)
+    blank = np.flatnonzero(letters == 32)
+    start = np.concatenate([[0], blank[:-1] + 1]) if len(blank) else blank
+    size = blank - start
+    long = np.array([int(size[t].sum()) + len(t) for t in texts], np.int64)
+    ends = np.concatenate([[0], np.cumsum(long)])
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + limit, "right")) - 1)
+        at = np.concatenate(texts[lo:hi])
+        yield lo, hi, _spelled(letters, start[at], size[at])[0], ends[lo : hi + 1] - ends[lo]
+        lo = hi
+
+
+def text_sums(spelling: bytes, texts: list[np.ndarray], key: np.ndarray, weight: np.ndarray, order: int, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of the weights of its n-grams, their number) of each text; ``key`` must have them all."""
+    sort = np.argsort(key)
+    key, weight = key[sort], weight[sort]
+    sums, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
+    for _, _, buf, off in respelled(spelling, texts):
+        symbols, at = stream(buf, off, fold)
+        wanted, where = np.unique(keys(symbols, at, order), return_inverse=True)
+        found = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        if not np.array_equal(key[found], wanted):
+            raise ValueError("an n-gram of a text has no weight")
+        sums.append(np.add.reduceat(weight[found][where], at[:-1]))
+        sizes.append(np.diff(at))
+    return np.concatenate(sums), np.concatenate(sizes)
+
+
+def packed_weights(weights: DataFrame) -> DataFrame:
+    """(block, lang, packed): the rows (block, lang, key, weight) as compressed arrays, many rows to one."""
+
+    def flush(held: list[pa.Table]) -> pa.RecordBatch:
+        table = pa.concat_tables(held)
+        langs = table.column("lang").combine_chunks().dictionary_encode()
+        block, key = table.column("block").to_numpy(), table.column("key").to_numpy()
+        code, weight = langs.indices.to_numpy(), table.column("weight").to_numpy().astype("<f4")
+        sort = np.lexsort((key, code, block))
+        block, code, key, weight = block[sort], code[sort], key[sort], weight[sort]
+        first = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (code[1:] != code[:-1])))
+        out = []
+        for a, b in zip(first, np.append(first[1:], len(key)), strict=True):
+            steps = np.diff(key[a:b], prepend=0).astype("<i8")
+            # equal places of the numbers side by side
+            planes = [x.view(np.uint8).reshape(b - a, -1).T.tobytes() for x in (steps, weight[a:b])]
+            out.append(int(b - a).to_bytes(8, "little") + pa.compress(b"".join(planes), "zstd", asbytes=True))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block[first]), langs.dictionary.take(pa.array(code[first])), pa.array(out, pa.binary())], ["block", "lang", "packed"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(len(t) for t in held) >= 1_000_000:
+                yield flush(held)
+                held = []
+        if sum(len(t) for t in held):
+            yield flush(held)
+
+    return weights.select("block", "lang", "key", "weight").mapInArrow(run, "block long, lang string, packed binary")
+
+
+def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, weights) of packed rows."""
+    key, weight = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    for blob in blobs:
+        n = int.from_bytes(blob[:8], "little")
+        data = np.frombuffer(pa.decompress(blob[8:], 12 * n, "zstd", asbytes=True), np.uint8)
+        steps = np.ascontiguousarray(data[: 8 * n].reshape(8, n).T).view("<i8").ravel()
+        key.append(np.cumsum(steps).astype(np.uint64))
+        weight.append(np.ascontiguousarray(data[8 * n :].reshape(4, n).T).view("<f4").ravel().astype(np.float64))
+    return np.concatenate(key), np.concatenate(weight)
+
+
 class _Block:
     """The words of some documents, numbered by frequency once the block is full."""
 

@@ -2,9 +2,10 @@
 
 The model is a modified Kneser-Ney model of bytes: a text is its words with one blank between them and an end
 symbol, and each symbol is predicted from the ``ORDER - 1`` before it. Spark counts the n-grams of every language
-over all documents, derives continuation counts, context totals and the three discounts of each order, and if more
-than ``MAX_NGRAMS`` remain, keeps those from the smallest sufficient count up; that bounds what tasks load.
-Interpolated probabilities and backoff weights lie in arrays sorted by the hash of the n-gram.
+over all documents, derives continuation counts, context totals and the three discounts of each order, and
+interpolates order by order with joins. Every counted n-gram is kept. Documents travel in blocks: a block lists its distinct
+n-grams, gets their probabilities by a join and then scores its documents, so no task loads the model.
+``KneserNey`` is the same model in arrays, for tables whose n-grams fit into memory.
 
 A text's perplexity must lie inside its language's band: ``SPREAD`` times the quartile distance beyond the
 quartiles of log-perplexity, taken over all documents of the language long enough for the base rules.
@@ -21,15 +22,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm import textbytes as tb
-from parcelwise.llm.automaton import count_runs, keys, stream
-from parcelwise.llm.common import keep
+from parcelwise.llm.automaton import Words, _unvarints, count_runs, keys, packed_weights, stream, text_sums, unpacked
+from parcelwise.llm.common import discard, keep
 
 ORDER = 5
-MAX_NGRAMS = 1_000_000
+BLOCK_BYTES = 48_000_000
 SPREAD = 3.5
 LEAST_WORDS = 50
 _LENGTH = 56
@@ -73,30 +75,79 @@ def _suffix(key: str, length: str) -> str:
     return f"(({key} & (shiftleft(1L, CAST(8 * ({length}) AS INT)) - 1)) | shiftleft(CAST({length} AS BIGINT), {_LENGTH}))"
 
 
-def model_table(docs: DataFrame, order: int = ORDER, max_ngrams: int = MAX_NGRAMS) -> tuple[DataFrame, DataFrame]:
-    """(lang, key, c, total) of the kept n-grams, and (lang, k, n1..n4) for the discounts."""
-    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_ROW = {"block": pa.int64(), "lang": pa.string(), **dict.fromkeys(_COUNTS, pa.int64()), "words": pa.binary(),
+        "spelling": pa.binary(), "key": pa.int64(), "n": pa.int64()}
+
+
+def _row(ids: pa.Array, block: int, **columns) -> pa.RecordBatch:
+    columns["block"] = np.full(len(ids), block)
+    return pa.RecordBatch.from_arrays(
+        [ids, *(pa.array(columns[c], t) if c in columns else pa.nulls(len(ids), t) for c, t in _ROW.items())], ["doc_id", *_ROW]
+    )
+
+
+class _Block:
+    """Documents with their base counts and words, and the n-grams of each language."""
+
+    def __init__(self, order: int) -> None:
+        self.order = order
+        self.words = Words()
+        self.docs: list[tuple] = []
+        self.grams: dict[str, list] = {}
+
+    def add(self, ids: pa.Array, lang: str, buf: np.ndarray, off: np.ndarray) -> None:
+        self.words.add(buf, off)
+        self.docs.append((ids, lang, base_counts(buf, off)))
+        self.grams.setdefault(lang, []).append(count_runs(keys(*stream(buf, off, fold=False), self.order)))
+
+    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+        if not self.docs:
+            return
+        texts, spelling, _, _ = self.words.close()
+        for (ids, lang, counts), words in zip(self.docs, texts, strict=True):
+            yield _row(ids, block, lang=[lang] * len(ids), words=words, **{c: counts[c].astype(np.int64) for c in _COUNTS})
+        kind = self.docs[0][0].type
+        yield _row(pa.nulls(1, kind), block, spelling=[spelling])
+        for lang, parts in self.grams.items():
+            key, n = count_runs(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+            for a in range(0, len(key), 100_000):
+                some = slice(a, a + 100_000)
+                size = len(key[some])
+                yield _row(pa.nulls(size, kind), block, lang=[lang] * size, key=key[some].view(np.int64), n=n[some].astype(np.int64))
+
+
+def packed(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """Blocks of documents: a row by document, one with the block's words and one by (language, n-gram)."""
+    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        number, block = TaskContext.get().partitionId() << 24, _Block(order)
         for batch in batches:
-            langs = batch.column(0).to_numpy(zero_copy_only=False)
+            langs = batch.column(1).to_numpy(zero_copy_only=False)
             for lang in sorted(set(langs)):
-                for _, _, buf, off in tb.slices(batch.column(1).filter(pa.array(langs == lang))):
-                    mine = held.setdefault(lang, [])
-                    mine.append(count_runs(keys(*stream(buf, off, fold=False), order)))
-                    if sum(len(k) for k, _ in mine) > 2_000_000:
-                        yield _counted(lang, mine)
-                        held[lang] = []
-        for lang, mine in held.items():
-            if mine:
-                yield _counted(lang, mine)
-
-    longest = rows.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+                mine = batch.filter(pa.array(langs == lang))
+                for lo, hi, buf, off in tb.slices(mine.column(2)):
+                    block.add(mine.column(0).slice(lo, hi - lo), lang, buf, off)
+                    if block.words.bytes >= BLOCK_BYTES:
+                        yield from block.rows(number)
+                        number, block = number + 1, _Block(order)
+        yield from block.rows(number)
+
+    told, _ = keep(rows.mapInArrow(
+        run, f"doc_id {dict(rows.dtypes)['doc_id']}, block long, lang string, {', '.join(f'{c} long' for c in _COUNTS)}, "
+        "words binary, spelling binary, key long, n long"
+    ))
+    return told
+
+
+def model_table(told: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
+    """(lang, key, k, context, c) of all n-grams of packed documents, and (lang, k, n1..n4) for the discounts."""
+    longest = told.where("key IS NOT NULL").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     length = f"CAST(shiftrightunsigned(key, {_LENGTH}) AS INT)"
     each = longest.select("lang", "key", "n", F.explode(F.sequence(F.lit(1), F.expr(length))).alias("k"))
     grams = each.select("lang", F.expr(_suffix("key", "k")).alias("key"), "n").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    grams, _ = keep(grams.withColumn("k", F.expr(length)))
+    grams, path = keep(grams.withColumn("k", F.expr(length)))
     before = (
         grams.where("k > 1").select("lang", F.expr(_suffix("key", "k - 1")).alias("key")).groupBy("lang", "key")
         .agg(F.count("*").alias("before"))
@@ -107,23 +158,35 @@ def model_table(docs: DataFrame, order: int = ORDER, max_ngrams: int = MAX_NGRAM
         F.expr(f"(shiftrightunsigned(key & {(1 << _LENGTH) - 1}L, 8) | shiftleft(CAST(k - 1 AS BIGINT), {_LENGTH}))").alias("context"),
     )
     counted, _ = keep(counted)
-    totals = counted.groupBy("lang", "context").agg(F.sum("c").alias("total"))
+    discard(counted, path)
     kinds = counted.groupBy("lang", "k").agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5)])
-    sizes = counted.groupBy(F.least("c", F.lit(1 << 16)).alias("c")).count().orderBy(F.desc("c")).collect()
-    least, kept = (1 << 16) + 1, 0
-    for row in sizes:
-        if kept + row["count"] > max_ngrams:
-            break
-        least, kept = row["c"], kept + row["count"]
-    table = counted.where((F.col("c") >= least) | (F.col("k") == 1)).join(totals, ["lang", "context"]).select("lang", "key", "c", "total")
-    return table, kinds
-
-
-def _counted(lang: str, parts: list) -> pa.RecordBatch:
-    key, n = count_runs(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "key", "n"]
-    )
+    return counted, kinds
+
+
+def chances(counted: DataFrame, kinds: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, key, weight): the natural logarithm of the interpolated probability of every n-gram of two symbols or more."""
+    y = "CASE WHEN n1 > 0 AND n2 > 0 THEN n1 / (n1 + 2 * n2) ELSE 0.5D END"
+    cuts = kinds.withColumn("y", F.expr(y)).select("lang", "k", F.array(*[
+        F.expr(f"least(greatest(CASE WHEN n{i} > 0 THEN {i} - {i + 1} * y * n{i + 1} / n{i} ELSE 0.5D END, 0.05D), {most}D)")
+        for i, most in ((1, 0.95), (2, 1.9), (3, 2.85))
+    ]).alias("cut"))
+    # a row for each order of a language
+    cut = counted.join(F.broadcast(cuts), ["lang", "k"]).withColumn("taken", F.expr("element_at(cut, CAST(least(c, 3) AS INT))"))
+    totals = cut.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("taken").alias("rest"))
+    shares, _ = keep(cut.join(totals, ["lang", "context"]).select(
+        "lang", "key", "k", F.expr("(c - taken) / total").alias("share"), F.expr("rest / total").alias("rest")
+    ))
+    lower = shares.where("k = 1").select("lang", F.col("key").alias("short"), F.expr("share + rest / 256").alias("chance"))
+    out = []
+    for k in range(2, order + 1):
+        rows = shares.where(f"k = {k}").withColumn("short", F.expr(_suffix("key", f"{k - 1}")))
+        now, _ = keep(rows.join(lower, ["lang", "short"]).select("lang", "key", F.expr("share + rest * chance").alias("chance")))
+        out.append(now)
+        lower = now.withColumnRenamed("key", "short")
+    table = out[0]
+    for more in out[1:]:
+        table = table.union(more)
+    return table.select("lang", "key", F.log(F.greatest("chance", F.lit(1e-30))).alias("weight"))
 
 
 def _tag(code: np.ndarray, length: np.ndarray | int) -> np.ndarray:
@@ -172,7 +235,11 @@ class KneserNey:
             rows = np.flatnonzero(length == k)
             lower = 1 / 256
             if k > 1 and len(rows):
-                lower = chance[sort[np.searchsorted(key, _cut(key[rows], k - 1), sorter=sort)]]
+                wanted = _cut(key[rows], k - 1)
+                found = sort[np.minimum(np.searchsorted(key, wanted, sorter=sort), len(key) - 1)]
+                if not np.array_equal(key[found], wanted):
+                    raise ValueError("an n-gram's suffix is missing")
+                lower = chance[found]
             chance[rows] = share[rows] + left[rows] * lower
         by_gram, hashed = np.argsort(tb.mix(key)), tb.mix(key)
         by_name, named = np.argsort(tb.mix(names)), tb.mix(names)
@@ -213,10 +280,11 @@ class KneserNey:
         return -np.add.reduceat(self.log_chances(distinct)[where], at[:-1]) / np.diff(at)
 
 
-def fit(docs: DataFrame, order: int = ORDER, max_ngrams: int = MAX_NGRAMS) -> dict[str, KneserNey]:
-    """A model by language ('' for null)."""
-    table, kinds = model_table(docs, order, max_ngrams)
-    got, small = table.toArrow(), kinds.collect()
+def fit(docs: DataFrame, order: int = ORDER) -> dict[str, KneserNey]:
+    """A model by language ('' for null) in memory, for few n-grams; :func:`measure` needs none."""
+    counted, kinds = model_table(packed(docs, order), order)
+    totals = counted.groupBy("lang", "context").agg(F.sum("c").alias("total"))
+    got, small = counted.join(totals, ["lang", "context"]).toArrow(), kinds.collect()
     langs = np.array(got.column("lang").to_pylist(), dtype=object)
     key, c, total = (got.column(x).to_numpy() for x in ("key", "c", "total"))
     return {
@@ -228,37 +296,36 @@ def fit(docs: DataFrame, order: int = ORDER, max_ngrams: int = MAX_NGRAMS) -> di
     }
 
 
-_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-
-
-def measure(docs: DataFrame, models: dict[str, KneserNey]) -> DataFrame:
+def measure(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, lang, the base counts, log_perplexity) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = batch.column(1).to_numpy(zero_copy_only=False)
-            for lang in sorted(set(langs)):
-                mine = batch.filter(pa.array(langs == lang))
-                for lo, hi, buf, off in tb.slices(mine.column(2)):
-                    counts = base_counts(buf, off)
-                    told = shared.value[lang].log_perplexity(buf, off)
-                    yield pa.RecordBatch.from_arrays(
-                        [mine.column(0).slice(lo, hi - lo), mine.column(1).slice(lo, hi - lo),
-                         *(pa.array(counts[c].astype(np.int64)) for c in _COUNTS), pa.array(told)],
-                        ["doc_id", "lang", *_COUNTS, "log_perplexity"],
-                    )
-
-    return rows.mapInArrow(
-        run, f"doc_id {kind}, lang string, {', '.join(f'{c} long' for c in _COUNTS)}, log_perplexity double"
+    told = packed(docs, order)
+    weights = packed_weights(told.where("key IS NOT NULL").select("block", "lang", "key").join(
+        chances(*model_table(told, order), order), ["lang", "key"]
+    ))
+    names = ["doc_id", "block", "lang", *_COUNTS, "words", "spelling"]
+    rows = told.where("key IS NULL").select(names).toDF(*names)  # new columns, as both sides come from one table
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        spelling = next(s.as_py() for s in left.column("spelling") if s.is_valid)
+        left = left.filter(left.column("spelling").is_null())
+        langs, owners = (np.array(t.column("lang").to_pylist(), dtype=object) for t in (left, right))
+        told = np.zeros(left.num_rows)
+        for lang in set(langs):
+            mine, own = np.flatnonzero(langs == lang), np.flatnonzero(owners == lang)
+            key, weight = unpacked(right.column("packed").take(pa.array(own)).to_pylist())
+            texts = [_unvarints(np.frombuffer(w.as_buffer(), np.uint8)) for w in left.column("words").take(pa.array(mine))]
+            sums, sizes = text_sums(spelling, texts, key, weight, order, fold=False)
+            told[mine] = -sums / sizes
+        return left.select(["doc_id", "lang", *_COUNTS]).append_column("log_perplexity", pa.array(told))
+
+    return rows.groupBy("block").cogroup(weights.groupBy("block")).applyInArrow(
+        score, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, {', '.join(f'{c} long' for c in _COUNTS)}, log_perplexity double"
     )
 
 
 def judge(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
     """The measures with base_failed and kept."""
-    measured, _ = keep(measure(docs, fit(docs)))
+    measured, _ = keep(measure(docs))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     bands = (
         measured.where(~failed).groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000).alias("q"))

@@ -179,6 +179,47 @@ def test_kneser_ney_sums_to_one(spark):
         assert np.exp(model.log_chances(key)).sum() == pytest.approx(1, abs=1e-6)
 
 
+def random_texts():
+    """Texts with more than a million n-grams of five or six bytes and less."""
+    rng = np.random.default_rng(5)
+    letters = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789 .,;:!?-", np.uint8)
+    return ["", None, *(rng.choice(letters, 12_000).tobytes().decode() for _ in range(40))]
+
+
+def test_perplexity_uses_every_ngram(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "BLOCK_BYTES", 100_000, raising=False)
+    rows = [(i, t, ["en", "de"][i % 2]) for i, t in enumerate(random_texts())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r.log_perplexity for r in perplexity.judge(docs).collect()}
+    assert len(got) == len(rows)
+    for lang in ("en", "de"):
+        # every n-gram has the count of a plain Counter, and one model of all of them in memory gives the same values
+        mine = [(i, (t or "").encode()) for i, t, x in rows if x == lang]
+        grams = Counter()
+        for _, t in mine:
+            line = b"\n" + b" ".join(t.split()) + b"\n"
+            for p in range(1, len(line)):
+                for k in range(1, min(5, p + 1) + 1):
+                    grams[line[p - k + 1 : p + 1]] += 1
+        assert len(grams) > 500_000  # in each of two languages
+        before, total, kinds = Counter(g[1:] for g in grams if len(g) > 1), Counter(), {}
+        c = {g: n if len(g) == 5 else before.get(g, n) for g, n in grams.items()}
+        for g, n in c.items():
+            total[g[:-1]] += n
+            kinds.setdefault(len(g), Counter())[n] += 1
+        key = np.array([int.from_bytes(g, "big") | len(g) << 56 for g in c], np.uint64)
+        model = perplexity.KneserNey.build(
+            key, np.array(list(c.values())), np.array([total[g[:-1]] for g in c]), {k: [x[i] for i in (1, 2, 3, 4)] for k, x in kinds.items()}
+        )
+        for i, t in mine:
+            want = model.log_perplexity(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]
+            assert got[i] == pytest.approx(want, rel=1e-6)
+        for context in (b"", b"\n", rows[2][1][:4].encode(), rows[3][1][50:53].encode()):
+            last = [context + bytes([s]) for s in range(256)]
+            every = np.array([int.from_bytes(g, "big") | len(g) << 56 for g in last], np.uint64)
+            assert np.exp(model.log_chances(every)).sum() == pytest.approx(1, abs=1e-6)
+
+
 def test_perplexity_bands_reject_the_outlier(spark):
     rng = random.Random(4)
     plain = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(i % 50) for i in range(70)) for _ in range(60)]
