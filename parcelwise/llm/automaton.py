@@ -6,8 +6,10 @@ with a log-probability and a next state; for any other byte a failure arc leads
 first byte at the price of the context's backoff weight. Each state is the longest known context, so one
 left-to-right traversal carries it along. Probabilities are interpolated absolute discounting and sum to one in every state.
 
-Spark counts n-grams over all learnable texts. If more than ``MAX_NGRAMS`` distinct ones were found, those above the
-smallest sufficient count stay: the model that tasks load has that bound, and backoff takes the mass of the rest.
+Spark counts n-grams over all learnable texts and keeps every one. The arcs are spread over the cluster: the n-grams of all
+documents, learned or not, follow their failure arcs level by level in joins, which gives the probability that the
+traversal would find. A block of documents gets those of its distinct n-grams by a join and adds them up, so no task loads
+the model. ``Automaton`` is the same model in arrays with its traversal, for counts that fit into memory.
 
 Words are counted exactly over all learnable texts for the base score. A task numbers the words of a block of text,
 hands on (word, slot, learned count) once per block, and gets the corpus counts of its slots back; so words
@@ -30,10 +32,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.llm import textbytes as tb
-from parcelwise.llm.common import fold, keep
+from parcelwise.llm.common import discard, fold, keep
 
 ORDER = 6
-MAX_NGRAMS = 1_000_000
 DISCOUNT = 0.8
 END = 10
 BLOCK_BYTES = 12_000_000
@@ -87,34 +88,37 @@ def count_runs(values: np.ndarray, times: np.ndarray | None = None) -> tuple[np.
     return values[first], np.add.reduceat(times, first) if len(first) else times
 
 
-def ngram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(key, n): all n-grams up to the order, with their counts, of the column ``text``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            return count_runs(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
-
-        for batch in batches:
-            for _, _, buf, off in tb.slices(batch.column(0)):
-                held.append(count_runs(keys(*stream(buf, off), order)))
-                if sum(len(k) for k, _ in held) > 4_000_000:
-                    held[:] = [merged()]
-                    if len(held[0][0]) > 2_000_000:
-                        yield _counted(*held.pop())
-        if held:
-            yield _counted(*merged())
-
-    longest = texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def chances(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
+    """(key, weight): log10 of the probability of every n-gram of ``grams`` (key, n learned), of two symbols or more."""
+    longest = grams.groupBy("key").agg(F.sum("n").alias("n"))
     length = F.shiftrightunsigned("key", _LENGTH).cast("int")
     each = longest.select("key", "n", F.explode(F.sequence(F.lit(1), length)).alias("k"))
-    low = F.expr(f"(key & (shiftleft(1L, 8 * k) - 1)) | shiftleft(CAST(k AS BIGINT), {_LENGTH})")
-    return each.select(low.alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _counted(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+    low = f"(key & (shiftleft(1L, CAST(8 * k AS INT)) - 1)) | shiftleft(CAST(k AS BIGINT), {_LENGTH})"
+    counted = each.select(F.expr(low).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n")).withColumn("k", length)
+    context = f"shiftrightunsigned(key & {(1 << _LENGTH) - 1}L, 8) | shiftleft(CAST(k - 1 AS BIGINT), {_LENGTH})"
+    counted, path = keep(counted.withColumn("context", F.expr(context)))
+    totals = counted.where("k > 1").groupBy("context").agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("kids"))
+    # a context that was not learned leaves all to its failure arc
+    shares, other = keep(counted.where("k > 1").join(totals, "context").select(
+        "key", "k", F.expr(f"CASE WHEN total > 0 THEN greatest(n - {discount}D, 0D) / total ELSE 0D END").alias("share"),
+        F.expr(f"CASE WHEN total > 0 THEN 1 - (total - {discount}D * kids) / total ELSE 1D END").alias("rest"),
+    ))
+    symbols = counted.where("k = 1").agg(F.sum("n").alias("n")).first()["n"] or 0
+    # symbols at the root get half a count more, so every byte has an arc there
+    lower, _ = keep(counted.where("k = 1").select(F.col("key").alias("short"), F.expr(f"(n + 0.5D) / ({symbols} + 128)").alias("chance")))
+    discard(counted, path)
+    out = []
+    for k in range(2, order + 1):
+        suffix = f"(key & {(1 << 8 * (k - 1)) - 1}L) | {(k - 1) << _LENGTH}L"
+        rows = shares.where(f"k = {k}").withColumn("short", F.expr(suffix))
+        now, _ = keep(rows.join(lower, "short").select("key", F.expr("share + rest * chance").alias("chance")))
+        out.append(now)
+        lower = now.withColumnRenamed("key", "short")
+    discard(shares, other)
+    table = out[0]
+    for more in out[1:]:
+        table = table.union(more)
+    return table.select("key", F.log10("chance").alias("weight"))
 
 
 @dataclass
@@ -248,21 +252,6 @@ class Automaton:
         return np.add.reduceat(self.walk(symbols).astype(np.float64), at[:-1])
 
 
-def fit(texts: DataFrame, order: int = ORDER, max_ngrams: int = MAX_NGRAMS) -> Automaton:
-    """Learn from the column ``text``."""
-    counts, _ = keep(ngram_counts(texts, order))
-    tops = 1 << 16
-    found = counts.groupBy(F.least("n", F.lit(tops)).alias("n")).count().orderBy(F.desc("n")).collect()
-    least, kept = tops + 1, 0
-    for row in found:
-        if kept + row["count"] > max_ngrams:
-            break
-        least, kept = row["n"], kept + row["count"]
-    single = F.shiftrightunsigned("key", _LENGTH) == 1
-    table = counts.where((F.col("n") >= least) | single).toArrow()
-    return Automaton.build(table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy(), order)
-
-
 def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, bytes of each value) in base 128, low digits first, the top bit set on all but the last."""
     width = 1 + (values >= 1 << 7).astype(np.int64) + (values >= 1 << 14) + (values >= 1 << 21) + (values >= 1 << 28)
@@ -414,60 +403,53 @@ def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Block:
-    """The words of some documents, numbered by frequency once the block is full."""
+    """The words of some documents, numbered by frequency once the block is full, and their n-grams."""
 
     def __init__(self) -> None:
-        self.bytes = 0
+        self.words = Words()
         self.parts: list[tuple] = []
+        self.grams: list[tuple] = []
 
-    def add(self, ids: pa.Array, held: np.ndarray, score: np.ndarray, hashes: np.ndarray, doc: np.ndarray, size: int) -> None:
-        distinct, where = np.unique(hashes, return_inverse=True)
-        learned = np.bincount(where, ~held[doc], minlength=len(distinct)).astype(np.int64)
-        self.parts.append((ids, held, score, distinct, where.astype(np.int32), learned, tb.per_row(doc, len(held))))
-        self.bytes += size
+    def add(self, ids: pa.Array, held: np.ndarray, buf: np.ndarray, off: np.ndarray) -> None:
+        low = tb.LOWER[buf]
+        distinct, where, doc, _ = self.words.add(low, off)
+        self.parts.append((ids, held, np.bincount(where, ~held[doc], minlength=len(distinct)).astype(np.int64)))
+        symbols, at = stream(low, off, fold=False)
+        self.grams.append(count_runs(keys(symbols, at), np.repeat((~held).astype(np.int64), np.diff(at))))
 
     def rows(self, block: int) -> Iterator[pa.RecordBatch]:
         if not self.parts:
             return
-        distinct, where = np.unique(np.concatenate([p[3] for p in self.parts]), return_inverse=True)
-        used = np.zeros(len(distinct), np.int64)
+        texts, spelling, numbers, distinct = self.words.close()
         learned = np.zeros(len(distinct), np.int64)
-        cuts = np.cumsum([0, *(len(p[3]) for p in self.parts)])
-        for p, a, b in zip(self.parts, cuts, cuts[1:], strict=False):
-            used[where[a:b]] += np.bincount(p[4], minlength=b - a)
-            learned[where[a:b]] += p[5]
-        order = np.argsort(-used, kind="stable")
-        number = np.empty(len(order), np.int64)
-        number[order] = np.arange(len(order))
-        for p, a, b in zip(self.parts, cuts, cuts[1:], strict=False):
-            data, width = _varints(number[where[a:b]][p[4]])
-            ends = np.concatenate([[0], np.cumsum(p[6])])
-            off = np.concatenate([[0], np.cumsum(width)])[ends].astype(np.int64)
-            blobs = pa.Array.from_buffers(pa.large_binary(), len(p[0]), [None, pa.py_buffer(off), pa.py_buffer(data)])
-            yield _row(len(p[0]), p[0], block=np.full(len(p[0]), block), held_out=p[1], score=p[2], words=blobs.cast(pa.binary()))
-        for a in range(0, len(order), 100_000):
-            pick = order[a : a + 100_000]
-            yield _row(
-                len(pick), pa.nulls(len(pick), self.parts[0][0].type), block=np.full(len(pick), block),
-                slot=a + np.arange(len(pick)), word=distinct[pick].view(np.int64), learned=learned[pick],
-            )
-
-
-_ROW = {"block": pa.int64(), "held_out": pa.bool_(), "score": pa.float64(), "words": pa.binary(), "slot": pa.int32(),
-        "word": pa.int64(), "learned": pa.int64()}
-
-
-def _row(n: int, ids: pa.Array, **columns) -> pa.RecordBatch:
+        for (ids, held, n), words, number in zip(self.parts, texts, numbers, strict=True):
+            learned[number] += n
+            yield _row(ids, block, held_out=held, words=words)
+        kind = self.parts[0][0].type
+        yield _row(pa.nulls(1, kind), block, spelling=[spelling])
+        for a in range(0, len(distinct), 100_000):
+            n = len(distinct[a : a + 100_000])
+            yield _row(pa.nulls(n, kind), block, slot=a + np.arange(n), word=distinct[a : a + n].view(np.int64), learned=learned[a : a + n])
+        key, times = count_runs(np.concatenate([k for k, _ in self.grams]), np.concatenate([n for _, n in self.grams]))
+        for a in range(0, len(key), 100_000):
+            n = len(key[a : a + 100_000])
+            yield _row(pa.nulls(n, kind), block, key=key[a : a + n].view(np.int64), learned=times[a : a + n])
+
+
+_ROW = {"block": pa.int64(), "held_out": pa.bool_(), "words": pa.binary(), "spelling": pa.binary(), "slot": pa.int32(),
+        "word": pa.int64(), "learned": pa.int64(), "key": pa.int64()}
+
+
+def _row(ids: pa.Array, block: int, **columns) -> pa.RecordBatch:
+    columns["block"] = np.full(len(ids), block)
     return pa.RecordBatch.from_arrays(
-        [ids, *(pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in _ROW.items())], ["doc_id", *_ROW]
+        [ids, *(pa.array(columns[c], t) if c in columns else pa.nulls(len(ids), t) for c, t in _ROW.items())], ["doc_id", *_ROW]
     )
 
 
-def score(docs: DataFrame, folds: int = 7, held: int = 2, model: Automaton | None = None) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (fold(F.col("doc_id"), folds) == held).alias("held_out"))
-    model = model or fit(rows.where(~F.col("held_out")))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(rows.dtypes)["doc_id"]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,19 +457,14 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, model: Automaton | Non
         for batch in batches:
             out = batch.column(2).to_numpy(zero_copy_only=False)
             for lo, hi, buf, off in tb.slices(batch.column(1), 2 * tb.SLICE):
-                low = tb.LOWER[buf]
-                start, end, doc = tb.words(low, off)
-                block.add(
-                    batch.column(0).slice(lo, hi - lo), out[lo:hi], shared.value.score(buf, off),
-                    tb.span_hashes(low, start, end), doc, len(buf),
-                )
-                if block.bytes >= BLOCK_BYTES:
+                block.add(batch.column(0).slice(lo, hi - lo), out[lo:hi], buf, off)
+                if block.words.bytes >= BLOCK_BYTES:
                     yield from block.rows(number)
                     number, block = number + 1, _Block()
         yield from block.rows(number)
 
     told, _ = keep(rows.select("doc_id", "text", "held_out").mapInArrow(
-        first, f"doc_id {kind}, block long, held_out boolean, score double, words binary, slot int, word long, learned long"
+        first, f"doc_id {kind}, block long, held_out boolean, words binary, spelling binary, slot int, word long, learned long, key long"
     ))
     by_word = Window.partitionBy("word")
     entries = told.where(F.col("slot").isNotNull()).select("word", "block", "slot", "learned")
@@ -495,31 +472,44 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, model: Automaton | Non
         "block", "slot", F.sum("learned").over(by_word).alias("n"),
         (F.row_number().over(by_word.orderBy("block")) == 1).alias("first"),
     ))
-    texts = told.where(F.col("slot").isNull()).select("doc_id", "block", "held_out", "score", "words")
+    names = ["doc_id", "block", "held_out", "words", "spelling"]
+    texts = told.where("slot IS NULL AND key IS NULL").select(names).toDF(*names)  # new columns, as both sides come from one table
     learned_docs = texts.where(~F.col("held_out")).count()
+    grams = told.where("key IS NOT NULL")
+    weights = packed_weights(
+        grams.select("block", "key").join(chances(grams.select("key", F.col("learned").alias("n"))), "key").withColumn("lang", F.lit(""))
+    )
+    given = counts.select("block", "slot", "n", F.lit(None).cast("binary").alias("packed")).union(
+        weights.select("block", F.lit(None).cast("int"), F.lit(None).cast("long"), "packed")
+    )
     sums = counts.where("first AND n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens = (sums["n"] or 0) + learned_docs
     kinds = sums["v"] + (1 if learned_docs else 0)
     denominator = float(np.log10(tokens + kinds + 1))
 
     def second(left: pa.Table, right: pa.Table) -> pa.Table:
-        n = np.zeros(right.num_rows, np.int64)
-        n[right.column("slot").to_numpy()] = right.column("n").to_numpy()
+        spelling = next(x.as_py() for x in left.column("spelling") if x.is_valid)
+        left = left.filter(left.column("spelling").is_null())
+        key, weight = unpacked(right.column("packed").drop_null().to_pylist())
+        slots = right.filter(right.column("slot").is_valid())
+        n = np.zeros(slots.num_rows, np.int64)
+        n[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
         gain = np.log10(n + 1.0)
         base, known, size = [], [], []
-        for blob in left.column("words"):
-            at = _unvarints(np.frombuffer(blob.as_buffer(), np.uint8))
+        numbers = [_unvarints(np.frombuffer(blob.as_buffer(), np.uint8)) for blob in left.column("words")]
+        told, _ = text_sums(spelling, numbers, key, weight, ORDER, fold=False)
+        for at in numbers:
             size.append(len(at) + 1)
             known.append(int(np.count_nonzero(n[at])) + (learned_docs > 0))
             base.append(float(gain[at].sum()) + np.log10(learned_docs + 1.0) - (len(at) + 1) * denominator)
         return pa.table({
             "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(size, pa.int64()),
             "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([tokens] * len(size), pa.int64()),
-            "base_score": pa.array(base, pa.float64()), "score": left.column("score"),
+            "base_score": pa.array(base, pa.float64()), "score": pa.array(told),
         })
 
     return (
-        texts.groupBy("block").cogroup(counts.select("block", "slot", "n").groupBy("block")).applyInArrow(
+        texts.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(
             second,
             f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
         )

@@ -327,3 +327,33 @@ def test_lm_scores_on_odd_rows(spark, odd, none):
     for a, b in zip(sorted([tuple(r) for r in got], key=order), want, strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] < 0
     assert automaton.score(none).count() == 0
+
+
+def test_lm_scores_use_every_ngram(spark, monkeypatch):
+    monkeypatch.setattr(automaton, "BLOCK_BYTES", 100_000)
+    rows = list(enumerate(random_texts()))
+    counts, lines = Counter(), {}
+    for i, t in rows:
+        line = lines[i] = b"\n" + b" ".join((t or "").encode().lower().split()) + b"\n"
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for p in range(1, len(line)):
+                for k in range(1, min(6, p + 1) + 1):
+                    counts[line[p - k + 1 : p + 1]] += 1
+    assert len(counts) > 1_000_000
+    total = sum(n for g, n in counts.items() if len(g) == 1)
+    kids, after = Counter(g[:-1] for g in counts if len(g) > 1), Counter()
+    for g, n in counts.items():
+        after[g[:-1]] += n
+
+    def chance(g):
+        if len(g) == 1:
+            return (counts[g] + 0.5) / (total + 128)
+        lower, n = chance(g[1:]), after[g[:-1]]
+        return max(counts[g] - 0.8, 0) / n + 0.8 * kids[g[:-1]] / n * lower if n else lower
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.held_out, r.score) for r in automaton.score(docs).collect()}
+    assert len(got) == len(rows) and len({h for h, _ in got.values()}) == 2
+    for i, line in lines.items():
+        want = sum(math.log10(chance(line[max(0, p - 5) : p + 1])) for p in range(1, len(line)))
+        assert got[i][1] == pytest.approx(want, rel=1e-6)
