@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import automaton, decontaminate, mixing, perplexity, quality, repeats, rollups, sharding, simhash, toxicity
+from parcelwise.llm import automaton, decontaminate, lexical, mixing, perplexity, quality, repeats, rollups, sharding, simhash, toxicity
 from parcelwise.llm.common import fold, keep
 from parcelwise.session import shared_dir
 
@@ -150,12 +150,41 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.score(table(spark, sf_dir, "documents"))
 
 
+def op13_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+q AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+c AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+m AS (SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM n, c),
+t AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM t, c GROUP BY term, docs),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_network, op2_delta_rollups, op3_hypergeometric_shuffle, op4_fair_queue_mix,
         op5_kneser_ney_rules, op6_ratio_scaled_toxicity, op7_qgram_decontamination, op8_simhash_vantage,
-        op9_fm_index_repeats, op10_backoff_automaton,
+        op9_fm_index_repeats, op10_backoff_automaton, op13_max_sketch_search,
     )
 }
-ORACLES: dict[str, str] = {"op2_delta_rollups": OP2_SQL, "op4_fair_queue_mix": OP4_SQL}
+ORACLES: dict[str, str] = {"op2_delta_rollups": OP2_SQL, "op4_fair_queue_mix": OP4_SQL, "op13_max_sketch_search": OP13_SQL}

@@ -67,13 +67,13 @@ def slices(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.n
         lo = hi
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of every word, in text order."""
+def words(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every word, in text order; ``gap`` marks the bytes between words."""
     n = len(buf)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~GAP[buf]
+    inside = ~gap[buf]
     border = np.zeros(n + 1, bool)
     border[off] = True
     before = np.empty(n, bool)
