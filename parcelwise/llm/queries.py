@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import automaton, decontaminate, lexical, mixing, perplexity, quality, repeats, rollups, sharding, simhash, toxicity
+from parcelwise.llm import automaton, decontaminate, lexical, mixing, perplexity, quality, repeats, rollups, sharding, simhash, toxicity, urls
 from parcelwise.llm.common import fold, keep
 from parcelwise.session import shared_dir
 
@@ -150,6 +150,62 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.score(table(spark, sf_dir, "documents"))
 
 
+def op12_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _level_sql(d: int) -> str:
+    chi = [urls.chi_squared(x, "old_").replace("0.0D", "0.0") for x in (urls.LABELS, urls.SHAPES)]
+    lags = ", ".join(f"lag({c}) OVER o AS old_{c}" for c in ["n", *urls.LABELS, *urls.SHAPES])
+    order = "PARTITION BY host, tmpl ORDER BY blocked / n, allowed / n, seg"
+    return f"""
+c{d} AS MATERIALIZED (
+  SELECT host, tmpl, s[{d}] AS seg, count(*) AS n, sum(count(*)) OVER (PARTITION BY host, tmpl) AS total,
+         count(*) FILTER (action = 'block') AS blocked, count(*) FILTER (action = 'allow') AS allowed,
+         count(*) FILTER (action IS NULL) AS unknown, count(*) FILTER (len(s) = {d}) AS ends,
+         count(*) FILTER (len(s) > {d} AND regexp_matches(s[{d + 1}], '^[0-9]+$')) AS digits,
+         count(*) FILTER (len(s) > {d} AND regexp_matches(s[{d + 1}], '[0-9]')
+                          AND NOT regexp_matches(s[{d + 1}], '^[0-9]+$')) AS mixed,
+         count(*) FILTER (len(s) > {d} AND NOT regexp_matches(s[{d + 1}], '[0-9]')) AS other
+  FROM p{d - 1} WHERE len(s) >= {d} GROUP BY host, tmpl, s[{d}]),
+l{d} AS (
+  SELECT *, {lags} FROM c{d} WHERE n >= {urls.LEAST} AND n >= {urls.SHARE} * total WINDOW o AS ({order})),
+b{d} AS (
+  SELECT host, tmpl, seg, sum(CASE WHEN old_n IS NULL OR {chi[0]} >= {urls.LABEL_LIMIT}
+      OR {chi[1]} >= {urls.SHAPE_LIMIT} THEN 1 ELSE 0 END) OVER ({order} ROWS UNBOUNDED PRECEDING) AS branch
+  FROM l{d}),
+p{d} AS MATERIALIZED (
+  SELECT p.* REPLACE (CASE WHEN len(s) >= {d} THEN p.tmpl || '/' || coalesce(CAST(branch AS VARCHAR), '*')
+                      ELSE p.tmpl END AS tmpl)
+  FROM p{d - 1} p LEFT JOIN b{d} b ON p.host = b.host AND p.tmpl = b.tmpl AND p.s[{d}] = b.seg),"""
+
+
+OP12_SQL = rf"""
+WITH u AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '{urls.PARTS}', 1),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '{urls.PARTS}', 2), '') AS path
+  FROM pages),
+f AS (SELECT rule, action, split_part(rule, '/', 1) AS h FROM (VALUES
+  ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')) v(rule, action)),
+r AS (
+  SELECT u.*, (SELECT max_by([rule, action], length(rule)) FROM f
+               WHERE (u.host = h OR u.host LIKE '%.' || h) AND starts_with(u.path, substr(rule, length(h) + 1))) AS r
+  FROM u),
+p0 AS MATERIALIZED (
+  SELECT page_id, host, path, r[1] AS rule, r[2] AS action, string_split(path, '/')[2:] AS s, '' AS tmpl FROM r),
+{"".join(_level_sql(d) for d in range(1, urls.DEPTH + 1))}
+t AS MATERIALIZED (SELECT * REPLACE (CASE WHEN len(s) > {urls.DEPTH} THEN tmpl || '/**' ELSE tmpl END AS tmpl) FROM p{urls.DEPTH}),
+g AS (SELECT coalesce(count(*) FILTER (action = 'block') / nullif(count(action), 0), 0.5) AS base FROM t),
+e AS (
+  SELECT host, tmpl, count(action) > 0 AND
+         (count(*) FILTER (action = 'block') + {urls.PRIOR} * any_value(base)) / (count(action) + {urls.PRIOR}) >= {urls.PURITY} AS bad
+  FROM t, g GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict
+FROM t JOIN e USING (host, tmpl)
+"""
+
+
 def op13_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -184,7 +240,9 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_quality_network, op2_delta_rollups, op3_hypergeometric_shuffle, op4_fair_queue_mix,
         op5_kneser_ney_rules, op6_ratio_scaled_toxicity, op7_qgram_decontamination, op8_simhash_vantage,
-        op9_fm_index_repeats, op10_backoff_automaton, op13_max_sketch_search,
+        op9_fm_index_repeats, op10_backoff_automaton, op12_path_templates, op13_max_sketch_search,
     )
 }
-ORACLES: dict[str, str] = {"op2_delta_rollups": OP2_SQL, "op4_fair_queue_mix": OP4_SQL, "op13_max_sketch_search": OP13_SQL}
+ORACLES: dict[str, str] = {
+    "op2_delta_rollups": OP2_SQL, "op4_fair_queue_mix": OP4_SQL, "op12_path_templates": OP12_SQL, "op13_max_sketch_search": OP13_SQL,
+}
