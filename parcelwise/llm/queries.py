@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import automaton, decontaminate, lexical, mixing, perplexity, quality, repeats, rollups, sharding, simhash, toxicity, urls
+from parcelwise.llm import audit, automaton, decontaminate, lexical, mixing, perplexity, quality, repeats, rollups, sharding, simhash, toxicity, urls
 from parcelwise.llm.common import fold, keep
 from parcelwise.session import shared_dir
 
@@ -150,6 +150,31 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.score(table(spark, sf_dir, "documents"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows of conversations with every twentieth or so dropped, emptied, cut, repeated or given to the user."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    rows = conversations.select("conv_id", "turn", *[F.coalesce(c, space).alias(c) for c in ("role", "text")], (F.crc32(key) % 20).alias("d"))
+    text = F.when(F.col("d") == 1, "").when(F.col("d") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.when(F.col("d") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return (
+        rows.where("d <> 0")
+        .select("conv_id", "turn", F.when(F.col("d") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(copies).alias("copy"))
+        .drop("copy")
+    )
+
+
+def op11_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    rows, edited = audit.repair(damaged(conversations))
+    ids = conversations.groupBy(audit.conv_key("conv_id").alias("conv")).agg(F.min("conv_id").alias("conv_id"))
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return ids.join(audit.counts(rows), "conv", "left").join(audit.digest(edited), "conv", "left").select(
+        "conv_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def op12_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -240,7 +265,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_quality_network, op2_delta_rollups, op3_hypergeometric_shuffle, op4_fair_queue_mix,
         op5_kneser_ney_rules, op6_ratio_scaled_toxicity, op7_qgram_decontamination, op8_simhash_vantage,
-        op9_fm_index_repeats, op10_backoff_automaton, op12_path_templates, op13_max_sketch_search,
+        op9_fm_index_repeats, op10_backoff_automaton, op11_audit_repair, op12_path_templates, op13_max_sketch_search,
     )
 }
 ORACLES: dict[str, str] = {
