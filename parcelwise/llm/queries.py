@@ -175,6 +175,86 @@ def op11_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op11_state(s: int) -> str:
+    """The best audit from state ``s`` on without an insert first: delete, keep or re-role row r, then as ``f`` says."""
+    nxt = audit.NEXT[s]
+    fits = f"r.x = '{audit.ROLE[nxt][0]}'"
+    keeps = [(fits, f"f[{nxt + 1}]"), *([("r.x = 's'", "f[2]")] if s == 0 else [])]
+    options = [
+        f"{{'c': f[{s + 1}].c + {audit.DELETE}, 'a': 'D' || f[{s + 1}].a}}",
+        f"CASE WHEN r.fault IN ('', 'truncated') THEN {{'c': f[{nxt + 1}].c + {audit.REROLE} + r.more, 'a': 'R' || f[{nxt + 1}].a}} END",
+        *[f"CASE WHEN r.fault IN ('', 'truncated') AND {c} THEN {{'c': {t}.c + r.more, 'a': 'K' || {t}.a}} END" for c, t in keeps],
+    ]
+    return f"list_min([{', '.join(options)}])"
+
+
+def _op11_insert(s: int) -> str:
+    """From state ``s``: no insert, one, or two."""
+    a, b = audit.NEXT[s] + 1, audit.NEXT[audit.NEXT[s]] + 1
+    return f"list_min([b[{s + 1}], {{'c': b[{a}].c + {audit.INSERT}, 'a': 'I' || b[{a}].a}}, {{'c': b[{b}].c + {2 * audit.INSERT}, 'a': 'II' || b[{b}].a}}])"
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations),
+h AS (
+  SELECT *, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(k, ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda z: CAST(0 AS BIGINT))),
+                          lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))) AS crc
+  FROM k),
+d AS (
+  SELECT conv_id, turn, role AS was, text AS had, CASE WHEN xor(crc, 4294967295) % 20 = 4 THEN 'user' ELSE role END AS role,
+         CASE xor(crc, 4294967295) % 20 WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN xor(crc, 4294967295) % 20 = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM h WHERE xor(crc, 4294967295) % 20 <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM d),
+r AS MATERIALIZED (
+  SELECT conv_id, turn, role, text, i, left(role, 1) AS x,
+         CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault,
+         CASE WHEN fault = 'truncated' THEN {audit.TRUNCATED} ELSE 0 END AS more,
+         left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair
+  FROM o),
+f AS (
+  SELECT conv_id, CAST(max(i) AS BIGINT) AS i,
+         [{{'c': 0, 'a': ''}}, {{'c': 4, 'a': 'II'}}, {{'c': 2, 'a': 'I'}}, {{'c': 0, 'a': ''}}] AS f
+  FROM r GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, [{", ".join(_op11_insert(s) for s in range(4))}] FROM (
+    SELECT f.conv_id, f.i - 1 AS i, [{", ".join(_op11_state(s) for s in range(4))}] AS b
+    FROM f JOIN r ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i)),
+a AS (SELECT conv_id, f[1].c AS cost, f[1].a AS audit FROM f WHERE i = 0),
+e AS (
+  SELECT conv_id, audit, j, audit[j] AS e, len(replace(audit[1:j], 'I', '')) AS i,
+         len(replace(audit[1:j], 'D', '')) AS out
+  FROM (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS j FROM a)),
+s AS (SELECT e.conv_id, bool_or(out = 1 AND e = 'K' AND x = 's') AS sys
+      FROM e JOIN r ON e.conv_id IS NOT DISTINCT FROM r.conv_id AND e.i = r.i GROUP BY ALL),
+t AS (
+  SELECT e.conv_id, sha256(string_agg(
+           CASE WHEN e = 'K' THEN r.role WHEN (out - CAST(sys AS INTEGER)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+           CASE WHEN e = 'I' THEN '' ELSE r.text END, chr(10) ORDER BY j)) AS hash
+  FROM e JOIN s ON e.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN r ON e.conv_id IS NOT DISTINCT FROM r.conv_id AND e.i = r.i
+  WHERE e <> 'D' GROUP BY e.conv_id),
+n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, coalesce(hash, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN n ON c.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN a ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN t ON c.conv_id IS NOT DISTINCT FROM t.conv_id
+"""
+
+
 def op12_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -269,5 +349,5 @@ QUERIES: dict[str, Query] = {
     )
 }
 ORACLES: dict[str, str] = {
-    "op2_delta_rollups": OP2_SQL, "op4_fair_queue_mix": OP4_SQL, "op12_path_templates": OP12_SQL, "op13_max_sketch_search": OP13_SQL,
+    "op2_delta_rollups": OP2_SQL, "op4_fair_queue_mix": OP4_SQL, "op11_audit_repair": OP11_SQL, "op12_path_templates": OP12_SQL, "op13_max_sketch_search": OP13_SQL,
 }
