@@ -3,10 +3,12 @@
 Huber M-estimation by iteratively reweighted least squares: tuning constant 1.345, scale from the
 median absolute residual, at most 50 rounds, until the deviance settles within 1e-8.
 
-Every solution is the least squares solution of smallest norm, so collinear columns share their effect
-alike whatever a group's size. Groups up to ``max_group_rows`` rows are fitted in one task each. Larger
-ones are fitted all together: a round is one pass in which every task adds up weighted normal equations
-for the groups it meets, and one pass for the median absolute residual; no group is ever gathered.
+One solver serves every group. A group's rows lie in blocks of about ``BLOCK_ROWS``; a weighted block is reduced to
+the triangular factor of a QR decomposition, factors merge in a tree, and the last one gives the least squares
+solution of smallest norm. The factor has the singular values of the whole design, so precision and rank do not
+suffer from squaring, and collinear columns share their effect alike whatever a group's size. A group of one block
+goes through its rounds in the task that holds the block; for all others a round is one pass for the factors and one
+for the median absolute residual, and no group is ever gathered.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +27,13 @@ from parcelwise.session import materialize
 
 GROUP = ["city", "property_type", "ownership_type"]
 MIN_FIT_ROWS = 50
-MAX_GROUP_ROWS = 250_000
+BLOCK_ROWS = 250_000
 HUBER_T = 1.345
 MAD_TO_SIGMA = 0.6744897501960817
 TOLERANCE = 1e-8
 MAX_ROUNDS = 50
+#: Singular values below this share of the largest count as zero, at every number of rows.
+RANK_CUT = 1e-12
 
 CONTINUOUS = ["log_size_m2", "floor_current"]
 BINARY = ["has_balcony", "has_loggia", "has_terrace", "has_cellar", "has_parking",
@@ -95,49 +100,20 @@ def category_levels(rows: DataFrame) -> DataFrame:
     )
 
 
-def huber_fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients and residuals; least squares of minimal norm, so collinear columns are fine."""
-    beta = np.linalg.lstsq(x, y, rcond=None)[0]
-    resid = y - x @ beta
-    before = np.inf
-    for _ in range(MAX_ROUNDS - 1):
-        scale = np.median(np.abs(resid)) / MAD_TO_SIGMA
-        if scale == 0.0:
-            break
-        z = np.abs(resid) / scale
-        root = np.sqrt(np.where(z <= HUBER_T, 1.0, HUBER_T / np.maximum(z, HUBER_T)))
-        beta = np.linalg.lstsq(x * root[:, None], y * root, rcond=None)[0]
-        resid = y - x @ beta
-        scale = np.median(np.abs(resid)) / MAD_TO_SIGMA
-        if scale == 0.0:
-            break
-        z = np.abs(resid) / scale
-        loss = np.where(z <= HUBER_T, 0.5 * z * z, HUBER_T * z - 0.5 * HUBER_T**2).sum()
-        if abs(loss - before) <= TOLERANCE:
-            break
-        before = loss
-    return beta, resid
+def factor(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """The triangular factor of the weighted design with the target as its last column."""
+    a = np.column_stack([x, y])
+    return np.linalg.qr(a if weight is None else a * np.sqrt(weight)[:, None], mode="r")
 
 
-def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    key = [pdf[c].iloc[0] for c in GROUP]
-    names = CONTINUOUS + BINARY
-    cols = [pdf[c].to_numpy(float) for c in names]
-    for feature in CATEGORICAL:
-        for level in sorted(pdf[feature].dropna().unique())[1:]:
-            names = [*names, f"cat__{feature}__{level}"]
-            cols.append((pdf[feature] == level).to_numpy(float))
-    x = np.column_stack([np.ones(len(pdf)), *cols])
-    try:
-        beta, resid = huber_fit(x, pdf["y"].to_numpy(float))
-    except np.linalg.LinAlgError:
-        return pd.DataFrame([])
-    row = [*key, float(beta[0]), dict(zip(names, map(float, beta[1:]), strict=True)), len(pdf),
-           len(names), float(np.std(resid))]
-    return pd.DataFrame(
-        [row], columns=[*GROUP, "intercept", "coefficients", "n_samples", "n_features",
-                        "residual_stddev"],
-    )
+def merged(factors: Sequence[np.ndarray]) -> np.ndarray:
+    """The factor of all the rows that the factors stand for."""
+    return np.linalg.qr(np.vstack(factors), mode="r") if len(factors) > 1 else factors[0]
+
+
+def least_squares(r: np.ndarray) -> np.ndarray:
+    """The solution of smallest norm of the least squares problem behind a factor."""
+    return np.linalg.lstsq(r[:, :-1], r[:, -1], rcond=RANK_CUT)[0]
 
 
 def huber_weight(resid: np.ndarray, scale: float) -> tuple[np.ndarray, float]:
@@ -147,33 +123,36 @@ def huber_weight(resid: np.ndarray, scale: float) -> tuple[np.ndarray, float]:
     return np.where(z <= HUBER_T, 1.0, HUBER_T / np.maximum(z, HUBER_T)), float(loss)
 
 
-def least_norm(xx: np.ndarray, xy: np.ndarray) -> np.ndarray:
-    """The solution of smallest norm of the normal equations. Columns are brought to one scale to
-    tell the rank, which does not change the set of solutions; the norm is taken afterwards."""
-    size = np.sqrt(np.maximum(np.diag(xx), 0))
-    size = np.where(size > 0, size, 1.0)
-    values, vectors = np.linalg.eigh(xx / np.outer(size, size))
-    keep = values > values.max(initial=0) * 1e-11
-    some = (vectors[:, keep] / values[keep]) @ (vectors[:, keep].T @ (xy / size)) / size
-    # directions that change no prediction, in the original columns
-    free = vectors[:, ~keep] / size[:, None]
-    if not free.shape[1]:
-        return some
-    basis = np.linalg.qr(free)[0]
-    return some - basis @ (basis.T @ some)
+def huber_fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and residuals of one block: the rounds of ``_fit_in_rounds`` without an exchange."""
+    beta, before = least_squares(factor(x, y)), np.inf
+    for turn in range(MAX_ROUNDS):
+        resid = y - x @ beta
+        scale = np.median(np.abs(resid)) / MAD_TO_SIGMA
+        if scale == 0.0 or turn == MAX_ROUNDS - 1:
+            break
+        weight, loss = huber_weight(resid, scale)
+        if turn:
+            if abs(loss - before) <= TOLERANCE:
+                break
+            before = loss
+        beta = least_squares(factor(x, y, weight))
+    return beta, resid
 
 
 _PLAIN = 1 + len(CONTINUOUS) + len(BINARY)
 
 
-def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows to blocks: (gid, y, plain columns and category codes as one matrix)."""
-    for pdf in frames:
-        out = [
-            (gid, part.drop(columns="gid").to_numpy(float).tobytes())
-            for gid, part in pdf.groupby("gid", sort=False)
-        ]
-        yield pd.DataFrame(out, columns=["gid", "block"])
+def _one_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block of a group; with its coefficients and residual deviation where it is the group's only one."""
+    gid, parts, widths = pdf["gid"].iloc[0], pdf["parts"].iloc[0], pdf["widths"].iloc[0]
+    block = pdf.drop(columns=["gid", "parts", "part", "widths"]).to_numpy(float).tobytes()
+    if parts > 1:
+        row = (gid, block, None, None)
+    else:
+        beta, resid = huber_fit(*_unpack(block, widths))
+        row = (gid, None, beta.tolist(), float(np.std(resid)))
+    return pd.DataFrame([row], columns=["gid", "block", "beta", "residual_stddev"])
 
 
 def _unpack(block: bytes, widths: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,40 +164,41 @@ def _unpack(block: bytes, widths: Sequence[int]) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(parts, axis=1), data[:, 0]
 
 
-def _normal_equations(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per group and task: sums over all its blocks at the state's coefficients and scale."""
-    sums: dict[int, list] = {}
+FACTORS = "gid long, part int, factor binary, loss double"
+
+
+def _factors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per group and task: the merged factor of its blocks at the state's coefficients and scale."""
+    held: dict[int, tuple[np.ndarray, float]] = {}
     for pdf in frames:
         for r in pdf.itertuples(index=False):
             x, y = _unpack(r.block, r.widths)
-            w, loss = np.ones(len(y)), 0.0
+            w, loss = None, 0.0
             if r.beta is not None and len(r.beta):
                 w, loss = huber_weight(y - x @ np.asarray(r.beta), r.scale)
-            xw = x * w[:, None]
-            new = [xw.T @ x, xw.T @ y, loss]
-            old = sums.get(r.gid)
-            sums[r.gid] = new if old is None else [a + b for a, b in zip(old, new, strict=True)]
-    part = hash(tuple(sums)) % 32
-    rows = [(g, part, xx.tobytes(), xy.tobytes(), loss) for g, (xx, xy, loss) in sums.items()]
-    yield pd.DataFrame(rows, columns=["gid", "part", "xx", "xy", "loss"])
+            new = factor(x, y, w)
+            if r.gid in held:
+                new, loss = merged([held[r.gid][0], new]), held[r.gid][1] + loss
+            held[r.gid] = new, loss
+    part = TaskContext.get().partitionId() % 32
+    rows = [(gid, part, f.tobytes(), loss) for gid, (f, loss) in held.items()]
+    yield pd.DataFrame(rows, columns=["gid", "part", "factor", "loss"])
 
 
-def _added(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    xy = sum(np.frombuffer(v) for v in pdf["xy"])
-    xx = sum(np.frombuffer(v) for v in pdf["xx"]).reshape(len(xy), len(xy))
-    return xx, xy, float(pdf["loss"].sum())
+def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, float]:
+    width = _PLAIN + int(sum(pdf["widths"].iloc[0])) + 1
+    return merged([np.frombuffer(f).reshape(-1, width) for f in pdf["factor"]]), float(pdf["loss"].sum())
 
 
-def _add_parts(pdf: pd.DataFrame) -> pd.DataFrame:
-    xx, xy, loss = _added(pdf)
-    row = (pdf["gid"].iloc[0], 0, xx.tobytes(), xy.tobytes(), loss)
-    return pd.DataFrame([row], columns=["gid", "part", "xx", "xy", "loss"])
+def _merge_parts(pdf: pd.DataFrame) -> pd.DataFrame:
+    f, loss = _merged(pdf)
+    row = (pdf["gid"].iloc[0], 0, f.tobytes(), loss)
+    return pd.DataFrame([row], columns=["gid", "part", "factor", "loss"])
 
 
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    xx, xy, loss = _added(pdf)
-    beta = least_norm(xx, xy)
-    return pd.DataFrame([(pdf["gid"].iloc[0], beta.tolist(), loss)], columns=["gid", "next", "loss"])
+    f, loss = _merged(pdf)
+    return pd.DataFrame([(pdf["gid"].iloc[0], least_squares(f).tolist(), loss)], columns=["gid", "next", "loss"])
 
 
 def _residuals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,39 +213,18 @@ def _label(feature: str):
     return lambda level: F.concat(F.lit(f"cat__{feature}__"), level)
 
 
-def _fit_together(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Models of all ``groups`` (GROUP, n), every round for those that have not settled."""
-    by_feature = category_levels(rows).groupBy(*GROUP).agg(
-        F.map_from_entries(F.collect_list(F.struct("feature", "levels"))).alias("levels")
-    )
-    found = groups.join(by_feature, GROUP, "left")
-    no_level = F.array().cast("array<string>")
-    levels = {f: F.coalesce(F.col("levels")[f], no_level) for f in CATEGORICAL}
-    named = materialize(
-        found.select(
-            F.monotonically_increasing_id().alias("gid"), *GROUP, "n",
-            *[levels[f].alias(f"__{f}") for f in CATEGORICAL],
-        )
-    )
-    codes = [
-        F.coalesce(F.array_position(F.col(f"__{f}"), F.col(f)), F.lit(0)).cast("double").alias(f"c_{f}")
-        for f in CATEGORICAL
-    ]
-    coded = rows.join(named, GROUP).select("gid", "y", *CONTINUOUS, *BINARY, *codes)
-    blocks = materialize(coded.mapInPandas(_pack, "gid long, block binary"), even=True)
-    widths = F.array(*[F.size(f"__{f}") for f in CATEGORICAL])
-    state = named.select(
-        "gid", widths.alias("widths"), F.array().cast("array<double>").alias("beta"),
+def _fit_in_rounds(blocks: DataFrame, widths: DataFrame) -> DataFrame:
+    """(gid, beta, residual_stddev) of all groups of ``widths`` (gid, widths) from their blocks; every round
+    serves those that have not settled."""
+    state = widths.select(
+        "gid", "widths", F.array().cast("array<double>").alias("beta"),
         F.lit(None).cast("double").alias("scale"), F.lit(None).cast("double").alias("before"),
     )
     settled = []
     for turn in range(MAX_ROUNDS + 1):
-        sums = blocks.join(state, "gid").mapInPandas(
-            _normal_equations, "gid long, part int, xx binary, xy binary, loss double"
-        )
-        kinds = "gid long, part int, xx binary, xy binary, loss double"
+        sums = blocks.join(state, "gid").mapInPandas(_factors, FACTORS).join(widths, "gid")
         solved = materialize(
-            sums.groupBy("gid", "part").applyInPandas(_add_parts, kinds)
+            sums.groupBy("gid", "part").applyInPandas(_merge_parts, FACTORS).join(widths, "gid")
             .groupBy("gid").applyInPandas(_solve, "gid long, next array<double>, loss double")
             .join(state, "gid")
         )
@@ -274,7 +233,7 @@ def _fit_together(rows: DataFrame, groups: DataFrame) -> DataFrame:
         stop = F.coalesce(stop, F.lit(False)) | F.lit(turn == MAX_ROUNDS)
         settled.append(solved.where(stop).select("gid", "widths", "beta"))
         going = solved.where(~stop).select(
-            "gid", "widths", F.col("next").alias("beta"), (F.col("loss") if turn else F.lit(None).cast("double")).alias("before")
+            "gid", "widths", F.col("next").alias("beta"), (F.col("loss") if turn > 1 else F.lit(None).cast("double")).alias("before")
         )
         away = blocks.join(going, "gid").select("gid", "block", "widths", "beta").mapInPandas(
             _residuals, "gid long, resid double, away double"
@@ -293,29 +252,84 @@ def _fit_together(rows: DataFrame, groups: DataFrame) -> DataFrame:
         blocks.join(done, "gid").select("gid", "block", "widths", "beta").mapInPandas(_residuals, "gid long, resid double, away double")
         .groupBy("gid").agg(F.stddev_pop("resid").alias("residual_stddev"))
     )
+    return done.select("gid", "beta").join(spread, "gid")
+
+
+def fit_models(listings: DataFrame, min_rows: int = MIN_FIT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row per fitted group; groups with fewer than ``min_rows`` usable rows have none.
+
+    ``block_rows`` bounds what a task holds; models do not depend on it.
+    """
+    rows = materialize(trainable(design(listings)).withColumn("row", F.monotonically_increasing_id()))
+    groups = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
+    by_feature = category_levels(rows).groupBy(*GROUP).agg(
+        F.map_from_entries(F.collect_list(F.struct("feature", "levels"))).alias("levels")
+    )
+    levels = {f: F.coalesce(F.col("levels")[f], F.array().cast("array<string>")) for f in CATEGORICAL}
+    named = materialize(
+        groups.join(by_feature, GROUP, "left").select(
+            F.monotonically_increasing_id().alias("gid"), *GROUP, "n", F.ceil(F.col("n") / block_rows).alias("parts"),
+            *[levels[f].alias(f"__{f}") for f in CATEGORICAL],
+            F.array(*[F.size(levels[f]) for f in CATEGORICAL]).alias("widths"),
+        )
+    )
+    codes = [
+        F.coalesce(F.array_position(F.col(f"__{f}"), F.col(f)), F.lit(0)).cast("double").alias(f"c_{f}")
+        for f in CATEGORICAL
+    ]
+    coded = rows.join(named, GROUP).select(
+        "gid", "parts", F.pmod("row", "parts").alias("part"), "widths", "y", *CONTINUOUS, *BINARY, *codes
+    )
+    fitted = materialize(
+        coded.groupBy("gid", "part").applyInPandas(_one_block, "gid long, block binary, beta array<double>, residual_stddev double")
+    )
+    done = fitted.where("block IS NULL").drop("block")
+    open_ = named.where("parts > 1").select("gid", "widths")
+    if not open_.isEmpty():
+        done = done.unionByName(_fit_in_rounds(fitted.where("block IS NOT NULL").select("gid", "block"), open_))
     labels = F.concat(
         F.array(*[F.lit(c) for c in CONTINUOUS + BINARY]),
         *[F.transform(F.col(f"__{f}"), _label(f)) for f in CATEGORICAL],
     )
-    return named.join(done, "gid").join(spread, "gid").select(
-        *GROUP, F.col("beta")[0].alias("intercept"),
-        F.map_from_arrays(labels, F.slice("beta", F.lit(2), F.size(labels))).alias("coefficients"),
-        F.col("n").alias("n_samples"), F.size(labels).alias("n_features"), "residual_stddev",
+    return materialize(
+        named.join(done, "gid").select(
+            *GROUP, F.col("beta")[0].alias("intercept"),
+            F.map_from_arrays(labels, F.slice("beta", F.lit(2), F.size(labels))).alias("coefficients"),
+            F.col("n").alias("n_samples"), F.size(labels).alias("n_features"), "residual_stddev",
+        )
     )
 
 
-def fit_models(
-    listings: DataFrame, min_rows: int = MIN_FIT_ROWS, max_group_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
-    """One row per fitted group; groups with fewer than ``min_rows`` usable rows have none."""
-    rows = materialize(trainable(design(listings)))
-    sizes = materialize(rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")))
-    fitting = sizes.where(F.col("n").between(min_rows, max_group_rows)).select(*GROUP)
-    models = rows.join(fitting, GROUP).groupBy(*GROUP).applyInPandas(_fit_group, MODEL_SCHEMA)
-    large = sizes.where(F.col("n") > max_group_rows)
-    if large.isEmpty():
-        return materialize(models)
-    return materialize(models.unionByName(_fit_together(rows, large)))
+def score_equations(listings: DataFrame, models: DataFrame) -> DataFrame:
+    """(GROUP, feature, n_samples, excess): how far each model is from solving its equations.
+
+    A Huber fit makes the residuals, cut at 1.345 scales, orthogonal to every column of the design; ``excess`` is the
+    largest mean product, in scales, per column. The scale is the median absolute residual, found anew here.
+    """
+    rows = design(listings).transform(trainable).join(
+        models.select(*GROUP, "intercept", "coefficients", "n_samples"), GROUP
+    )
+    away = materialize(rows.withColumn("resid", F.col("y") - predicted_log(F.col("coefficients"), F.col("intercept"), F.struct(
+        *CONTINUOUS, *BINARY, *CATEGORICAL
+    ))).withColumn("away", F.abs("resid")))
+    middle = order_stats(away, GROUP, "away", {"m": 0.5}).select(*GROUP, (F.col("m") / MAD_TO_SIGMA).alias("scale"))
+    cut = F.greatest(F.least(F.col("resid") / F.col("scale"), F.lit(HUBER_T)), F.lit(-HUBER_T))
+    columns = F.filter(
+        F.array(
+            *[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in ["intercept", *CONTINUOUS, *BINARY]],
+            *[F.struct(F.concat(F.lit(f"cat__{c}__"), F.col(c)).alias("feature"), F.lit(1.0).alias("x")) for c in CATEGORICAL],
+        ),
+        lambda e: e["feature"].isNotNull() & (e["x"] != 0),
+    )
+    sums = (
+        away.join(middle, GROUP).withColumn("intercept", F.lit(1.0))
+        .select(*GROUP, F.when(F.col("scale") > 0, cut).otherwise(0.0).alias("cut"), F.explode(columns).alias("e"))
+        .groupBy(*GROUP, F.col("e.feature").alias("feature")).agg(F.sum(F.col("cut") * F.col("e.x")).alias("total"))
+    )
+    features = models.select(*GROUP, "n_samples", F.explode(F.concat(F.array(F.lit("intercept")), F.map_keys("coefficients"))).alias("feature"))
+    return features.join(sums, [*GROUP, "feature"], "left").select(
+        *GROUP, "feature", "n_samples", F.coalesce(F.abs("total") / F.col("n_samples"), F.lit(0.0)).alias("excess")
+    )
 
 
 def predicted_log(coefficients: Column, intercept: Column, row: Column) -> Column:

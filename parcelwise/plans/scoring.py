@@ -175,7 +175,7 @@ def score_rows(
 
 def nightly(
     population: DataFrame, config: s.ScoringConfig, as_of: Column, model_version: str = "v1",
-    stats_history: DataFrame | None = None, max_group_rows: int = hedonic.MAX_GROUP_ROWS,
+    stats_history: DataFrame | None = None, block_rows: int = hedonic.BLOCK_ROWS,
     market: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(today's statistics, models, scores) of a population.
@@ -195,7 +195,7 @@ def nightly(
     history = today if stats_history is None else stats_history.unionByName(
         today, allowMissingColumns=True
     )
-    models = hedonic.fit_models(pop, max_group_rows=max_group_rows)
+    models = hedonic.fit_models(pop, block_rows=block_rows)
     return today, models, score_rows(pop, latest_stats(history), models, config, as_of, model_version)
 
 

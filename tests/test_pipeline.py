@@ -120,7 +120,7 @@ def test_hedonic_needs_fifty_rows(spark):
 
 def test_hedonic_recovers_truth_despite_outliers_and_both_ways_agree(spark):
     df = hedonic_rows(spark, 600, 2, outliers=30)
-    by_group, by_cluster = hedonic.fit_models(df), hedonic.fit_models(df, max_group_rows=100)
+    by_group, by_cluster = hedonic.fit_models(df), hedonic.fit_models(df, block_rows=100)
     small, large = by_group.head(), by_cluster.head()
     assert small.coefficients["log_size_m2"] == pytest.approx(0.05, abs=0.02)
     assert small.coefficients["top_floor_walkup"] == pytest.approx(-0.08, abs=0.03)
@@ -135,7 +135,7 @@ def test_collinear_columns_get_the_same_coefficients_in_both_ways(spark):
     a = hedonic_rows(spark, 300, 2).withColumn("floor_current", F.lit(1))
     b = hedonic_rows(spark, 260, 6, district="Brno").withColumn("floor_current", F.lit(2))
     df = a.union(b)
-    one, many = ({r.city: r for r in hedonic.fit_models(df, max_group_rows=m).collect()} for m in (10_000, 100))
+    one, many = ({r.city: r for r in hedonic.fit_models(df, block_rows=m).collect()} for m in (10_000, 100))
     assert one.keys() == many.keys() == {"Praha", "Brno"}
     for city, x in one.items():
         y = many[city]
@@ -145,6 +145,30 @@ def test_collinear_columns_get_the_same_coefficients_in_both_ways(spark):
         assert x.residual_stddev == pytest.approx(y.residual_stddev, rel=1e-6)
 
 
+def test_nearly_collinear_columns_do_not_depend_on_blocks(spark):
+    """Floors that differ from half the log size by parts in 10^7: squared, that would be below any cut of normal equations."""
+    df = hedonic_rows(spark, 400, 9).withColumn("floor_current", F.log("size_m2") * 0.5 + F.pmod("listing_id", F.lit(7)) * 1e-7)
+    one, many = (hedonic.fit_models(df, block_rows=m).head() for m in (10_000, 90))
+    assert one.coefficients["floor_current"] == pytest.approx(many.coefficients["floor_current"], rel=1e-3)
+    assert abs(one.coefficients["floor_current"]) > 10  # kept apart, not shared by smallest norm
+
+
+def test_fit_solves_its_equations_by_an_own_count(spark):
+    df = hedonic_rows(spark, 500, 12, outliers=20)
+    models = hedonic.fit_models(df, block_rows=170)
+    m, p = models.head(), hedonic.predict(df, models).toPandas().set_index("listing_id")
+    rows = df.toPandas().set_index("listing_id")
+    resid = (p.actual_log - p.predicted_log).to_numpy(float)
+    cut = np.clip(resid / (np.median(np.abs(resid)) / 0.6744897501960817), -1.345, 1.345)
+    walkup = ((rows.floor_current == rows.floor_total) & ~rows.has_lift).to_numpy(float)
+    for x in (np.ones(500), np.log(rows.size_m2.to_numpy(float)), rows.floor_current.to_numpy(float), walkup, (rows.building_type == "panel").to_numpy(float)):
+        assert abs((cut * x).mean()) < 1e-3
+    left = hedonic.score_equations(df, models).collect()
+    assert len(left) == m.n_features + 1 and max(r.excess for r in left) < 1e-3
+    moved = models.withColumn("intercept", F.col("intercept") + 0.05)
+    assert max(r.excess for r in hedonic.score_equations(df, moved).collect()) > 0.1
+
+
 def test_prediction_of_unseen_level_uses_reference(spark):
     df = hedonic_rows(spark, 200, 3)
     m = hedonic.fit_models(df)

@@ -153,6 +153,31 @@ def _sizes(spark, sf_dir):
     )
 
 
+_FIT_GROUPS = f"""SELECT CASE WHEN city_district LIKE 'Praha%' THEN 'Praha' ELSE city_district END AS city, property_type, ownership_type,
+  building_type, disposition, condition, energy_class, city_district || '' AS city_district,
+  CASE WHEN year_built IS NULL THEN 'unknown' WHEN year_built < 1948 THEN '<1948' WHEN year_built < 1990 THEN '1948-1989'
+       WHEN year_built < 2010 THEN '1990-2009' ELSE '2010+' END AS year_built_bucket
+FROM ({L}) JOIN ({P}) USING (property_id) WHERE status = 'active' AND last_seen_at >= {AS_OF_SQL} - INTERVAL 90 DAY AND price > 0 AND size_m2 > 0"""
+
+
+@query(
+    "A10_U3_score_equations",
+    f"""WITH b AS ({_FIT_GROUPS}),
+g AS (SELECT city, property_type, ownership_type, count(*) AS n_samples FROM b GROUP BY ALL HAVING count(*) >= {hedonic.MIN_FIT_ROWS}),
+u AS (UNPIVOT b ON {", ".join(hedonic.CATEGORICAL)} INTO NAME name VALUE level),
+d AS (SELECT DISTINCT city, property_type, ownership_type, name, level FROM u),
+n AS (SELECT *, row_number() OVER (PARTITION BY city, property_type, ownership_type, name ORDER BY level) AS rn FROM d),
+f AS (SELECT city, property_type, ownership_type, 'cat__' || name || '__' || level AS feature FROM n WHERE rn > 1
+      UNION ALL SELECT city, property_type, ownership_type, unnest({["intercept", *hedonic.CONTINUOUS, *hedonic.BINARY]}) FROM g)
+SELECT f.*, n_samples, CAST(0 AS DOUBLE) AS excess FROM f JOIN g USING (city, property_type, ownership_type)""",
+)
+def _equations(spark, sf_dir):
+    """Every model solves its equations: the oracle lists all of their columns with nothing left over."""
+    pop = _population(spark, sf_dir)
+    left = hedonic.score_equations(pop, hedonic.fit_models(pop))
+    return left.withColumn("excess", F.abs(F.round("excess", 3)))
+
+
 @query("A10_U3_P5_hedonic_models")
 def _models(spark, sf_dir):
     m = hedonic.fit_models(_population(spark, sf_dir))
