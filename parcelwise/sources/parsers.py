@@ -220,6 +220,10 @@ def parse_detail(raw: DataFrame) -> DataFrame:
         F.col("d.meta_description").alias("__meta"),
         F.coalesce(t.non_blank(F.col("d.currency")), F.lit("CZK")).alias("currency"),
         item_facts(F.col("d.items")).alias("__items"),
+        F.filter(
+            F.coalesce("d._embedded.images", F.array().cast("array<struct<url:string,width:int,height:int>>")),
+            lambda p: t.non_blank(p["url"]).isNotNull(),
+        ).alias("photos"),
     )
     top = lambda k: F.col("__items")[f"top:{k}"]["value"]
     fields = cut.select(
@@ -267,6 +271,7 @@ def parse_detail(raw: DataFrame) -> DataFrame:
         F.lit("active").alias("status"),
         extra_features(F.col("__items")).alias("extra_features"),
         unknown_labels(F.col("__items")).alias("unknown_keys"),
+        "photos",
         F.lit(PARSER_VERSION).alias("parser_version"),
         F.array_compact(
             F.array(

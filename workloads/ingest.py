@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwise import adapters as ad
 from parcelwise.operators import history as h
+from parcelwise.plans import chain
 from parcelwise.plans import ingest as plan
 from parcelwise.session import shared_dir
 from parcelwise.sources import parsers, raw, registry, runs, upserts
@@ -86,8 +87,9 @@ _CND = {"novostavba": "Novostavba", "velmi_dobry": "Velmi dobrý", "po_rekonstru
         "pred_rekonstrukci": "Před rekonstrukcí", "spatny": "Špatný"}
 
 
-def detail_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A detail document per listing, in the shapes a feed really sends."""
+def detail_payloads(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None, point: Column | None = None,
+                    place: Column | None = None, images: Column | None = None) -> DataFrame:
+    """A detail document per listing, in the shapes a feed really sends; ``rows`` are listings, all by default."""
     c = F.col
     pick = lambda m, k: parsers.fixed_map(m)[c(k)]
     item = lambda name, value, unit=None: F.struct(
@@ -110,10 +112,10 @@ def detail_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     seo = F.when(c("photo_count") == 5, '"seo":{"category_main_cb":1}').when(
         c("listing_kind") == "prodej", '"seo":{"category_main_cb":1,"category_type_cb":1}'
     ).otherwise('"seo":{"category_main_cb":"2","category_type_cb":2}')
-    point = F.when(k % 2 == 0, '"gps":{"lat":50.05,"lon":14.4},"map":{"lat":1,"lon":2}').otherwise(
+    point = point if point is not None else F.when(k % 2 == 0, '"gps":{"lat":50.05,"lon":14.4},"map":{"lat":1,"lon":2}').otherwise(
         '"gps":null,"map":{"lat":"49.2","lon":16.6}'
     )
-    place = F.when(k == 1, "Běhounkova, Praha 5 - Stodůlky").when(k == 2, "Praha 5 - Smíchov").when(
+    place = place if place is not None else F.when(k == 1, "Běhounkova, Praha 5 - Stodůlky").when(k == 2, "Praha 5 - Smíchov").when(
         k == 3, "Dlouhá, Brno"
     ).otherwise("Toyen, Praha 2 - ")
     name = F.concat(F.lit("Prodej bytu "), (k % 5 + 1).cast("string"), F.when(c("has_balcony"), "+1").otherwise("+kk"))
@@ -123,9 +125,10 @@ def detail_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        F.struct(place.alias("value")).alias("locality"),
                                        F.struct(c("description").alias("value")).alias("text"), items.alias("items"))), F.lit(2)),
     )
-    json = F.concat(F.expr("'{'"), price, F.lit(","), seo, F.lit(","), point, F.lit(","), F.substr(body, F.lit(2)))
+    shown = F.lit("") if images is None else F.concat(F.lit('"_embedded":{"images":'), images, F.lit("},"))
+    json = F.concat(F.expr("'{'"), price, F.lit(","), seo, F.lit(","), point, F.lit(","), shown, F.substr(body, F.lit(2)))
     # landed payloads come in many files; the order-line table is a single small one
-    landed = ad.listings(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "listing_id")
+    landed = (ad.listings(spark, sf_dir) if rows is None else rows).repartition(spark.sparkContext.defaultParallelism, "listing_id")
     return landed.select(
         F.lit("portal").alias("source_slug"), c("listing_id").alias("source_listing_id"),
         c("last_seen_at").cast("timestamp").alias("fetched_at"),
@@ -406,6 +409,94 @@ def _chain(spark, sf_dir):
     )
 
 
+# Two days of one feed: o is the order, k the line. Day one shows orders with o % 3 of 1 or 2, day two those of 0 or 2; on day
+# two every odd line has a new text, a price 1000 higher and one photo more.
+_ORDER = "CAST(split_part(listing_id, '-', 1) AS BIGINT)"
+_DAY_2, _DAY_3 = "2024-03-03T00:00:00", "2024-03-03T00:10:00"
+
+
+def _feed(spark: SparkSession, sf_dir: str, day: int) -> tuple[DataFrame, DataFrame]:
+    """(search pages, documents) of a day; documents of o % 3 = 0 and k = 6 cannot be had."""
+    c = F.col
+    o, k, odd = F.expr(_ORDER), c("floor_current"), (c("floor_current") % 2 == 1) & F.lit(day > 1)
+    rows = ad.listings(spark, sf_dir).where(o % 3 != (0 if day == 1 else 1)).withColumns({
+        "price": c("price") + F.when(odd, 1000).otherwise(0),
+        "description": F.concat("description", F.when(odd, F.lit(" 2")).otherwise("")),
+        "__photos": F.coalesce("photo_count", F.lit(0)) + F.when(odd, 1).otherwise(0),
+    })
+    spot = c("property_id") % 1680
+    lat, lon = 49940 + spot * 37 % 240, 14220 + spot * 91 % 490
+    at = lambda x: F.concat(F.floor(x / 1000).cast("string"), F.lit("."), F.lpad((x % 1000).cast("string"), 3, "0"))
+    point = F.when(k == 7, '"gps":null').otherwise(F.concat(F.lit('"gps":{"lat":'), at(lat), F.lit(',"lon":'), at(lon), F.lit("}")))
+    images = F.to_json(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.struct(
+        F.when(i <= c("__photos"), F.concat(F.lit("https://portal.example/p/"), i.cast("string"))).alias("url"), F.lit(640).alias("width"))))
+    docs = detail_payloads(spark, sf_dir, rows, point, F.concat(F.lit("Ulice "), spot.cast("string"), F.lit(", Praha 5")), images)
+    lost = (F.expr(_ORDER.replace("listing_id", "source_listing_id")) % 3 == 0) & (F.expr("split_part(source_listing_id, '-', 2)") == "6")
+    second = F.expr("split_part(source_listing_id, '-', 2)") == "2"
+    when = F.when(second, F.lit("2024-03-02T23:00:00")).otherwise("2024-03-01T00:00:00") if day == 1 else F.lit(_DAY_2 if day == 2 else _DAY_3)
+    docs = docs.where(~lost).withColumns({"fetched_at": when.cast("timestamp"), "content_type": F.lit("application/json")})
+    shown = rows.groupBy(F.floor(o / 8).alias("page")).agg(F.sort_array(F.collect_list("listing_id")).alias("ids"))
+    pages = shown.select(F.lit("portal").alias("source_slug"), "page", F.to_json(F.struct(F.struct(
+        F.transform("ids", lambda i: F.struct(i.alias("hash_id"))).alias("estates")).alias("_embedded"))).alias("payload"))
+    return pages, docs
+
+
+_TWO_DAYS = f"""
+WITH x AS (
+  SELECT p.*, l.property_id % 1680 AS spot, {_ORDER.replace("listing_id", "l.listing_id")} % 3 AS o, l.floor_current AS k, l.price AS asked,
+         coalesce(l.photo_count, 0) AS photos, p.parse_status = 'ok' AS fine
+  FROM ({PARSED}) p JOIN ({L}) l ON p.source_listing_id = l.listing_id),
+d AS (SELECT *, o <> 0 AS day1, o = 0 AND k <> 6 OR o = 2 AND k <> 2 AS day2, o = 2 AND (k IN (4, 6) OR parse_error = 'payload is not a JSON object') IS TRUE AS same,
+             k % 2 = 1 AND o <> 1 AS revised FROM x),
+s AS (SELECT *, CASE WHEN k <> 7 THEN spot END AS place FROM d WHERE fine AND (day1 OR day2)),
+g AS (SELECT *, count(*) OVER c AS members, min(source_listing_id) OVER c AS low, min(source_listing_id) OVER (PARTITION BY place) AS home FROM s
+      WINDOW c AS (PARTITION BY place, size_m2, disposition, ownership_type))
+SELECT 'listing' AS kind, source_listing_id AS name, concat_ws('|',
+  coalesce(CAST(CAST(CASE WHEN k <= 3 THEN floor(asked + CASE WHEN revised THEN 1000 ELSE 0 END) END AS BIGINT) AS VARCHAR), '-'),
+  CASE WHEN NOT day1 THEN '03-03 00' WHEN k = 2 THEN '03-02 23' ELSE '03-01 00' END,
+  CASE WHEN day2 AND NOT same THEN '03-03 00' WHEN k = 2 THEN '03-02 23' ELSE '03-01 00' END,
+  CASE WHEN k <> 7 THEN home ELSE '-' END, CASE WHEN k <> 7 AND members > 1 THEN low ELSE '-' END,
+  CAST(photos + CASE WHEN revised THEN 1 ELSE 0 END AS VARCHAR)) AS value FROM g
+UNION ALL SELECT 'counter', 'day-1 ' || n, CAST(v AS VARCHAR) FROM (
+  SELECT count(*) AS discovered, count(*) AS wanted, count(*) AS fetched, 0 AS missing, 0 AS unchanged, count(*) FILTER (fine) AS parsed,
+    count(*) FILTER (NOT fine) AS quarantined, count(*) FILTER (fine) AS created, count(*) FILTER (fine AND k <> 7) AS linked
+  FROM d WHERE day1) UNPIVOT (v FOR n IN (discovered, wanted, fetched, missing, unchanged, parsed, quarantined, created, linked))
+UNION ALL SELECT 'counter', 'day-2 ' || n, CAST(v AS VARCHAR) FROM (
+  SELECT count(*) AS discovered, count(*) FILTER (day2 OR o = 0) AS wanted, count(*) FILTER (day2) AS fetched, count(*) FILTER (o = 0 AND k = 6) AS missing,
+    count(*) FILTER (day2 AND same) AS unchanged, count(*) FILTER (day2 AND NOT same AND fine) AS parsed, count(*) FILTER (day2 AND NOT same AND NOT fine) AS quarantined,
+    count(*) FILTER (day2 AND o = 0 AND fine) AS created, count(*) FILTER (day2 AND NOT same AND fine AND k <> 7) AS linked
+  FROM d WHERE o <> 1) UNPIVOT (v FOR n IN (discovered, wanted, fetched, missing, unchanged, parsed, quarantined, created, linked))
+UNION ALL SELECT 'counter', 'day-3 ' || n, CAST(v AS VARCHAR) FROM (
+  SELECT count(*) AS discovered, count(*) FILTER (o = 0 AND k = 6) AS wanted, 0 AS fetched, count(*) FILTER (o = 0 AND k = 6) AS missing,
+    0 AS unchanged, 0 AS parsed, 0 AS quarantined, 0 AS created, 0 AS linked
+  FROM d WHERE o <> 1) UNPIVOT (v FOR n IN (discovered, wanted, fetched, missing, unchanged, parsed, quarantined, created, linked))
+UNION ALL SELECT 'versions', 'day-1,day-2,day-3', '3'
+"""
+
+
+@query("S17_two_days_and_repeats", _TWO_DAYS)
+def _two_days(spark, sf_dir):
+    """Two runs, the second one again under its id, and once more under another: links, clusters, photos and counters."""
+    snaps = chain.Snapshots(spark, scratch(spark))
+    for day in (1, 2, 2, 3):
+        as_of = moment({1: "2024-03-01T00:00:00", 2: _DAY_2, 3: _DAY_3}[day])
+        chain.run(snaps, f"day-{day}", *_feed(spark, sf_dir, day), as_of)
+    last, versions = snaps.current(), snaps.versions()
+    photos = snaps.table("photos", last).groupBy("listing_id").agg(F.count("*").alias("photos"))
+    rows = snaps.table("listings", last).join(photos, "listing_id", "left")
+    home = rows.groupBy("property_id").agg(F.min("source_listing_id").alias("home"))
+    low = rows.groupBy("dedup_cluster_id").agg(F.min("source_listing_id").alias("low"))
+    hour = lambda c: F.date_format(c, "MM-dd HH")
+    told = rows.join(home, "property_id", "left").join(low, "dedup_cluster_id", "left").select(
+        F.lit("listing").alias("kind"), F.col("source_listing_id").alias("name"), F.concat_ws(
+            "|", F.coalesce(F.col("price").cast("bigint").cast("string"), F.lit("-")), hour("first_seen_at"), hour("last_seen_at"),
+            F.coalesce("home", F.lit("-")), F.coalesce("low", F.lit("-")), F.coalesce("photos", F.lit(0)).cast("string")).alias("value"),
+    )
+    facts = [("counter", f"{m.run_id} {k}", str(v)) for m in versions for k, v in m.counters.items()]
+    facts.append(("versions", ",".join(sorted(m.run_id for m in versions)), str(len(versions))))
+    return told.union(spark.createDataFrame(facts, told.schema))
+
+
 @query(
     "S16_replay_of_stored_payloads",
     f"""WITH x AS ({PARSED}) SELECT source_listing_id, price, 'active' AS status FROM x WHERE parse_status = 'ok'""",
