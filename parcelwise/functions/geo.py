@@ -37,7 +37,7 @@ def cell_band(lat: Column, radius_m: float) -> Column:
     return F.floor(lat / (radius_m / METRES_PER_DEGREE)).cast("long")
 
 
-def _band_columns(band: Column, radius_m: float) -> Column:
+def band_columns(band: Column, radius_m: float) -> Column:
     """How many equal cells go round the earth in ``band``, each at least as wide as the search radius at
     the band's worst latitude; one near the poles, where a radius may reach any longitude.
 
@@ -51,25 +51,13 @@ def _band_columns(band: Column, radius_m: float) -> Column:
 
 def cell_column(lon: Column, band: Column, radius_m: float) -> Column:
     """Cell number in the band, counted eastwards from the date line."""
-    n = _band_columns(band, radius_m)
-    turned = F.pmod(lon + 180, F.lit(360.0))
-    return F.least(F.floor(turned * n / 360), n - 1).cast("long")
+    return column_of(lon, band_columns(band, radius_m))
 
 
-def cells_around(lat: Column, lon: Column, radius_m: float) -> Column:
-    """array<struct<band, col>> of the cells that can hold a point within the radius, across the date
-    line and over the poles too."""
-    home = cell_band(lat, radius_m)
-
-    def row(offset: int) -> Column:
-        band = (home + offset).cast("long")
-        n, col = _band_columns(band, radius_m), cell_column(lon, band, radius_m)
-        return F.transform(
-            F.array_distinct(F.array(*[F.pmod(col + i, n) for i in (-1, 0, 1)])),
-            lambda c: F.struct(band.alias("band"), c.alias("col")),
-        )
-
-    return F.concat(row(-1), row(0), row(1))
+def column_of(lon: Column, n: Column) -> Column:
+    """Which of ``n`` equal cells round the earth holds a longitude."""
+    turned = F.pmod(lon + 180, F.lit(360.0))
+    return F.least(F.floor(turned * n / 360), n - 1).cast("long")
 
 
 def with_wgs84(
