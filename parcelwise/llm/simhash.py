@@ -7,11 +7,12 @@ the distance lie inside, the others outside. Every distinct fingerprint has one
 and as a query it goes to each leaf that the triangle bounds cannot exclude. Inside a leaf queries and
 residents are compared on all 64 bits, so no pair within the radius is lost and none beyond is linked.
 
-Links of a longer fingerprint estimate a similarity (:func:`wide_near_duplicates`): ``WIDE_WORDS`` times 64
-bits, on which a Jaccard similarity of word shingles shows as an expected share of differing bits. At the
-distances of 0.8 no radius on 64 bits lets a tree exclude anything, so there every one of many short bit ranges
-has a tree whose leaves a query enters without reach, and pairs are verified on all bits. A pair at exactly 0.8 agrees on
-some range with probability 0.99, a closer one more often.
+Near duplicates by word shingles (:func:`keep_one`) are decided by their exact similarity; fingerprints only propose pairs.
+``WIDE_WORDS`` times 64 majority bits of a text's distinct shingles show a Jaccard similarity as an expected share of
+differing bits. At the distances of 0.8 no radius on 64 bits lets a tree exclude anything, so there every one of many
+short bit ranges has a tree whose leaves a fingerprint enters without reach, and all pairs of a leaf within the radius (three
+standard deviations beyond the expected distance) are candidates. A pair at exactly 0.8 agrees on some range with probability 0.99, a
+closer one more often. A text goes only if a text that stays is similar to it, so groups do not chain.
 
 The trees' shape is fitted on a bounded sample of distinct fingerprints; every fingerprint is indexed.
 Copies of one fingerprint are one row of the search; a leaf hands on a spanning forest of its pairs,
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm import textbytes as tb
-from parcelwise.llm.common import fresh, keep, row_hash
+from parcelwise.llm.common import fresh, row_hash
 from parcelwise.operators.graph import connected_components
 from parcelwise.session import materialize
 
@@ -81,9 +82,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(majority(shingle_hashes(text, shingle)).view("<u8")[0])
 
 
-def wide_fingerprint(text: bytes, shingle: int, words: int) -> bytes:
+def wide_print(hashes: np.ndarray, words: int) -> bytes:
     """``words`` fingerprints of the same shingles under different mixtures of their hashes."""
-    hashes = shingle_hashes(text, shingle)
     more = (tb.mix(hashes ^ np.uint64(0xA0761D6478BD642F * k % 2**64)).astype("<u8") for k in range(1, words))
     return b"".join(majority(h).tobytes() for h in (hashes, *more))
 
@@ -256,100 +256,182 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return keyed.join(of.join(named, "component").select("fp", "component_id", "component"), "fp")
 
 
-def wide_radius(similarity: float, words: int = WIDE_WORDS) -> int:
-    """Differing bits expected at a Jaccard similarity, and one standard deviation."""
+def wide_distance(similarity: float, words: int = WIDE_WORDS, deviations: float = 3.0) -> int:
+    """Differing bits expected at a Jaccard similarity, and some standard deviations more or (negative) less."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(64 * words * share + math.sqrt(64 * words * share * (1 - share)))
-
-
-def wide_leaf_links(ids: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (member, root) of the pairs within ``radius``; ``prints`` has a row of words by id."""
-    n = len(ids)
-    order = np.argsort(ids)  # the smallest id is the root, whichever leaf finds the group
-    ids, prints = ids[order], prints[order]
-    parent = np.arange(n)
-    block = max(1, (1 << 19) // max(1, n))
-    for i in range(0, n, block):
-        far = np.zeros((min(block, n - i), n - i), np.uint16)
-        for k in range(prints.shape[1]):
-            far += np.bitwise_count(prints[i : i + block, None, k] ^ prints[None, i:, k])
-        q, h = np.nonzero(far <= radius)
-        settle(parent, q + i, h + i)
-    away = np.flatnonzero(parent != np.arange(n))
-    return ids[away], ids[parent[away]]
-
-
-def wide_links(prints: DataFrame, radius: int, words: int = WIDE_WORDS, leaf_rows: int = LEAF_ROWS,
-               sample: int = SAMPLE // 4) -> DataFrame:
-    """(a, b): links between the ids ``fp`` of distinct ``wide`` fingerprints."""
+    bits = 64 * words
+    return math.floor(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of all rows of words of ``a`` and of ``b``."""
+    far = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(a.shape[1]):
+        far += np.bitwise_count(a[:, None, k] ^ b[None, :, k])
+    return far
+
+
+def candidate_pairs(prints: np.ndarray, radius: int, sure: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(later, earlier) rows of a leaf to be compared exactly; ``prints`` has a row of words per text, in order.
+
+    A row within ``sure`` bits of earlier leaders meets the first of them and the first leader within ``radius``. All
+    others lead too, and meet every leader within ``radius``; so a group of near copies makes few pairs, and texts that
+    are not surely alike make all.
+    """
+    leaders = np.zeros(0, np.int64)
+    later, earlier = [], []
+
+    def meet(q: np.ndarray, h: np.ndarray) -> None:
+        later.append(q)
+        earlier.append(h)
+
+    for lo in range(0, len(prints), block):
+        mine = np.arange(lo, min(lo + block, len(prints)))
+        far = _apart(prints[mine], prints[leaders])
+        safe = far <= sure
+        covered = safe.any(1)
+        if covered.any():
+            q = mine[covered]
+            for near in (safe, far <= radius):
+                meet(q, leaders[near[covered].argmax(1)])
+        q, h = np.nonzero((far <= radius) & ~covered[:, None])
+        meet(mine[q], leaders[h])
+        rest = mine[~covered]
+        near = _apart(prints[rest], prints[rest])
+        lead = np.ones(len(rest), bool)
+        for i in np.flatnonzero((near <= radius).sum(1) > 1):
+            before = np.flatnonzero(lead[:i] & (near[i, :i] <= radius))
+            close = before[near[i, before] <= sure]
+            lead[i] = not len(close)
+            met = np.unique([close[0], before[0]]) if len(close) else before
+            meet(np.full(len(met), rest[i]), rest[met])
+        leaders = np.concatenate([leaders, rest[lead]])
+    return np.concatenate(later or [leaders]), np.concatenate(earlier or [leaders])
+
+
+def wide_candidates(prints: DataFrame, radius: int, sure: int, words: int = WIDE_WORDS, leaf_rows: int = LEAF_ROWS,
+                    sample: int = SAMPLE // 4) -> DataFrame:
+    """(later, earlier): keys of ``prints`` (key, low, wide; distinct keys) to be compared, in order of ``low``, null last, and key."""
     spark = prints.sparkSession
     n = prints.count()
-    some = prints.orderBy(F.xxhash64("fp", F.lit(7)), "fp").limit(sample).toPandas()["wide"]
+    some = prints.orderBy(F.xxhash64("key", F.lit(7)), "key").limit(sample).toPandas()["wide"]
     bits = np.frombuffer(b"".join(some), "<u8").reshape(-1, words)
     per_leaf = max(16, leaf_rows * len(bits) // max(1, n))
     places = [(w, s) for w in range(words) for s in range(0, 65 - WIDE_RANGE, WIDE_RANGE)]
     forest = spark.sparkContext.broadcast(
         [(w, VantageTree.fit(bits[:, w], s, WIDE_RANGE, per_leaf, i)) for i, (w, s) in enumerate(places)]
     )
+    kind = dict(prints.dtypes)["low"]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, words)
+            values = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, words)
             for t, (w, tree) in enumerate(forest.value):
                 row, leaf = tree.route(np.ascontiguousarray(values[:, w]), 0)
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf * len(places) + t), batch.column(0).take(rows), batch.column(1).take(rows)],
-                    ["leaf", "fp", "wide"],
+                    [pa.array(leaf * len(places) + t), *(batch.column(i).take(rows) for i in range(3))], ["leaf", "key", "low", "wide"]
                 )
 
     def search(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("low", "ascending"), ("key", "ascending")])
+        key = table.column("key").combine_chunks()
         mine = np.frombuffer(b"".join(table.column("wide").to_pylist()), "<u8").reshape(-1, words)
-        a, b = wide_leaf_links(table.column("fp").to_numpy(), mine, radius)
-        return pa.table({"a": a, "b": b})
+        later, earlier = candidate_pairs(mine, radius, sure)
+        return pa.table({"later": key.take(pa.array(later)), "earlier": key.take(pa.array(earlier))})
 
-    routed = prints.select("fp", "wide").mapInArrow(route, "leaf long, fp long, wide binary")
-    return routed.groupBy("leaf").applyInArrow(search, "a long, b long")
+    routed = prints.select("key", "low", "wide").mapInArrow(route, f"leaf long, key binary, low {kind}, wide binary")
+    return routed.groupBy("leaf").applyInArrow(search, "later binary, earlier binary").distinct()
 
 
-def contracted(links: DataFrame) -> DataFrame:
-    """Links with the same components: each member's smallest root, and that root with its other roots.
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles, ascending."""
+    return np.unique(shingle_hashes(text, shingle))
 
-    Trees name the same root for most members of a group, so the second kind is few rows.
-    """
-    by = links.groupBy("a").agg(F.min("b").alias("low"), F.collect_set("b").alias("roots"))
-    roots = by.select(F.explode("roots").alias("a"), F.col("low").alias("b")).where(F.col("a") != F.col("b"))
-    return by.select("a", F.col("low").alias("b")).union(roots).distinct()
 
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (later, earlier) whose sets (key, shingles) have a Jaccard similarity of at least ``similarity``."""
+    one, two = (sets.select(F.col("key").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("later", "earlier"))
 
-def wide_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = WIDE_WORDS) -> DataFrame:
-    """(doc_id, row, component): groups of documents linked by an estimated similarity of at least ``similarity``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(i).to_pylist() for i in (2, 3))
+            good = np.zeros(len(a), bool)
+            for i, (x, y) in enumerate(zip(a, b, strict=True)):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good[i] = both >= similarity * (len(x) + len(y) - both) - 1e-9
+            yield batch.select([0, 1]).filter(pa.array(good))
+
+    return pairs.join(one, "later").join(two, "earlier").select("later", "earlier", "later_set", "earlier_set").mapInArrow(
+        run, "later binary, earlier binary"
+    )
+
+
+def left_out(links: DataFrame) -> DataFrame:
+    """(key): what goes where, in order, a text goes if an earlier one that stays is linked to it."""
+    open_, gone = materialize(links), []
+    while not open_.isEmpty():
+        later = open_.select(F.col("later").alias("key")).distinct()
+        stay = materialize(open_.select(F.col("earlier").alias("key")).distinct().join(later, "key", "left_anti"))
+        new = materialize(
+            open_.join(stay.withColumnRenamed("key", "earlier"), "earlier", "left_semi").select(F.col("later").alias("key")).distinct()
+        )
+        gone.append(new)
+        for c in ("later", "earlier"):
+            open_ = open_.join(new.withColumnRenamed("key", c), c, "left_anti")
+        open_ = materialize(open_)
+    out = links.select(F.col("later").alias("key")).limit(0)
+    for some in gone:
+        out = out.union(some)
+    return out
+
+
+def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = WIDE_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(contents, links): distinct shingle sets (key, low, row: the first document), and the similar pairs of their keys
+    (later, earlier) that decide what stays."""
     texts = docs.select("doc_id", row_hash(docs).alias("row"), "text")
+    kind = dict(texts.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wide = [wide_fingerprint((t or "").encode(), shingle, words) for t in batch.column(2).to_pylist()]
+            sets = [shingle_set((t or "").encode("utf-8", "replace"), shingle) for t in batch.column(2).to_pylist()]
+            keys = [xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets]
+            wide = [wide_print(s, words) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(wide, pa.binary())], ["doc_id", "row", "wide"]
+                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(wide, pa.binary())], ["doc_id", "row", "key", "wide"]
             )
 
-    keyed, _ = keep(
-        texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, row long, wide binary").withColumn("fp", F.xxhash64("wide"))
-    )
-    prints = materialize(keyed.select("fp", "wide").distinct())
-    edges = materialize(contracted(wide_links(prints, wide_radius(similarity, words), words)))
-    of = connected_components(prints.select(F.col("fp").alias("v")), edges).withColumnRenamed("v", "fp")
-    return keyed.join(of, "fp").select("doc_id", "row", "component")
+    keyed = texts.mapInArrow(run, f"doc_id {kind}, row long, key binary, wide binary")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    contents = materialize(keyed.groupBy("key").agg(F.min(first).alias("f"), F.first("wide").alias("wide")).select(
+        "key", F.col("f.doc_id").alias("low"), F.col("f.row").alias("row"), "wide"
+    ))
+    pairs = materialize(wide_candidates(contents, wide_distance(similarity, words), wide_distance(similarity, words, -1.5), words))
+    met = pairs.select(F.col("later").alias("key")).union(pairs.select("earlier")).distinct()
+    wanted = contents.join(met, "key", "left_semi").select("key", F.col("low").alias("low_"), F.col("row").alias("row_"))
+    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["low_"]) & (texts["row"] == wanted["row_"]))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set((t or "").encode("utf-8", "replace"), shingle).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["key", "shingles"])
+
+    sets = materialize(found.dropDuplicates(["key"]).select("key", "text").mapInArrow(take, "key binary, shingles binary"))
+    # most texts are similar to the first they meet; the others meet the rest
+    order = contents.select(F.col("key").alias("earlier"), F.struct(F.col("low").isNull().alias("none"), "low", F.col("key").alias("k")).alias("at"))
+    firsts = pairs.join(order, "earlier").groupBy("later").agg(F.min_by("earlier", "at").alias("earlier"))
+    firsts = materialize(firsts)
+    sure = materialize(similar(firsts, sets, similarity))
+    rest = pairs.join(sure.select("later"), "later", "left_anti").join(firsts, ["later", "earlier"], "left_anti")
+    return contents, materialize(sure.union(similar(rest, sets, similarity)))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: the one with the smallest id."""
+    """``docs`` without those that are similar to one with a smaller id that stays; of equal rows one stays."""
     (row,) = fresh(docs, "row")
-    found = wide_near_duplicates(docs, shingle, similarity)
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    stays = found.groupBy("component").agg(F.min(first).alias("first")).select(
-        F.col("first.doc_id").alias("stay_id"), F.col("first.row").alias("stay_row")
-    )
+    contents, links = similar_texts(docs, shingle, similarity)
+    stays = contents.join(left_out(links), "key", "left_anti").select(F.col("low").alias("stay_id"), F.col("row").alias("stay_row"))
     left = docs.withColumn(row, row_hash(docs))
     same = left["doc_id"].eqNullSafe(stays["stay_id"]) & (left[row] == stays["stay_row"])
     return left.join(stays, same, "left_semi").dropDuplicates(["doc_id", row]).drop(row)

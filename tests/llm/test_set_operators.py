@@ -1,5 +1,6 @@
 """Sharding, mixing, decontamination, SimHash neighbours and the pipeline against plain Python."""
 
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -275,29 +276,78 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in final.collect()} <= ids[2]
 
 
-def test_wide_links_match_brute_force(spark):
-    rng = random.Random(3)
-    prints = set()
-    for _ in range(40):
-        centre = rng.getrandbits(256)
-        for _ in range(rng.choice([1, 2, 25])):
-            f = centre
-            for b in rng.sample(range(256), rng.randrange(12)):
-                f ^= 1 << b
-            prints.add(f)
-    rows = [(i, bytearray(f.to_bytes(32, "little"))) for i, f in enumerate(prints)]
-    edges = simhash.wide_links(spark.createDataFrame(rows, "fp long, wide binary").repartition(3), 30, leaf_rows=16).collect()
-    parent = list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for e in edges:
-        parent[find(e.a)] = find(e.b)
-    label = components_by_hand(prints, 30)
-    assert len({find(i) for i in range(len(rows))}) == len(set(label.values()))
+def wide_rows(seed=3, n=400):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, (30, 4), dtype=np.uint64)
+    out = []
+    for i in range(n):
+        w = base[i % 30].copy()
+        for b in rng.choice(256, rng.integers(0, 50), replace=False):
+            w[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        out.append((int(i).to_bytes(16, "big"), i if i % 50 else None, w.astype("<u8").tobytes()))
+    return out
+
+
+def test_wide_candidates_are_all_pairs_that_share_a_range(spark):
+    rows = wide_rows()
+    df = spark.createDataFrame(rows, "key binary, low long, wide binary").repartition(3)
+    got = {(bytes(r.later), bytes(r.earlier)) for r in simhash.wide_candidates(df, 60, -1, leaf_rows=10**6).collect()}
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][1] is None, rows[i][1] or 0, rows[i][0]))
+    value = [int.from_bytes(rows[i][2], "little") for i in order]
+    # one leaf per range, so every pair within the radius is met
+    want = {(rows[order[j]][0], rows[order[i]][0]) for j in range(len(order)) for i in range(j) if (value[i] ^ value[j]).bit_count() <= 60}
+    assert got == want
+    few = {(bytes(r.later), bytes(r.earlier)) for r in simhash.wide_candidates(df, 60, 30, leaf_rows=16).collect()}
+    assert few < want
+    split = {(bytes(r.later), bytes(r.earlier)) for r in simhash.wide_candidates(df, 60, -1, leaf_rows=16).collect()}
+    close = {p for p, q in zip(want, want) if (int.from_bytes(dict((r[0], r[2]) for r in rows)[p[0]], "little")
+             ^ int.from_bytes(dict((r[0], r[2]) for r in rows)[p[1]], "little")).bit_count() <= 39}
+    assert len(split & close) >= 0.98 * len(close)
+
+
+def test_leaders_cover_a_leaf():
+    prints = np.array([np.frombuffer(r[2], "<u8") for r in wide_rows(4)])
+    later, earlier = simhash.candidate_pairs(prints, 60, 30, block=64)
+    far = simhash._apart(prints, prints)
+    assert (later > earlier).all() and (far[later, earlier] <= 60).all()
+    covered = set(later[far[later, earlier] <= 30].tolist())
+    leaders = [i for i in range(len(prints)) if i not in covered]
+    pairs = set(zip(later.tolist(), earlier.tolist()))
+    assert all(any(far[j, i] <= 30 for i in earlier[later == j]) for j in covered)
+    assert all((j, i) in pairs for x, i in enumerate(leaders) for j in leaders[x + 1 :] if far[i, j] <= 60)
+    assert set(earlier.tolist()) <= set(leaders)
+
+
+def test_similar_pairs_of_real_texts(spark):
+    """On sf0.01: nothing goes that is not similar to a text that stays; nearly no two that stay are similar."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    stay = {r.doc_id for r in simhash.keep_one(docs).select("doc_id").collect()}
+    sets = {r.doc_id: set(simhash.shingle_set(r.text.encode(), 5).tolist()) for r in docs.collect()}
+    by = defaultdict(list)
+    for i in sorted(sets):
+        for s in sets[i]:
+            by[s].append(i)
+    shared = Counter(p for ids in by.values() for p in itertools.combinations(ids, 2))
+    near = defaultdict(set)
+    for (i, j), n in shared.items():
+        if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+            near[i].add(j)
+            near[j].add(i)
+    gone = set(sets) - stay
+    assert len(gone) > 20 and all(near[i] & stay or not sets[i] for i in gone)
+    assert sum(1 for i in stay for j in near[i] if j in stay and i < j) <= 0.05 * len(gone)
+
+
+def test_a_repeated_line_makes_no_near_duplicate(spark):
+    line = "one line of ten words that both of them repeat\n" * 30
+    rows = [(i, line + " ".join(f"d{i}w{j}" for j in range(96)) + " " + line) for i in range(2)]
+    assert simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2
+
+
+def test_order_of_staying(spark):
+    rows = [(b"b", b"a"), (b"c", b"b"), (b"d", b"c"), (b"d", b"b"), (b"e", b"a")]
+    got = simhash.left_out(spark.createDataFrame(rows, "later binary, earlier binary")).collect()
+    assert sorted(bytes(r.key) for r in got) == [b"b", b"d", b"e"]
 
 
 def test_keep_one_takes_similar_texts_together(spark):
