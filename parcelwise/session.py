@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -84,11 +85,17 @@ def materialize(df: DataFrame, even: bool = False) -> DataFrame:
     df.write.mode("error").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
-    _written.add(path)
+    register_scratch(path)
     return out
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def register_scratch(path: str) -> None:
+    """Have ``clear_scratch`` remove what lies at ``path``."""
+    _written.add(path)
+
+
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a registered path now."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     _written.discard(path)
@@ -97,10 +104,16 @@ def _remove(spark: SparkSession, path: str) -> None:
 def discard(df: DataFrame) -> None:
     """Remove the table behind a ``materialize`` result that nothing reads any more."""
     if path := df.__dict__.get("scratch_path"):
-        _remove(df.sparkSession, path)
+        remove_scratch(df.sparkSession, path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more, before a step that needs the disk."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Remove every table that ``materialize`` wrote in this process; call it once results are saved."""
+    """Remove every table that was written or registered in this process; call it once results are saved."""
     for path in sorted(_written):
-        _remove(spark, path)
+        remove_scratch(spark, path)
