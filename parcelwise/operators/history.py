@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions.scoring import PUBLIC_CONFIDENCE
@@ -48,6 +48,22 @@ def score_history(scores: DataFrame, listing_id, limit: int = 50, offset: int =
     )
 
 
+def score_history_page(scores: DataFrame, listing_id, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of a listing's history, every row with ``total``, how many scores the listing has."""
+    mine = scores.where(F.col("listing_id") == listing_id)
+    counted = mine.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("listing_id")))
+    return score_history(counted, listing_id, limit, offset)
+
+
+def shown_score(scores: DataFrame, include_low_confidence: bool = False, listing_id=None) -> DataFrame:
+    """What a reader sees of each listing (or of one): its newest score, unless its confidence hides it.
+
+    Hidden means no row; an older, surer score does not take the newest one's place.
+    """
+    mine = scores if listing_id is None else scores.where(F.col("listing_id") == listing_id)
+    return score_view(publicly_visible(latest_scores(mine), include_low_confidence))
+
+
 def score_view(scores: DataFrame) -> DataFrame:
     """Reading form of scores: missing flags are an empty list, missing components an empty map."""
     return scores.withColumn(

@@ -548,16 +548,34 @@ def _snapshots(spark, sf_dir):
     )
 
 
+_STATES = """SELECT user_id AS listing_id, ts AS observed_at, round(value / 25) AS price, CASE WHEN event_type = 'error' THEN 'withdrawn' ELSE 'active' END AS status,
+  CASE WHEN event_type <> 'view' THEN md5(event_type) END AS description_hash, event_id % 3 AS photos_hash,
+  CASE WHEN day(ts) % 2 = 0 THEN 'has_lift' ELSE 'has_lift,has_cellar' END AS features FROM events"""
+_FIELDS = ["price", "status", "description_hash", "photos_hash", "features"]
+
+
 @query(
     "W7_change_records",
-    f"""WITH s AS (SELECT *, lag(price) OVER w AS pp, lag(status) OVER w AS ps, row_number() OVER w AS rn FROM ({SNAP}) WINDOW w AS (PARTITION BY listing_id ORDER BY observed_at))
-SELECT listing_id, epoch_us(observed_at) AS at, concat_ws(',', CASE WHEN pp IS DISTINCT FROM price THEN 'price' END, CASE WHEN ps IS DISTINCT FROM status THEN 'status' END) AS changed
-FROM s WHERE rn = 1 OR pp IS DISTINCT FROM price OR ps IS DISTINCT FROM status""",
+    f"""WITH s AS (SELECT *, {", ".join(f"lag({f}) OVER w AS old_{f}" for f in _FIELDS)}, row_number() OVER w AS rn FROM ({_STATES})
+  WINDOW w AS (PARTITION BY listing_id ORDER BY observed_at))
+SELECT listing_id, epoch_us(observed_at) AS at,
+  concat_ws(',', {", ".join(f"CASE WHEN old_{f} IS DISTINCT FROM {f} THEN '{f}' END" for f in _FIELDS)}) AS changed, coalesce(old_description_hash, '-') AS old_description
+FROM s WHERE rn = 1 OR {" OR ".join(f"old_{f} IS DISTINCT FROM {f}" for f in _FIELDS)}""".replace(
+        "coalesce(old_description_hash, '-')", "CASE WHEN old_description_hash IS DISTINCT FROM description_hash THEN coalesce(old_description_hash, '-') ELSE '' END"),
 )
 def _changes(spark, sf_dir):
-    out = h.change_records(_snapshots(spark, sf_dir), ["price", "status"])
+    c = F.col
+    states = ad.table(spark, sf_dir, "events").select(
+        c("user_id").alias("listing_id"), c("ts").alias("observed_at"), F.round(c("value") / 25).alias("price"),
+        F.when(c("event_type") == "error", "withdrawn").otherwise("active").alias("status"),
+        F.when(c("event_type") != "view", F.md5("event_type")).alias("description_hash"), (c("event_id") % 3).alias("photos_hash"),
+        F.when(F.dayofmonth("ts") % 2 == 0, "has_lift").otherwise("has_lift,has_cellar").alias("features"),
+    )
+    out = h.change_records(states)
     names = F.array_join(F.transform("fields_changed", lambda x: x["name"]), ",")
-    return out.select("listing_id", F.unix_micros(F.col("observed_at").cast("timestamp")).alias("at"), names.alias("changed"))
+    text = F.filter("fields_changed", lambda x: x["name"] == "description_hash")
+    was = F.when(F.size(text) > 0, F.coalesce(F.get(text, F.lit(0))["old"], F.lit("-"))).otherwise("")
+    return out.select("listing_id", F.unix_micros(c("observed_at").cast("timestamp")).alias("at"), names.alias("changed"), was.alias("old_description"))
 
 
 @query(

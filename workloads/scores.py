@@ -47,19 +47,45 @@ def _visible(spark, sf_dir):
     return h.publicly_visible(scores(spark, sf_dir)).select("listing_id", "composite")
 
 
+# Every column of a score, from one event each.
+_PARTS = {"segment_id": "event_id % 7", "undervaluation_pct": "value / 7", "undervaluation_abs": "value * 1000", "yield_gross_pct": "value / 50",
+          "yield_confidence": "(event_id % 10) / 10", "liquidity_score": "100 - value / 10", "location_score": "value / 9", "risk_score": "value / 20"}
+_FULL = f"""SELECT user_id AS listing_id, event_type AS model_version, ts AS computed_at, {", ".join(f"{v} AS {k}" for k, v in _PARTS.items())},
+  CASE WHEN event_id % 10 > 0 THEN (event_id % 100) / 100 END AS confidence_score, value AS composite,
+  CASE WHEN event_id % 4 > 0 THEN 'value=' || CAST(floor(value) AS BIGINT) ELSE '' END AS components, CASE WHEN event_id % 3 > 0 THEN event_type ELSE '' END AS flags
+FROM events"""
+
+
 @query(
     "F15_score_view_of_one_listing",
-    f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY computed_at DESC, model_version DESC) AS rn FROM
-  (SELECT *, event_id % 4 AS e4 FROM ({SCORES}) JOIN (SELECT event_id, ts, user_id FROM events) e ON ts = computed_at AND user_id = listing_id))
-SELECT listing_id, model_version, composite, coalesce(flag, '') AS flags, CAST(CASE WHEN e4 > 0 THEN 1 ELSE 0 END AS INT) AS n_components
-FROM s WHERE rn = 1""",
+    f"""SELECT listing_id, model_version, epoch_us(computed_at) AS at, segment_id, {", ".join(r(k) + f" AS {k}" for k in list(_PARTS)[1:])},
+  {r("confidence_score")} AS confidence_score, {r("composite")} AS composite, components, flags
+FROM (SELECT * FROM ({_FULL}) QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY computed_at DESC, model_version DESC) = 1)
+WHERE coalesce(confidence_score, 0) >= 0.3""",
 )
 def _view(spark, sf_dir):
-    latest = latest_per_key(scores(spark, sf_dir), ["listing_id"], ["computed_at", "model_version"])
-    return h.score_view(latest).select(
-        "listing_id", "model_version", "composite", F.array_join("risk_flags", ",").alias("flags"),
-        F.size("components").alias("n_components"),
+    e = F.col("event_id")
+    full = ad.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("listing_id"), F.col("event_type").alias("model_version"), F.col("ts").alias("computed_at"),
+        *[F.expr(v).alias(k) for k, v in _PARTS.items()], F.when(e % 10 > 0, (e % 100) / 100).alias("confidence_score"),
+        F.col("value").alias("composite"), F.when(e % 4 > 0, F.create_map(F.lit("value"), F.col("value"))).alias("components"),
+        F.when(e % 3 > 0, F.array("event_type")).alias("risk_flags"),
     )
+    parts = F.array_join(F.transform(F.map_entries("components"), lambda x: F.concat(x["key"], F.lit("="), F.floor(x["value"]).cast("string"))), ",")
+    return rounded(h.shown_score(full).select(
+        "listing_id", "model_version", F.unix_micros(F.col("computed_at").cast("timestamp")).alias("at"), *_PARTS, "confidence_score", "composite",
+        parts.alias("components"), F.array_join("risk_flags", ",").alias("flags"),
+    ))
+
+
+@query(
+    "T4_score_history_page_with_total",
+    f"""WITH s AS ({SCORES}), m AS (SELECT * FROM s WHERE listing_id = (SELECT max(listing_id) FROM s))
+SELECT listing_id, model_version, composite, (SELECT count(*) FROM m) AS total FROM m ORDER BY computed_at DESC, model_version DESC LIMIT 10 OFFSET 3""",
+)
+def _history_total(spark, sf_dir):
+    df = scores(spark, sf_dir)
+    return h.score_history_page(df, df.agg(F.max("listing_id")).head()[0], 10, 3).select("listing_id", "model_version", "composite", "total")
 
 
 @query(
