@@ -90,16 +90,39 @@ def _link(spark, sf_dir):
     return linking.link_decisions(ad.probes(spark, sf_dir), ad.places(spark, sf_dir))
 
 
-@query("J11_link_or_create_properties")
+_M = geo.METRES_PER_DEGREE
+LINK_OR_CREATE_SQL = f"""
+WITH RECURSIVE l AS ({LINK_SQL}),
+n AS (SELECT p.listing_id, p.ruian_address_code AS code, lower(p.address_normalized) AS addr, p.lat * {_M} AS y,
+             p.lon * {_M} * cos(radians(round(p.lat, 1))) AS x
+      FROM ({PROBES}) p JOIN l ON p.listing_id = l.listing_id WHERE l.method = 'new'),
+a AS (SELECT * FROM n WHERE code IS NULL AND addr IS NOT NULL),
+e AS (SELECT q.listing_id AS i, r.listing_id AS j FROM a q JOIN a r ON q.addr = r.addr
+      WHERE (q.x - r.x) * (q.x - r.x) + (q.y - r.y) * (q.y - r.y) <= 9),
+c AS (SELECT i, j FROM e UNION SELECT c.i, e.j FROM c JOIN e ON c.j = e.i),
+g AS (SELECT listing_id, CASE WHEN code IS NOT NULL THEN min(listing_id) OVER (PARTITION BY code) WHEN addr IS NULL THEN listing_id
+        ELSE (SELECT min(j) FROM c WHERE i = n.listing_id) END AS first FROM n)
+SELECT l.listing_id, l.method, l.confidence, coalesce(l.property_id, g.first) AS place, l.property_id IS NULL AS created
+FROM l LEFT JOIN g ON l.listing_id = g.listing_id"""
+
+
+@query("J11_link_or_create_properties", LINK_OR_CREATE_SQL)
 def _link_or_create(spark, sf_dir):
+    """The known property of each listing, or the first listing of the one that was created for it."""
     p = ad.probes(spark, sf_dir).select(
         "listing_id", "lat", "lon", F.lit("source_gps").alias("precision"), "address_normalized",
         F.lit(None).cast("string").alias("locality"), F.lit(None).cast("string").alias("city_district"),
         F.lit(None).cast("string").alias("cadastral_area"), F.lit(None).cast("string").alias("postcode"),
         "ruian_address_code", F.lit(True).alias("linkable"),
     )
-    links, _ = linking.link_or_create(p, ad.places(spark, sf_dir))
-    return links
+    places = ad.places(spark, sf_dir)
+    links, properties = linking.link_or_create(p, places)
+    created = properties.join(places, "property_id", "left_anti").select("property_id", F.lit(True).alias("created"))
+    told = links.join(created, "property_id", "left").withColumn("created", F.coalesce("created", F.lit(False)))
+    first = told.where("created").groupBy("property_id").agg(F.min("listing_id").alias("first"))
+    return told.join(first, "property_id", "left").select(
+        "listing_id", "method", "confidence", F.when(F.col("created"), F.col("first")).otherwise(F.col("property_id")).alias("place"), "created"
+    )
 
 
 @query(
