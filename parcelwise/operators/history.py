@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions.scoring import PUBLIC_CONFIDENCE
-from parcelwise.operators.skew import latest_per_key, previous_in_key
+from parcelwise.operators.ordered import with_previous
+from parcelwise.operators.skew import latest_per_key
 
 
 def price_as_of(listings: DataFrame, versions: DataFrame, at: Column) -> DataFrame:
@@ -83,7 +84,7 @@ def changed_payloads(
     at: str = "fetched_at", digest: str = "content_hash",
 ) -> DataFrame:
     """Add ``changed``: the payload differs from the previous fetch of the same listing."""
-    prev = previous_in_key(fetches, list(keys), [at, digest], [digest])
+    prev = with_previous(fetches, list(keys), [at, digest], [digest])
     return prev.withColumn(
         "changed", F.coalesce(F.col(f"prev_{digest}") != F.col(digest), F.lit(True))
     ).drop(f"prev_{digest}")
@@ -110,7 +111,7 @@ def change_records(
 ) -> DataFrame:
     """Spec-only: one row per snapshot in which a tracked field differs from the one before,
     with ``fields_changed`` = array<struct<name, old, new>>."""
-    prev = previous_in_key(snapshots.withColumn("__seen", F.lit(True)), [key], [at],
+    prev = with_previous(snapshots.withColumn("__seen", F.lit(True)), [key], [at],
                            ["__seen", *tracked])
     diffs = F.array_compact(
         F.array(
@@ -138,7 +139,7 @@ def change_records(
 def reactivations(snapshots: DataFrame, key: str = "listing_id", at: str = "observed_at",
                   gone: str = "withdrawn", back: str = "active") -> DataFrame:
     """Spec-only: snapshots in which a withdrawn listing is seen active again."""
-    prev = previous_in_key(snapshots, [key], [at], ["status"])
+    prev = with_previous(snapshots, [key], [at], ["status"])
     return prev.where((F.col("prev_status") == gone) & (F.col("status") == back)).drop(
         "prev_status"
     )

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from parcelwise.operators import order_stats as o
 from parcelwise.operators import segments as seg
-from parcelwise.operators.skew import group_facts, latest_per_key, previous_in_key
+from parcelwise.operators.ordered import with_previous
+from parcelwise.operators.skew import group_facts, latest_per_key
 
 Q = {"median": 0.5, "p25": 0.25, "p75": 0.75}
 
@@ -93,12 +94,12 @@ def test_ladder_against_plain_pools(spark):
     assert any(r["relaxation_level"] == 0 for r in got.values()) or any(r["relaxation_level"] for r in got.values())
 
 
-def test_previous_in_key_matches_plain_lag(spark):
+def test_previous_row_matches_plain_lag(spark):
     rng = np.random.default_rng(1)
     rows = [("hot" if rng.random() < 0.4 else f"k{rng.integers(5)}", int(t), f"h{rng.integers(3)}") for t in rng.permutation(2000) * 3000]
     rows.append((None, 5, "x"))
     df = spark.createDataFrame(rows, "k string, s bigint, h string").withColumn("t", F.timestamp_seconds("s"))
-    got = {(r.k, r.s): r.prev_h for r in previous_in_key(df, ["k"], ["t"], ["h"]).collect()}
+    got = {(r.k, r.s): r.prev_h for r in with_previous(df, ["k"], ["t"], ["h"]).collect()}
     want, last = {}, {}
     for k, s, h in sorted(rows, key=lambda r: r[1]):
         want[(k, s)] = last.get(k)

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from parcelwise.operators.ordered import placed
+from parcelwise.operators.ordered import placed, with_previous
 
 
 def test_places_of_one_large_key(spark):
@@ -24,3 +24,16 @@ def test_places_of_equal_rows_and_none(spark):
     same = spark.createDataFrame([("a", 1)] * 500, "key string, at int")
     assert sorted(r.place for r in placed(same, ["key"], ["at"]).collect()) == list(range(500))
     assert placed(same.limit(0), ["key"], ["at"]).count() == 0
+
+
+def test_previous_row_when_one_key_has_half_of_a_day(spark):
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 2 == 0, "big").when(F.col("id") % 9 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("key"),
+        F.lit("2024-01-01").cast("timestamp").alias("at"), "id", F.when(F.col("id") % 3 > 0, F.col("id") % 11).alias("value"),
+    ).repartition(6)
+    got = {(r.key, r.id): r.prev_value for r in with_previous(df, ["key"], ["at", "id"], ["value"]).collect()}
+    want, last = {}, {}
+    for r in sorted(df.collect(), key=lambda r: r.id):
+        want[r.key, r.id] = last.get(r.key)
+        last[r.key] = r.value
+    assert got == want
