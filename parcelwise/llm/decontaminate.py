@@ -12,7 +12,8 @@ are read once per block of benchmark items:
 3. a banded alignment of the item against the retained region decides, and gives the edits and the span.
 
 Letters are compared in lower case (A-Z), and every run of other ASCII characters counts as one space.
-Items shorter than ``MIN_ITEM`` bytes in that form are left out: they would mark ordinary text. The
+Items shorter than ``WORDS_ITEM`` bytes in that form must occur unchanged and between word borders; those shorter than
+``MIN_ITEM`` are left out, as they would mark ordinary text. The
 benchmark is taken in blocks of ``BLOCK_BYTES``, so the index in a task is bounded however large it is.
 
 Defined results: null and empty texts and items match nothing; repeated documents are reported
@@ -35,7 +36,8 @@ from parcelwise.llm import textbytes as tb
 
 Q = 8
 EDIT_RATE = 0.05
-MIN_ITEM = 24
+MIN_ITEM = 12
+WORDS_ITEM = 24
 BLOCK_BYTES = 4_000_000
 _CELL = 16
 _SHIFT = 1 << 24  # keeps diagonals positive; above any item's length
@@ -102,7 +104,7 @@ class Index:
         if not ids:
             return None
         sizes = np.array([len(t) for t in texts])
-        edits = np.array([budget(m, rate) for m in sizes])
+        edits = np.array([budget(m, rate) if m >= WORDS_ITEM else 0 for m in sizes])
         need = sizes + 1 - Q - Q * edits
         grams = [codes(t) for t in texts]
         code = np.concatenate(grams)
@@ -209,9 +211,11 @@ def _retained(text: np.ndarray, code: np.ndarray, hit: np.ndarray, index: Index)
         pattern = index.texts[k]
         begin = max(0, low - e)
         region = text[begin : max(begin, low + width + len(pattern) + e)]
-        there = region.tobytes().find(pattern.tobytes())
+        there = _place(pattern, text, begin, begin + len(region))
         if there >= 0:
-            found = (0, begin + there, begin + there + len(pattern))
+            found = (0, there, there + len(pattern))
+        elif len(pattern) < WORDS_ITEM:
+            continue
         else:
             edits, s, t = align(pattern, region, low - begin - e, width + 2 * e)
             found = (edits, begin + s, begin + t)
@@ -220,6 +224,19 @@ def _retained(text: np.ndarray, code: np.ndarray, hit: np.ndarray, index: Index)
     return [(k, *v) for k, v in sorted(best.items())]
 
 
+def _place(pattern: np.ndarray, text: np.ndarray, begin: int, end: int) -> int:
+    """Where an item occurs unchanged in a part of a text, a short one between word borders; or -1."""
+    whole, wanted = text[max(0, begin - 1) : end + 1].tobytes(), pattern.tobytes()
+    lead = begin - max(0, begin - 1)
+    at = whole.find(wanted, lead, lead + end - begin)
+    while at >= 0 and len(pattern) < WORDS_ITEM:
+        after = at + len(wanted)
+        if (at == 0 or whole[at - 1] == 32) and (after == len(whole) or whole[after] == 32):
+            break
+        at = whole.find(wanted, at + 1, lead + end - begin)
+    return begin + at - lead if at >= 0 else -1
+
+
 def scan(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, edits, start, end): spans in bytes of the original UTF-8 text."""
     for lo, _, buf, off in tb.slices(texts, tb.SLICE // 4):

@@ -276,6 +276,16 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in final.collect()} <= ids[2]
 
 
+def test_short_items_between_word_borders(spark):
+    bench = spark.createDataFrame([(1, "What is 2 plus 2? Four"), (2, "two words"), (3, "nine letters")], "item_id int, text string")
+    docs = spark.createDataFrame([
+        (1, "so: WHAT is 2, plus 2 - four! and more"), (2, "somewhat is 2 plus 2 fourteen"), (3, "what is 2 plus 2 fou"), (4, "two words"),
+        (5, "canine letters and nine letters"), (6, "nine letters"), (7, "nine lettersx, nine  letters"), (8, "what is 2 plus 3 four"),
+    ], "doc_id int, text string")
+    got = {(r.doc_id, r.item_id, r.edits, r.start) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, 1, 0, 4), (5, 3, 0, 19), (6, 3, 0, 0), (7, 3, 0, 15)}
+
+
 def wide_rows(seed=3, n=400):
     rng = np.random.default_rng(seed)
     base = rng.integers(0, 2**63, (30, 4), dtype=np.uint64)
