@@ -144,7 +144,7 @@ def _null_safe(spark, sf_dir):
     return l.join(l.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k").select("listing_id", "n")
 
 
-def _population(spark, sf_dir):
+def population(spark, sf_dir):
     return scoring_population(ad.listings(spark, sf_dir), ad.properties(spark, sf_dir), as_of(), "")
 
 
@@ -161,7 +161,7 @@ SELECT city, own AS ownership_type, feature, coalesce(string_agg(level, ',' ORDE
 FROM n GROUP BY ALL""".replace("UNPIVOT b ON building_type", "UNPIVOT (SELECT * REPLACE (city_district || '' AS city_district) FROM b) ON building_type"),
 )
 def _levels(spark, sf_dir):
-    rows = hedonic.trainable(hedonic.design(_population(spark, sf_dir)))
+    rows = hedonic.trainable(hedonic.design(population(spark, sf_dir)))
     return hedonic.category_levels(rows).select(
         "city", "ownership_type", "feature", F.array_join("levels", ",").alias("levels")
     )
@@ -174,7 +174,7 @@ FROM ({L}) JOIN ({P}) USING (property_id) WHERE status = 'active' AND last_seen_
  AND price > 0 AND size_m2 > 0 GROUP BY ALL HAVING count(*) >= 50""",
 )
 def _sizes(spark, sf_dir):
-    return hedonic.fit_models(_population(spark, sf_dir)).select(
+    return hedonic.fit_models(population(spark, sf_dir)).select(
         "city", "property_type", "ownership_type", "n_samples"
     )
 
@@ -199,14 +199,14 @@ SELECT f.*, n_samples, CAST(0 AS DOUBLE) AS excess FROM f JOIN g USING (city, pr
 )
 def _equations(spark, sf_dir):
     """Every model solves its equations: the oracle lists all of their columns with nothing left over."""
-    pop = _population(spark, sf_dir)
+    pop = population(spark, sf_dir)
     left = hedonic.score_equations(pop, hedonic.fit_models(pop))
     return left.withColumn("excess", F.abs(F.round("excess", 3)))
 
 
 @query("A10_U3_P5_hedonic_models")
 def _models(spark, sf_dir):
-    m = hedonic.fit_models(_population(spark, sf_dir))
+    m = hedonic.fit_models(population(spark, sf_dir))
     return m.select(
         "city", "property_type", "ownership_type", F.round("intercept", 6).alias("intercept"), "n_samples",
         "n_features", F.round("residual_stddev", 6).alias("residual_stddev"),
@@ -216,7 +216,7 @@ def _models(spark, sf_dir):
 
 @query("H3_H4_H5_hedonic_predictions")
 def _predictions(spark, sf_dir):
-    pop = _population(spark, sf_dir)
+    pop = population(spark, sf_dir)
     p = hedonic.predict(pop, hedonic.fit_models(pop))
     return p.select(
         "listing_id", F.round("predicted_log", 6).alias("predicted_log"),
@@ -225,7 +225,7 @@ def _predictions(spark, sf_dir):
 
 
 def _nightly(spark, sf_dir):
-    return plan.nightly(_population(spark, sf_dir), V1, as_of())
+    return plan.nightly(population(spark, sf_dir), V1, as_of())
 
 
 @query("K3_S12_nightly_scores")
@@ -269,7 +269,7 @@ FROM k"""
 def _no_model(spark, sf_dir):
     from parcelwise.session import materialize
 
-    pop = materialize(_population(spark, sf_dir), even=True)
+    pop = materialize(population(spark, sf_dir), even=True)
     today = plan.market_stats(pop, F.to_date(as_of()), listing_kind=None)
     out = plan.score_rows(pop, today, None, V1, as_of())
     return rounded(out.select(

@@ -11,10 +11,11 @@ from parcelwise import adapters as ad
 from parcelwise.functions.keys import key_id
 from parcelwise.operators import hedonic
 from parcelwise.plans import analytics as an
-from parcelwise.plans import search
-from parcelwise.session import shared_dir
+from parcelwise.plans import scoring, search
+from parcelwise.session import materialize, shared_dir
 from parcelwise.sources import upserts
-from workloads.registry import SCORES, L, P, as_of, query, scores, versions
+from workloads.registry import SCORES, L, P, as_of, query, r, rounded, scores, versions
+from workloads.scores import NO_MODEL, V1, population
 
 
 def _folder(spark) -> str:
@@ -99,6 +100,11 @@ _CASES = " ".join(
 )
 
 
+def _stated(spark):
+    rows = [(c, "byt", o, i, m, 100, len(m), 0.1) for (c, o), (i, m) in _MODELS.items()]
+    return spark.createDataFrame(rows, hedonic.MODEL_SCHEMA)
+
+
 @query(
     "H3_H4_predictions_of_stated_models",
     f"""WITH l AS (SELECT *, CASE WHEN city_district LIKE 'Praha%' THEN 'Praha' ELSE city_district END AS city FROM ({L}) JOIN ({P}) USING (property_id)),
@@ -106,11 +112,28 @@ p AS (SELECT listing_id, CASE {_CASES} END AS y, ln(price / size_m2) AS actual F
 SELECT listing_id, round(y, 9) AS predicted_log, round((exp(y) - exp(actual)) / exp(y) * 100, 6) AS below_pct, y IS NOT NULL AS hedonic_fit FROM p""",
 )
 def _predictions(spark, sf_dir):
-    rows = [(c, "byt", o, i, m, 100, len(m), 0.1) for (c, o), (i, m) in _MODELS.items()]
-    models = spark.createDataFrame(rows, hedonic.MODEL_SCHEMA)
+    models = _stated(spark)
     listings = search.with_property(ad.listings(spark, sf_dir), ad.properties(spark, sf_dir), "inner")
     p = hedonic.predict(listings, models)
     y, actual = F.exp("predicted_log"), F.exp("actual_log")
     return p.select(
         "listing_id", F.round("predicted_log", 9).alias("predicted_log"), F.round((y - actual) / y * 100, 6).alias("below_pct"), "hedonic_fit"
     )
+
+
+_WITH_MODEL = NO_MODEL[: NO_MODEL.rindex("SELECT listing_id, CAST(n AS INT)")].rstrip() + f""",
+y AS (SELECT *, CASE {_CASES} END AS y, ln(price / size_m2) AS actual
+      FROM (SELECT *, CASE WHEN city_district LIKE 'Praha%' THEN 'Praha' ELSE city_district END AS city FROM k)),
+u AS (SELECT *, CASE WHEN y IS NOT NULL THEN greatest(least((exp(y - actual) - 1) * 100, 50), -50) END AS pct FROM y)
+SELECT listing_id, {r("round(pct, 3)")} AS undervaluation_pct, {r("round(exp(y) * size_m2 - price, 2)")} AS undervaluation_abs, {r("risk")} AS risk_score,
+  {r("round(100 / (1 + exp(-(1.5 * coalesce(pct, 0) / 15 - 0.8 * (risk - 10) / 15))), 2)")} AS composite FROM u"""
+
+
+@query("K3_score_rows_with_stated_models", _WITH_MODEL)
+def _with_model(spark, sf_dir):
+    pop = materialize(population(spark, sf_dir), even=True)
+    today = scoring.market_stats(pop, F.to_date(as_of()), listing_kind=None)
+    out = scoring.score_rows(pop, today, _stated(spark), V1, as_of())
+    return rounded(out.select("listing_id", *[
+        F.col(x).cast("double").alias(x) for x in ("undervaluation_pct", "undervaluation_abs", "risk_score", "composite")
+    ]))
