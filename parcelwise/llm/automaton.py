@@ -7,9 +7,10 @@ first byte at the price of the context's backoff weight. Each state is the longe
 left-to-right traversal carries it along. Probabilities are interpolated absolute discounting and sum to one in every state.
 
 Spark counts n-grams over all learnable texts and keeps every one. The arcs are spread over the cluster: the n-grams of all
-documents, learned or not, follow their failure arcs level by level in joins, which gives the probability that the
-traversal would find. A block of documents gets those of its distinct n-grams by a join and adds them up, so no task loads
-the model. ``Automaton`` is the same model in arrays with its traversal, for counts that fit into memory.
+documents, learned or not, follow their failure arcs level by level in joins, once per n-gram instead of once per
+occurrence. A block of documents gets the arcs that its texts use by a join, with the failures' price in their weight, as
+an automaton of its own (``BlockAutomaton``), and every text is traversed from left to right with the state carried
+along; no task loads the model. ``Automaton`` is the whole model in arrays with failure arcs, for counts that fit into memory.
 
 Words are counted exactly over all learnable texts for the base score. A task numbers the words of a block of text,
 hands on (word, slot, learned count) once per block, and gets the corpus counts of its slots back; so words
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.llm import textbytes as tb
 from parcelwise.llm.common import discard, fold, keep
+from parcelwise.session import free_shuffles
 
 ORDER = 6
 DISCOUNT = 0.8
@@ -40,6 +42,7 @@ END = 10
 BLOCK_BYTES = 12_000_000
 _LENGTH = 56  # a key is the n-gram's bytes, the last lowest, with its length above
 _STEPS = 1024
+_PIECE = 256
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,8 +91,9 @@ def count_runs(values: np.ndarray, times: np.ndarray | None = None) -> tuple[np.
     return values[first], np.add.reduceat(times, first) if len(first) else times
 
 
-def chances(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
-    """(key, weight): log10 of the probability of every n-gram of ``grams`` (key, n learned), of two symbols or more."""
+def chances(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> tuple[DataFrame, list[tuple[DataFrame, str]]]:
+    """(key, weight): log10 of the probability of every n-gram of ``grams`` (key, n learned), of two symbols or more; and
+    the kept tables that it rests on."""
     longest = grams.groupBy("key").agg(F.sum("n").alias("n"))
     length = F.shiftrightunsigned("key", _LENGTH).cast("int")
     each = longest.select("key", "n", F.explode(F.sequence(F.lit(1), length)).alias("k"))
@@ -105,20 +109,21 @@ def chances(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT) ->
     ))
     symbols = counted.where("k = 1").agg(F.sum("n").alias("n")).first()["n"] or 0
     # symbols at the root get half a count more, so every byte has an arc there
-    lower, _ = keep(counted.where("k = 1").select(F.col("key").alias("short"), F.expr(f"(n + 0.5D) / ({symbols} + 128)").alias("chance")))
+    lower, root = keep(counted.where("k = 1").select(F.col("key").alias("short"), F.expr(f"(n + 0.5D) / ({symbols} + 128)").alias("chance")))
     discard(counted, path)
-    out = []
+    out, levels = [], [(lower, root)]
     for k in range(2, order + 1):
         suffix = f"(key & {(1 << 8 * (k - 1)) - 1}L) | {(k - 1) << _LENGTH}L"
         rows = shares.where(f"k = {k}").withColumn("short", F.expr(suffix))
-        now, _ = keep(rows.join(lower, "short").select("key", F.expr("share + rest * chance").alias("chance")))
+        now, level = keep(rows.join(lower, "short").select("key", F.expr("share + rest * chance").alias("chance")))
         out.append(now)
+        levels.append((now, level))
         lower = now.withColumnRenamed("key", "short")
     discard(shares, other)
     table = out[0]
     for more in out[1:]:
         table = table.union(more)
-    return table.select("key", F.log10("chance").alias("weight"))
+    return table.select("key", F.log10("chance").alias("weight")), levels
 
 
 @dataclass
@@ -252,6 +257,63 @@ class Automaton:
         return np.add.reduceat(self.walk(symbols).astype(np.float64), at[:-1])
 
 
+class BlockAutomaton:
+    """The arcs that a block's texts use: states are contexts, arcs lie in order of state and symbol.
+
+    A state's symbols are a map of 256 bits with running counts, so the arc of (state, symbol) is found in
+    one step; its goal is the context that it leads to, -1 where no text of the block goes on.
+    """
+
+    def __init__(self, key: np.ndarray, weight: np.ndarray, order: int = ORDER):
+        sort = np.argsort(key)
+        key, self.weight = key[sort], weight[sort]
+        length = key >> np.uint64(_LENGTH)
+        code = key & np.uint64((1 << _LENGTH) - 1)
+        context = (code >> np.uint64(8)) | (length - np.uint64(1)) << np.uint64(_LENGTH)
+        # contexts come in the order of their n-grams
+        self.states, self.first = np.unique(context, return_index=True)
+        state = np.repeat(np.arange(len(self.states)), np.diff(np.append(self.first, len(key))))
+        self.symbol = (code & np.uint64(255)).astype(np.uint8)
+        self.bits = np.zeros((len(self.states), 4), np.uint64)
+        np.bitwise_or.at(self.bits, (state, self.symbol >> 6), np.uint64(1) << (self.symbol & 63).astype(np.uint64))
+        ones = np.bitwise_count(self.bits).astype(np.int64)
+        self.before = self.first[:, None] + np.cumsum(ones, axis=1) - ones
+        keep = np.minimum(length, np.uint64(order - 1))
+        wanted = (code & ((np.uint64(1) << np.uint64(8) * keep) - np.uint64(1))) | keep << np.uint64(_LENGTH)
+        at = np.minimum(np.searchsorted(self.states, wanted), max(len(self.states) - 1, 0))
+        self.goal = np.where(self.states[at] == wanted, at, -1) if len(key) else at
+        self.order = order
+
+    def walk(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The summed weights of each row (from ``at[i]`` to ``at[i + 1]``); long rows are walked in pieces side by side,
+        each from the state that its place in the row gives."""
+        size = np.diff(at)
+        pieces = -(-size // _PIECE)
+        row = np.repeat(np.arange(len(size)), pieces)
+        start = at[row] + _PIECE * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        steps = np.minimum(_PIECE, at[row + 1] - start)
+        deal = np.argsort(-steps, kind="stable")
+        row, start, steps = row[deal], start[deal], steps[deal]
+        gram = keys(symbols, at, self.order)[start]
+        context = ((gram & np.uint64((1 << _LENGTH) - 1)) >> np.uint64(8)) | ((gram >> np.uint64(_LENGTH)) - np.uint64(1)) << np.uint64(_LENGTH)
+        state = np.minimum(np.searchsorted(self.states, context), len(self.states) - 1)
+        if not np.array_equal(self.states[state], context):
+            raise ValueError("a text's context has no state")
+        total = np.zeros(len(row))
+        going = np.searchsorted(-steps, -np.arange(_PIECE), "left")  # pieces with more than j steps
+        for j in range(int(steps[0]) if len(steps) else 0):
+            n = going[j]
+            here, sign = state[:n], symbols[start[:n] + j]
+            part = sign >> 6
+            below = self.bits[here, part] & ((np.uint64(1) << (sign & 63).astype(np.uint64)) - np.uint64(1))
+            arc = self.before[here, part] + np.bitwise_count(below)
+            if not np.array_equal(self.symbol.take(arc, mode="clip"), sign):
+                raise ValueError("an n-gram of a text has no arc")
+            total[:n] += self.weight[arc]
+            state[:n] = self.goal[arc]
+        return np.bincount(row, total, len(size))
+
+
 def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, bytes of each value) in base 128, low digits first, the top bit set on all but the last."""
     width = 1 + (values >= 1 << 7).astype(np.int64) + (values >= 1 << 14) + (values >= 1 << 21) + (values >= 1 << 28)
@@ -340,20 +402,12 @@ def respelled(spelling: bytes, texts: list[np.ndarray], limit: int = tb.SLICE) -
         lo = hi
 
 
-def text_sums(spelling: bytes, texts: list[np.ndarray], key: np.ndarray, weight: np.ndarray, order: int, fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(sum of the weights of its n-grams, their number) of each text; ``key`` must have them all."""
-    sort = np.argsort(key)
-    key, weight = key[sort], weight[sort]
-    sums, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
-    for _, _, buf, off in respelled(spelling, texts):
-        symbols, at = stream(buf, off, fold)
-        wanted, where = np.unique(keys(symbols, at, order), return_inverse=True)
-        found = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-        if not np.array_equal(key[found], wanted):
-            raise ValueError("an n-gram of a text has no weight")
-        sums.append(np.add.reduceat(weight[found][where], at[:-1]))
-        sizes.append(np.diff(at))
-    return np.concatenate(sums), np.concatenate(sizes)
+def text_walks(spelling: bytes, texts: list[np.ndarray], model: BlockAutomaton) -> np.ndarray:
+    """log10 probability of each text, already in lower case."""
+    out = [np.zeros(0)]
+    for _, _, buf, off in respelled(spelling, texts, 4 * tb.SLICE):
+        out.append(model.walk(*stream(buf, off, fold=False)))
+    return np.concatenate(out)
 
 
 def packed_weights(weights: DataFrame) -> DataFrame:
@@ -476,9 +530,11 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     texts = told.where("slot IS NULL AND key IS NULL").select(names).toDF(*names)  # new columns, as both sides come from one table
     learned_docs = texts.where(~F.col("held_out")).count()
     grams = told.where("key IS NOT NULL")
-    weights = packed_weights(
-        grams.select("block", "key").join(chances(grams.select("key", F.col("learned").alias("n"))), "key").withColumn("lang", F.lit(""))
-    )
+    table, levels = chances(grams.select("key", F.col("learned").alias("n")))
+    weights, _ = keep(packed_weights(grams.select("block", "key").join(table, "key").withColumn("lang", F.lit(""))))
+    del table
+    for frame, path in levels:
+        discard(frame, path)
     given = counts.select("block", "slot", "n", F.lit(None).cast("binary").alias("packed")).union(
         weights.select("block", F.lit(None).cast("int"), F.lit(None).cast("long"), "packed")
     )
@@ -487,6 +543,9 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     kinds = sums["v"] + (1 if learned_docs else 0)
     denominator = float(np.log10(tokens + kinds + 1))
 
+    free_shuffles(docs.sparkSession)
+    blocks = max(1, texts.where(F.col("spelling").isNotNull()).count())
+
     def second(left: pa.Table, right: pa.Table) -> pa.Table:
         spelling = next(x.as_py() for x in left.column("spelling") if x.is_valid)
         left = left.filter(left.column("spelling").is_null())
@@ -497,7 +556,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         gain = np.log10(n + 1.0)
         base, known, size = [], [], []
         numbers = [_unvarints(np.frombuffer(blob.as_buffer(), np.uint8)) for blob in left.column("words")]
-        told, _ = text_sums(spelling, numbers, key, weight, ORDER, fold=False)
+        told = text_walks(spelling, numbers, BlockAutomaton(key, weight))
         for at in numbers:
             size.append(len(at) + 1)
             known.append(int(np.count_nonzero(n[at])) + (learned_docs > 0))
@@ -509,7 +568,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         })
 
     return (
-        texts.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(
+        texts.repartition(blocks, "block").groupBy("block").cogroup(given.repartition(blocks, "block").groupBy("block")).applyInArrow(
             second,
             f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
         )

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.session import shared_dir
+from parcelwise.session import register_scratch, remove_scratch, shared_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,14 +37,14 @@ def row_hash(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Colum
 def keep(df: DataFrame) -> tuple[DataFrame, str]:
     """(the written table, its path): ``df`` once in the shared folder, packed tighter than by default."""
     path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    register_scratch(path)
     df.write.mode("error").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def discard(df: DataFrame, path: str) -> None:
     """Remove a kept table that nothing will read again; ``df`` is any frame of the session."""
-    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    remove_scratch(df.sparkSession, path)
 
 
 def labelled_sample(labels: DataFrame, label: str, learn: Column, per_class: int) -> DataFrame:

@@ -4,8 +4,8 @@ The model is a modified Kneser-Ney model of bytes: a text is its words with one
 symbol, and each symbol is predicted from the ``ORDER - 1`` before it. Spark counts the n-grams of every language
 over all documents, derives continuation counts, context totals and the three discounts of each order, and
 interpolates order by order with joins. Every counted n-gram is kept. Documents travel in blocks: a block lists its distinct
-n-grams, gets their probabilities by a join and then scores its documents, so no task loads the model.
-``KneserNey`` is the same model in arrays, for tables whose n-grams fit into memory.
+n-grams, gets their probabilities by a join as arrays sorted by the n-grams' hashes (:class:`KneserNey`), and looks up
+its documents' n-grams there, each hit checked against the n-gram itself; so no task loads the model.
 
 A text's perplexity must lie inside its language's band: ``SPREAD`` times the quartile distance beyond the
 quartiles of log-perplexity, taken over all documents of the language long enough for the base rules.
@@ -27,13 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm import textbytes as tb
-from parcelwise.llm.automaton import Words, _unvarints, count_runs, keys, packed_weights, stream, text_sums, unpacked
+from parcelwise.llm.automaton import Words, _unvarints, count_runs, keys, packed_weights, respelled, stream, unpacked
 from parcelwise.llm.common import discard, keep
+from parcelwise.session import free_shuffles, materialize
 
 ORDER = 5
 BLOCK_BYTES = 48_000_000
 SPREAD = 3.5
 LEAST_WORDS = 50
+#: Languages are marked with a sign in front, so that none is apart from an empty one.
+NO_LANG = "~"
+#: Languages up to which their bands are broadcast.
+MOST_BANDS = 10_000
 _LENGTH = 56
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -119,7 +124,8 @@ class _Block:
 
 def packed(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Blocks of documents: a row by document, one with the block's words and one by (language, n-gram)."""
-    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    lang = F.coalesce(F.concat(F.lit("="), "lang"), F.lit(NO_LANG))
+    rows = docs.select("doc_id", lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, block = TaskContext.get().partitionId() << 24, _Block(order)
@@ -141,8 +147,8 @@ def packed(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return told
 
 
-def model_table(told: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
-    """(lang, key, k, context, c) of all n-grams of packed documents, and (lang, k, n1..n4) for the discounts."""
+def model_table(told: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame, str]:
+    """(lang, key, k, context, c) of all n-grams of packed documents, (lang, k, n1..n4) for the discounts, and where the first is kept."""
     longest = told.where("key IS NOT NULL").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     length = f"CAST(shiftrightunsigned(key, {_LENGTH}) AS INT)"
     each = longest.select("lang", "key", "n", F.explode(F.sequence(F.lit(1), F.expr(length))).alias("k"))
@@ -157,14 +163,15 @@ def model_table(told: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFra
         "lang", "key", "k", F.when(F.col("k") == order, F.col("n")).otherwise(F.coalesce("before", "n")).alias("c"),
         F.expr(f"(shiftrightunsigned(key & {(1 << _LENGTH) - 1}L, 8) | shiftleft(CAST(k - 1 AS BIGINT), {_LENGTH}))").alias("context"),
     )
-    counted, _ = keep(counted)
+    counted, at = keep(counted)
     discard(counted, path)
     kinds = counted.groupBy("lang", "k").agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5)])
-    return counted, kinds
+    return counted, kinds, at
 
 
-def chances(counted: DataFrame, kinds: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, key, weight): the natural logarithm of the interpolated probability of every n-gram of two symbols or more."""
+def chances(counted: DataFrame, kinds: DataFrame, order: int = ORDER) -> tuple[DataFrame, list[tuple[DataFrame, str]]]:
+    """(lang, key, weight): the natural logarithm of the interpolated probability of every n-gram of two symbols or more;
+    and the kept tables that it rests on."""
     y = "CASE WHEN n1 > 0 AND n2 > 0 THEN n1 / (n1 + 2 * n2) ELSE 0.5D END"
     cuts = kinds.withColumn("y", F.expr(y)).select("lang", "k", F.array(*[
         F.expr(f"least(greatest(CASE WHEN n{i} > 0 THEN {i} - {i + 1} * y * n{i + 1} / n{i} ELSE 0.5D END, 0.05D), {most}D)")
@@ -173,20 +180,21 @@ def chances(counted: DataFrame, kinds: DataFrame, order: int = ORDER) -> DataFra
     # a row for each order of a language
     cut = counted.join(F.broadcast(cuts), ["lang", "k"]).withColumn("taken", F.expr("element_at(cut, CAST(least(c, 3) AS INT))"))
     totals = cut.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("taken").alias("rest"))
-    shares, _ = keep(cut.join(totals, ["lang", "context"]).select(
+    shares, path = keep(cut.join(totals, ["lang", "context"]).select(
         "lang", "key", "k", F.expr("(c - taken) / total").alias("share"), F.expr("rest / total").alias("rest")
     ))
     lower = shares.where("k = 1").select("lang", F.col("key").alias("short"), F.expr("share + rest / 256").alias("chance"))
-    out = []
+    out, levels = [], [(shares, path)]
     for k in range(2, order + 1):
         rows = shares.where(f"k = {k}").withColumn("short", F.expr(_suffix("key", f"{k - 1}")))
-        now, _ = keep(rows.join(lower, ["lang", "short"]).select("lang", "key", F.expr("share + rest * chance").alias("chance")))
+        now, level = keep(rows.join(lower, ["lang", "short"]).select("lang", "key", F.expr("share + rest * chance").alias("chance")))
         out.append(now)
+        levels.append((now, level))
         lower = now.withColumnRenamed("key", "short")
     table = out[0]
     for more in out[1:]:
         table = table.union(more)
-    return table.select("lang", "key", F.log(F.greatest("chance", F.lit(1e-30))).alias("weight"))
+    return table.select("lang", "key", F.log(F.greatest("chance", F.lit(1e-30))).alias("weight")), levels
 
 
 def _tag(code: np.ndarray, length: np.ndarray | int) -> np.ndarray:
@@ -203,11 +211,13 @@ def _context(key: np.ndarray, length: int) -> np.ndarray:
 
 @dataclass
 class KneserNey:
-    """Natural logarithms in arrays sorted by the hashes of n-grams and of contexts."""
+    """Natural logarithms in arrays sorted by the hashes of n-grams and of contexts, with what was hashed."""
 
     gram: np.ndarray
+    gram_key: np.ndarray
     weight: np.ndarray
     context: np.ndarray
+    context_key: np.ndarray
     backoff: np.ndarray
     unknown: float
     order: int
@@ -244,14 +254,22 @@ class KneserNey:
         by_gram, hashed = np.argsort(tb.mix(key)), tb.mix(key)
         by_name, named = np.argsort(tb.mix(names)), tb.mix(names)
         root = rest[0] if len(names) and names[0] == 0 else 1.0
-        return cls(hashed[by_gram], np.log(np.maximum(chance, 1e-30))[by_gram], named[by_name],
+        return cls(hashed[by_gram], key[by_gram], np.log(np.maximum(chance, 1e-30))[by_gram], named[by_name], names[by_name],
                    np.log(np.clip(rest, 1e-12, 1))[by_name], float(np.log(max(root, 1e-12) / 256)), order)
 
+    @classmethod
+    def of_block(cls, key: np.ndarray, weight: np.ndarray, order: int = ORDER) -> KneserNey:
+        """From the finished values of all the n-grams that will be asked for; any other has no value."""
+        hashed = tb.mix(key)
+        by_gram, none = np.argsort(hashed), np.zeros(0, np.uint64)
+        return cls(hashed[by_gram], key[by_gram], weight[by_gram], none, none, np.zeros(0), float("nan"), order)
+
     @staticmethod
-    def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _find(table: np.ndarray, names: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is there) of each key; equal hashes count only for equal keys."""
         wanted = tb.mix(key)
         at = np.minimum(np.searchsorted(table, wanted), max(len(table) - 1, 0))
-        return at, table[at] == wanted if len(table) else np.zeros(len(key), bool)
+        return at, (table[at] == wanted) & (names[at] == key) if len(table) else np.zeros(len(key), bool)
 
     def log_chances(self, key: np.ndarray) -> np.ndarray:
         """Of the last symbol of each n-gram after the ones before it."""
@@ -261,19 +279,32 @@ class KneserNey:
             rows = np.flatnonzero(length == k)
             if not len(rows):
                 continue
-            at, there = self._find(self.gram, key[rows])
+            at, there = self._find(self.gram, self.gram_key, key[rows])
             out[rows[there]] += self.weight[at[there]]
             rows = rows[~there]
             length[rows] = k - 1
             if k == 1:
                 out[rows] += self.unknown
             elif len(rows):
-                at, there = self._find(self.context, _context(key[rows], k))
+                at, there = self._find(self.context, self.context_key, _context(key[rows], k))
                 out[rows[there]] += self.backoff[at[there]]
                 key = key.copy() if not key.flags.writeable else key
                 key[rows] = _cut(key[rows], k - 1)
         return out
 
+    def text_sums(self, spelling: bytes, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(log-probability, symbols) of texts given as numbers of words."""
+        sums, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
+        for _, _, buf, off in respelled(spelling, texts):
+            symbols, at = stream(buf, off, fold=False)
+            distinct, where = np.unique(keys(symbols, at, self.order), return_inverse=True)
+            values = self.log_chances(distinct)
+            if np.isnan(values).any():
+                raise ValueError("an n-gram of a text has no value")
+            sums.append(np.add.reduceat(values[where], at[:-1]))
+            sizes.append(np.diff(at))
+        return np.concatenate(sums), np.concatenate(sizes)
+
     def log_perplexity(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         symbols, at = stream(buf, off, fold=False)
         distinct, where = np.unique(keys(symbols, at, self.order), return_inverse=True)
@@ -281,14 +312,14 @@ class KneserNey:
 
 
 def fit(docs: DataFrame, order: int = ORDER) -> dict[str, KneserNey]:
-    """A model by language ('' for null) in memory, for few n-grams; :func:`measure` needs none."""
-    counted, kinds = model_table(packed(docs, order), order)
+    """A model by language (None for null) in memory, for few n-grams; :func:`measure` needs none."""
+    counted, kinds, _ = model_table(packed(docs, order), order)
     totals = counted.groupBy("lang", "context").agg(F.sum("c").alias("total"))
     got, small = counted.join(totals, ["lang", "context"]).toArrow(), kinds.collect()
     langs = np.array(got.column("lang").to_pylist(), dtype=object)
     key, c, total = (got.column(x).to_numpy() for x in ("key", "c", "total"))
     return {
-        lang: KneserNey.build(
+        None if lang == NO_LANG else lang[1:]: KneserNey.build(
             key[langs == lang].view(np.uint64), c[langs == lang], total[langs == lang],
             {r["k"]: (r["n1"], r["n2"], r["n3"], r["n4"]) for r in small if r["lang"] == lang}, order,
         )
@@ -299,9 +330,13 @@ def fit(docs: DataFrame, order: int = ORDER) -> dict[str, KneserNey]:
 def measure(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, lang, the base counts, log_perplexity) of every document."""
     told = packed(docs, order)
-    weights = packed_weights(told.where("key IS NOT NULL").select("block", "lang", "key").join(
-        chances(*model_table(told, order), order), ["lang", "key"]
-    ))
+    counted, kinds, path = model_table(told, order)
+    table, levels = chances(counted, kinds, order)
+    weights, _ = keep(packed_weights(told.where("key IS NOT NULL").select("block", "lang", "key").join(table, ["lang", "key"])))
+    for frame, at in [(counted, path), *levels]:
+        discard(frame, at)
+    del counted, kinds, table, levels, frame
+    free_shuffles(docs.sparkSession)
     names = ["doc_id", "block", "lang", *_COUNTS, "words", "spelling"]
     rows = told.where("key IS NULL").select(names).toDF(*names)  # new columns, as both sides come from one table
 
@@ -314,11 +349,12 @@ def measure(docs: DataFrame, order: int = ORDER) -> DataFrame:
             mine, own = np.flatnonzero(langs == lang), np.flatnonzero(owners == lang)
             key, weight = unpacked(right.column("packed").take(pa.array(own)).to_pylist())
             texts = [_unvarints(np.frombuffer(w.as_buffer(), np.uint8)) for w in left.column("words").take(pa.array(mine))]
-            sums, sizes = text_sums(spelling, texts, key, weight, order, fold=False)
+            sums, sizes = KneserNey.of_block(key, weight, order).text_sums(spelling, texts)
             told[mine] = -sums / sizes
         return left.select(["doc_id", "lang", *_COUNTS]).append_column("log_perplexity", pa.array(told))
 
-    return rows.groupBy("block").cogroup(weights.groupBy("block")).applyInArrow(
+    blocks = max(1, rows.where("spelling IS NOT NULL").count())
+    return rows.repartition(blocks, "block").groupBy("block").cogroup(weights.repartition(blocks, "block").groupBy("block")).applyInArrow(
         score, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, {', '.join(f'{c} long' for c in _COUNTS)}, log_perplexity double"
     )
 
@@ -332,6 +368,10 @@ def judge(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
         .select("lang", (F.col("q")[0] - spread * (F.col("q")[1] - F.col("q")[0])).alias("low"),
                 (F.col("q")[1] + spread * (F.col("q")[1] - F.col("q")[0])).alias("high"))
     )
+    # a row per language; names of languages are a small vocabulary, but that is checked
+    bands = materialize(bands)
+    if bands.count() <= MOST_BANDS:
+        bands = F.broadcast(bands)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return measured.join(bands, "lang", "left").select(
         "doc_id", *_COUNTS, failed.alias("base_failed"), (~failed & inside).alias("kept"), "log_perplexity"

@@ -179,6 +179,39 @@ def test_kneser_ney_sums_to_one(spark):
         assert np.exp(model.log_chances(key)).sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_no_language_is_a_language_of_its_own(spark):
+    docs = spark.createDataFrame([(1, "alpha beta", None), (2, "gamma delta", ""), (3, "epsilon", "~")], "doc_id long, text string, lang string")
+    models = perplexity.fit(docs, order=3)
+    assert set(models) == {None, "", "~"}
+    text = np.frombuffer(b"alpha", np.uint8)
+    assert models[None].log_perplexity(text, np.array([0, 5]))[0] < models[""].log_perplexity(text, np.array([0, 5]))[0]
+
+
+def test_hash_hits_are_checked_against_the_ngram():
+    key = np.array([5 | 2 << 56, 9 | 2 << 56], np.uint64)
+    model = perplexity.KneserNey.of_block(key, np.array([-1.0, -2.0]))
+    assert model.log_chances(key).tolist() == [-1.0, -2.0]
+    model.gram_key[:] = 7  # as if other n-grams had these hashes
+    assert np.isnan(model.log_chances(key)).all()
+
+
+def test_block_automaton_walks_what_tables_say():
+    rng = np.random.default_rng(2)
+    texts = [rng.choice(np.frombuffer(b"abc d", np.uint8), n).tobytes() for n in (0, 1, 3, 900, 40, 5000)]
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    symbols, at = automaton.stream(buf, off)
+    grams = automaton.keys(symbols, at)
+    key = np.unique(grams)
+    weight = -rng.random(len(key))
+    order = rng.permutation(len(key))
+    model = automaton.BlockAutomaton(key[order], weight[order])
+    want = [weight[np.searchsorted(key, grams[a:b])].sum() for a, b in zip(at, at[1:])]
+    assert model.walk(symbols, at) == pytest.approx(want)
+    with pytest.raises(ValueError, match="no (arc|state)"):
+        model.walk(*automaton.stream(np.frombuffer(b"abcz", np.uint8), np.array([0, 4])))
+
+
 def random_texts():
     """Texts with more than a million n-grams of five or six bytes and less."""
     rng = np.random.default_rng(5)
