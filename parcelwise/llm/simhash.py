@@ -311,7 +311,8 @@ def candidate_pairs(prints: np.ndarray, radius: int, sure: int, block: int = 256
 
 def wide_candidates(prints: DataFrame, radius: int, sure: int, words: int = WIDE_WORDS, leaf_rows: int = LEAF_ROWS,
                     sample: int = SAMPLE // 4) -> DataFrame:
-    """(later, earlier): keys of ``prints`` (key, low, wide; distinct keys) to be compared, in order of ``low``, null last, and key."""
+    """(later, low, earlier): keys of ``prints`` (key, low, wide; distinct keys) to be compared, in order of ``low``, null last,
+    and key; with the ``low`` of the earlier one."""
     spark = prints.sparkSession
     n = prints.count()
     some = prints.orderBy(F.xxhash64("key", F.lit(7)), "key").limit(sample).toPandas()["wide"]
@@ -338,10 +339,11 @@ def wide_candidates(prints: DataFrame, radius: int, sure: int, words: int = WIDE
         key = table.column("key").combine_chunks()
         mine = np.frombuffer(b"".join(table.column("wide").to_pylist()), "<u8").reshape(-1, words)
         later, earlier = candidate_pairs(mine, radius, sure)
-        return pa.table({"later": key.take(pa.array(later)), "earlier": key.take(pa.array(earlier))})
+        first = pa.array(earlier)
+        return pa.table({"later": key.take(pa.array(later)), "low": table.column("low").take(first), "earlier": key.take(first)})
 
     routed = prints.select("key", "low", "wide").mapInArrow(route, f"leaf long, key binary, low {kind}, wide binary")
-    return routed.groupBy("leaf").applyInArrow(search, "later binary, earlier binary").distinct()
+    return routed.groupBy("leaf").applyInArrow(search, f"later binary, low {kind}, earlier binary").distinct()
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -419,11 +421,10 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, wo
 
     sets = materialize(found.dropDuplicates(["key"]).select("key", "text").mapInArrow(take, "key binary, shingles binary"))
     # most texts are similar to the first they meet; the others meet the rest
-    order = contents.select(F.col("key").alias("earlier"), F.struct(F.col("low").isNull().alias("none"), "low", F.col("key").alias("k")).alias("at"))
-    firsts = pairs.join(order, "earlier").groupBy("later").agg(F.min_by("earlier", "at").alias("earlier"))
-    firsts = materialize(firsts)
+    at = F.struct(F.col("low").isNull().alias("none"), "low", F.col("earlier").alias("key"))
+    firsts = materialize(pairs.groupBy("later").agg(F.min(at).alias("at")).select("later", F.col("at.key").alias("earlier")))
     sure = materialize(similar(firsts, sets, similarity))
-    rest = pairs.join(sure.select("later"), "later", "left_anti").join(firsts, ["later", "earlier"], "left_anti")
+    rest = pairs.drop("low").join(sure.select("later"), "later", "left_anti").join(firsts, ["later", "earlier"], "left_anti")
     return contents, materialize(sure.union(similar(rest, sets, similarity)))
 
 
