@@ -45,7 +45,8 @@ RADIUS = 4
 TREES = 3
 LEAF_ROWS = 2048
 SAMPLE = 100_000
-WIDE_WORDS = 4
+WIDE_WORDS = 8
+RANGE_WORDS = 4  # trees are grown on the ranges of so many of them
 WIDE_RANGE = 10
 SEED = 42
 _FEW = 1 << 14  # shingles whose bits are unpacked at once
@@ -318,7 +319,7 @@ def wide_candidates(prints: DataFrame, radius: int, sure: int, words: int = WIDE
     some = prints.orderBy(F.xxhash64("key", F.lit(7)), "key").limit(sample).toPandas()["wide"]
     bits = np.frombuffer(b"".join(some), "<u8").reshape(-1, words)
     per_leaf = max(16, leaf_rows * len(bits) // max(1, n))
-    places = [(w, s) for w in range(words) for s in range(0, 65 - WIDE_RANGE, WIDE_RANGE)]
+    places = [(w, s) for w in range(min(words, RANGE_WORDS)) for s in range(0, 65 - WIDE_RANGE, WIDE_RANGE)]
     forest = spark.sparkContext.broadcast(
         [(w, VantageTree.fit(bits[:, w], s, WIDE_RANGE, per_leaf, i)) for i, (w, s) in enumerate(places)]
     )

@@ -301,15 +301,15 @@ def wide_rows(seed=3, n=400):
 def test_wide_candidates_are_all_pairs_that_share_a_range(spark):
     rows = wide_rows()
     df = spark.createDataFrame(rows, "key binary, low long, wide binary").repartition(3)
-    got = {(bytes(r.later), bytes(r.earlier)) for r in simhash.wide_candidates(df, 60, -1, leaf_rows=10**6).collect()}
+    got = {(bytes(r.later), bytes(r.earlier)) for r in simhash.wide_candidates(df, 60, -1, 4, leaf_rows=10**6).collect()}
     order = sorted(range(len(rows)), key=lambda i: (rows[i][1] is None, rows[i][1] or 0, rows[i][0]))
     value = [int.from_bytes(rows[i][2], "little") for i in order]
     # one leaf per range, so every pair within the radius is met
     want = {(rows[order[j]][0], rows[order[i]][0]) for j in range(len(order)) for i in range(j) if (value[i] ^ value[j]).bit_count() <= 60}
     assert got == want
-    few = {(bytes(r.later), bytes(r.earlier)) for r in simhash.wide_candidates(df, 60, 30, leaf_rows=16).collect()}
+    few = {(bytes(r.later), bytes(r.earlier)) for r in simhash.wide_candidates(df, 60, 30, 4, leaf_rows=16).collect()}
     assert few < want
-    split = {(bytes(r.later), bytes(r.earlier)) for r in simhash.wide_candidates(df, 60, -1, leaf_rows=16).collect()}
+    split = {(bytes(r.later), bytes(r.earlier)) for r in simhash.wide_candidates(df, 60, -1, 4, leaf_rows=16).collect()}
     close = {p for p, q in zip(want, want) if (int.from_bytes(dict((r[0], r[2]) for r in rows)[p[0]], "little")
              ^ int.from_bytes(dict((r[0], r[2]) for r in rows)[p[1]], "little")).bit_count() <= 39}
     assert len(split & close) >= 0.98 * len(close)
