@@ -346,6 +346,20 @@ def test_watchlist_hits_match_brute_force(spark):
     assert rest.count() == len(want) - 50
 
 
+def test_watchlist_hits_are_not_moved_to_drop_delivered_ones(spark):
+    w = spark.range(200).selectExpr(
+        "id AS watchlist_id", *[f"CAST(NULL AS string) AS {c}" for c in market.EQUAL], *[f"CAST(NULL AS double) AS {c}" for c in ("min_price", "max_price", "min_size", "max_size")]
+    )
+    l = spark.range(30).selectExpr("id AS listing_id", *[f"'x' AS {c}" for c in market.EQUAL], "1e6 AS price", "50D AS size_m2")
+    told = spark.range(20).selectExpr("id AS watchlist_id", "id AS listing_id")
+    rest = market.watchlist_hits(w, l, told)
+    assert "LeftAnti" not in rest._jdf.queryExecution().optimizedPlan().toString() and rest.count() == 200 * 30 - 20
+    # a listing delivered to very many lists
+    most = told.union(spark.range(150).selectExpr("id", "7L")).distinct()
+    rest = {(r.watchlist_id, r.listing_id) for r in market.watchlist_hits(w, l, most).collect()}
+    assert len(rest) == 200 * 30 - 19 - 150 and (170, 7) in rest and (149, 7) not in rest
+
+
 def listing_docs(spark, day, ids):
     doc = lambda i: json.dumps({
         "name": {"value": "Prodej bytu 2+kk"}, "price_czk": {"value_raw": 5_000_000 + i}, "seo": {"category_main_cb": 1, "category_type_cb": 1},
