@@ -7,17 +7,18 @@ One solver serves every group. A group's rows lie in blocks of about ``BLOCK_ROW
 the triangular factor of a QR decomposition, factors merge in a tree, and the last one gives the least squares
 solution of smallest norm. The factor has the singular values of the whole design, so precision and rank do not
 suffer from squaring, and collinear columns share their effect alike whatever a group's size. A group of one block
-goes through its rounds in the task that holds the block; for all others a round is one pass for the factors and one
+goes through its rounds in the task that holds the block; for all others a round is one pass for the factors and two
 for the median absolute residual, and no group is ever gathered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,25 +165,46 @@ def _unpack(block: bytes, widths: Sequence[int]) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(parts, axis=1), data[:, 0]
 
 
-FACTORS = "gid long, part int, factor binary, loss double"
+FACTORS = "gid long, part int, widths array<int>, factor binary, loss double"
+#: Low bits of a residual that its bin drops: a bin is 0.05 % wide.
+_BIN_BITS = 41
 
 
-def _factors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+@dataclass
+class _State:
+    """Where a group's rounds stand; a few numbers per group of several blocks."""
+
+    beta: np.ndarray | None = None
+    scale: float = 0.0
+    before: float | None = None
+
+
+def _away(r, state: dict[int, _State]) -> np.ndarray:
+    x, y = _unpack(r.block, r.widths)
+    return y - x @ state[r.gid].beta
+
+
+def _factors(state: Broadcast):
     """One row per group and task: the merged factor of its blocks at the state's coefficients and scale."""
-    held: dict[int, tuple[np.ndarray, float]] = {}
-    for pdf in frames:
-        for r in pdf.itertuples(index=False):
-            x, y = _unpack(r.block, r.widths)
-            w, loss = None, 0.0
-            if r.beta is not None and len(r.beta):
-                w, loss = huber_weight(y - x @ np.asarray(r.beta), r.scale)
-            new = factor(x, y, w)
-            if r.gid in held:
-                new, loss = merged([held[r.gid][0], new]), held[r.gid][1] + loss
-            held[r.gid] = new, loss
-    part = TaskContext.get().partitionId() % 32
-    rows = [(gid, part, f.tobytes(), loss) for gid, (f, loss) in held.items()]
-    yield pd.DataFrame(rows, columns=["gid", "part", "factor", "loss"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple] = {}
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                at = state.value.get(r.gid)
+                if at is None:
+                    continue
+                x, y = _unpack(r.block, r.widths)
+                w, loss = (None, 0.0) if at.beta is None else huber_weight(y - x @ at.beta, at.scale)
+                new = factor(x, y, w)
+                if r.gid in held:
+                    new, loss = merged([held[r.gid][1], new]), held[r.gid][2] + loss
+                held[r.gid] = r.widths, new, loss
+        part = TaskContext.get().partitionId() % 32
+        rows = [(gid, part, widths, f.tobytes(), loss) for gid, (widths, f, loss) in held.items()]
+        yield pd.DataFrame(rows, columns=["gid", "part", "widths", "factor", "loss"])
+
+    return run
 
 
 def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, float]:
@@ -192,8 +214,8 @@ def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, float]:
 
 def _merge_parts(pdf: pd.DataFrame) -> pd.DataFrame:
     f, loss = _merged(pdf)
-    row = (pdf["gid"].iloc[0], 0, f.tobytes(), loss)
-    return pd.DataFrame([row], columns=["gid", "part", "factor", "loss"])
+    row = (pdf["gid"].iloc[0], 0, pdf["widths"].iloc[0], f.tobytes(), loss)
+    return pd.DataFrame([row], columns=["gid", "part", "widths", "factor", "loss"])
 
 
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -201,58 +223,107 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(pdf["gid"].iloc[0], least_squares(f).tolist(), loss)], columns=["gid", "next", "loss"])
 
 
-def _residuals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        for r in pdf.itertuples(index=False):
-            x, y = _unpack(r.block, r.widths)
-            resid = y - x @ np.asarray(r.beta)
-            yield pd.DataFrame({"gid": r.gid, "resid": resid, "away": np.abs(resid)})
+def _counted(state: Broadcast, bins: dict[int, tuple[int, int]] | None):
+    """(gid, key, n): absolute residuals counted by bin, or by value (its bits) inside the groups' ``bins``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                if r.gid not in state.value:
+                    continue
+                # bits of doubles that are not negative are in the order of the doubles
+                bits = np.abs(_away(r, state.value)).view(np.int64)
+                own = bits >> _BIN_BITS
+                if bins is not None:
+                    low, high = bins[r.gid]
+                    own = bits[(own >= low) & (own <= high)]
+                key, n = np.unique(own, return_counts=True)
+                yield pd.DataFrame({"gid": r.gid, "key": key, "n": n})
+
+    return run
+
+
+def _at_rank(keys: np.ndarray, n: np.ndarray, rank: int) -> int:
+    return int(keys[np.searchsorted(np.cumsum(n), rank, side="right")])
+
+
+def _medians(blocks: DataFrame, state: Broadcast) -> dict[int, float]:
+    """The exact median absolute residual of every group of the state: first the bins of the middle rows, then the
+    values there. What comes to the driver is a row per bin, then the two bins' values, a two-thousandth or so of a group."""
+
+    def counts(bins: dict[int, tuple[int, int]] | None) -> dict[int, pd.DataFrame]:
+        seen = blocks.mapInPandas(_counted(state, bins), "gid long, key long, n long").groupBy("gid", "key").agg(F.sum("n").alias("n"))
+        return {gid: g.sort_values("key") for gid, g in seen.toPandas().groupby("gid")}
+
+    coarse, bins, ranks = counts(None), {}, {}
+    for gid, g in coarse.items():
+        keys, n = g["key"].to_numpy(), g["n"].to_numpy()
+        middle = ((n.sum() - 1) // 2, n.sum() // 2)
+        bins[gid] = tuple(_at_rank(keys, n, r) for r in middle)
+        below = int(n[keys < bins[gid][0]].sum())
+        ranks[gid] = [int(r) - below for r in middle]
+    out = {}
+    for gid, g in counts(bins).items():
+        keys, n = g["key"].to_numpy(), g["n"].to_numpy()
+        # between the two bins of a gap there are no values
+        out[gid] = float(np.mean(np.array([_at_rank(keys, n, r) for r in ranks[gid]]).view(np.float64)))
+    return out
+
+
+def _moments(state: Broadcast):
+    """(gid, n, mean, m2) of the residuals of every block."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                resid = _away(r, state.value)
+                yield pd.DataFrame({"gid": [r.gid], "n": [float(len(resid))], "mean": [resid.mean()], "m2": [resid.var() * len(resid)]})
+
+    return run
 
 
 def _label(feature: str):
     return lambda level: F.concat(F.lit(f"cat__{feature}__"), level)
 
 
-def _fit_in_rounds(blocks: DataFrame, widths: DataFrame) -> DataFrame:
-    """(gid, beta, residual_stddev) of all groups of ``widths`` (gid, widths) from their blocks; every round
-    serves those that have not settled."""
-    state = widths.select(
-        "gid", "widths", F.array().cast("array<double>").alias("beta"),
-        F.lit(None).cast("double").alias("scale"), F.lit(None).cast("double").alias("before"),
-    )
-    settled = []
+def _fit_in_rounds(blocks: DataFrame) -> DataFrame:
+    """(gid, beta, residual_stddev) of the groups of several blocks (gid, widths, block); every round serves those that
+    have not settled. Between the rounds the driver holds the groups' coefficients and scales, nothing that grows with their rows."""
+    spark = blocks.sparkSession
+    state = {r.gid: _State() for r in blocks.select("gid").distinct().collect()}
+    settled: dict[int, _State] = {}
     for turn in range(MAX_ROUNDS + 1):
-        sums = blocks.join(state, "gid").mapInPandas(_factors, FACTORS).join(widths, "gid")
-        solved = materialize(
-            sums.groupBy("gid", "part").applyInPandas(_merge_parts, FACTORS).join(widths, "gid")
-            .groupBy("gid").applyInPandas(_solve, "gid long, next array<double>, loss double")
-            .join(state, "gid")
-        )
-        # the loss belongs to the coefficients that the round began with
-        stop = (F.abs(F.col("loss") - F.col("before")) <= TOLERANCE) if turn > 1 else F.lit(False)
-        stop = F.coalesce(stop, F.lit(False)) | F.lit(turn == MAX_ROUNDS)
-        settled.append(solved.where(stop).select("gid", "widths", "beta"))
-        going = solved.where(~stop).select(
-            "gid", "widths", F.col("next").alias("beta"), (F.col("loss") if turn > 1 else F.lit(None).cast("double")).alias("before")
+        now = spark.sparkContext.broadcast(state)
+        solved = (
+            blocks.mapInPandas(_factors(now), FACTORS).groupBy("gid", "part").applyInPandas(_merge_parts, FACTORS)
+            .groupBy("gid").applyInPandas(_solve, "gid long, next array<double>, loss double").collect()
         )
-        away = blocks.join(going, "gid").select("gid", "block", "widths", "beta").mapInPandas(
-            _residuals, "gid long, resid double, away double"
-        )
-        middle = order_stats(away, ["gid"], "away", {"m": 0.5}).select("gid", (F.col("m") / MAD_TO_SIGMA).alias("scale"))
-        state = materialize(going.join(middle, "gid").select("gid", "widths", "beta", "scale", "before"))
-        settled.append(state.where("scale = 0").select("gid", "widths", "beta"))
-        state = state.where("scale > 0")
-        if state.isEmpty():
+        going = {}
+        for r in solved:
+            at = state[r.gid]
+            # the loss belongs to the coefficients that the round began with
+            if turn == MAX_ROUNDS or (at.before is not None and abs(r.loss - at.before) <= TOLERANCE):
+                settled[r.gid] = at
+            else:
+                going[r.gid] = _State(np.asarray(r.next), before=r.loss if turn > 1 else None)
+        now.unpersist()
+        if not going:
+            break
+        now = spark.sparkContext.broadcast(going)
+        for gid, middle in _medians(blocks, now).items():
+            going[gid].scale = middle / MAD_TO_SIGMA
+        now.unpersist()
+        settled |= {gid: at for gid, at in going.items() if at.scale == 0}
+        state = {gid: at for gid, at in going.items() if at.scale > 0}
+        if not state:
             break
-    done = settled[0]
-    for more in settled[1:]:
-        done = done.unionByName(more)
-    done = materialize(done)
-    spread = (
-        blocks.join(done, "gid").select("gid", "block", "widths", "beta").mapInPandas(_residuals, "gid long, resid double, away double")
-        .groupBy("gid").agg(F.stddev_pop("resid").alias("residual_stddev"))
+    parts = blocks.mapInPandas(_moments(spark.sparkContext.broadcast(settled)), "gid long, n double, mean double, m2 double")
+    whole = parts.groupBy("gid").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("all"))
+    spread = parts.join(whole, "gid").groupBy("gid").agg(
+        F.sqrt(F.sum(F.col("m2") + F.col("n") * (F.col("mean") - F.col("all")) ** 2) / F.sum("n")).alias("residual_stddev")
     )
-    return done.select("gid", "beta").join(spread, "gid")
+    fits = spark.createDataFrame([(gid, at.beta.tolist()) for gid, at in settled.items()], "gid long, beta array<double>")
+    return fits.join(spread, "gid")
 
 
 def fit_models(listings: DataFrame, min_rows: int = MIN_FIT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -286,7 +357,8 @@ def fit_models(listings: DataFrame, min_rows: int = MIN_FIT_ROWS, block_rows: in
     done = fitted.where("block IS NULL").drop("block")
     open_ = named.where("parts > 1").select("gid", "widths")
     if not open_.isEmpty():
-        done = done.unionByName(_fit_in_rounds(fitted.where("block IS NOT NULL").select("gid", "block"), open_))
+        blocks = fitted.where("block IS NOT NULL").join(F.broadcast(open_), "gid").select("gid", "widths", "block")
+        done = done.unionByName(_fit_in_rounds(blocks))
     labels = F.concat(
         F.array(*[F.lit(c) for c in CONTINUOUS + BINARY]),
         *[F.transform(F.col(f"__{f}"), _label(f)) for f in CATEGORICAL],

@@ -346,6 +346,18 @@ def test_watchlist_hits_match_brute_force(spark):
     assert rest.count() == len(want) - 50
 
 
+def test_medians_over_blocks_are_exact(spark):
+    rng = np.random.default_rng(3)
+    width = hedonic._PLAIN + len(hedonic.CATEGORICAL)
+    blocks = {(g, i): rng.normal(0, 10.0 ** rng.integers(-3, 3), (n, width)) for g, i, n in ((1, 0, 50), (1, 1, 51), (2, 0, 40), (2, 1, 0))}
+    blocks[2, 1] = np.repeat(blocks[2, 0][:1], 30, axis=0)
+    rows = [(g, [0] * len(hedonic.CATEGORICAL), bytearray(b.tobytes())) for (g, _), b in blocks.items()]
+    df = spark.createDataFrame(rows, "gid long, widths array<int>, block binary")
+    state = spark.sparkContext.broadcast({g: hedonic._State(np.zeros(hedonic._PLAIN)) for g in (1, 2)})
+    for g, m in hedonic._medians(df, state).items():
+        assert m == np.median(np.abs(np.concatenate([b[:, 0] for k, b in blocks.items() if k[0] == g])))
+
+
 def test_watchlist_hits_are_not_moved_to_drop_delivered_ones(spark):
     w = spark.range(200).selectExpr(
         "id AS watchlist_id", *[f"CAST(NULL AS string) AS {c}" for c in market.EQUAL], *[f"CAST(NULL AS double) AS {c}" for c in ("min_price", "max_price", "min_size", "max_size")]
