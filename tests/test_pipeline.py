@@ -358,6 +358,21 @@ def test_medians_over_blocks_are_exact(spark):
         assert m == np.median(np.abs(np.concatenate([b[:, 0] for k, b in blocks.items() if k[0] == g])))
 
 
+def test_ingest_takes_repeats_out_and_keeps_payloads_in_quarantine_only(spark):
+    from parcelwise.plans import ingest as plan
+    from parcelwise.schemas import LISTING
+
+    raw = listing_docs(spark, 1, [1, 2])
+    later = raw.withColumn("fetched_at", F.col("fetched_at") + F.expr("INTERVAL 1 DAY"))
+    bad = raw.limit(1).withColumns({"payload": F.lit("not json"), "content_hash": F.lit("x"), "source_listing_id": F.lit("bad")})
+    got = plan.only_new_states(raw.union(raw).union(later))
+    assert got.count() == 2 and {r.fetched_at for r in got.collect()} == {r.fetched_at for r in raw.collect()}
+    places = spark.createDataFrame([], "property_id bigint, lat double, lon double, ruian_address_code string, address_normalized string")
+    out = plan.ingest(raw.union(later).union(bad), spark.createDataFrame([], LISTING), places)
+    assert {r.payload for r in out.parsed.where("parse_status = 'ok'").collect()} == {None}
+    assert [r.payload for r in out.quarantine.collect()] == ["not json"] and out.parsed.count() == 3
+
+
 def test_watchlist_hits_are_not_moved_to_drop_delivered_ones(spark):
     w = spark.range(200).selectExpr(
         "id AS watchlist_id", *[f"CAST(NULL AS string) AS {c}" for c in market.EQUAL], *[f"CAST(NULL AS double) AS {c}" for c in ("min_price", "max_price", "min_size", "max_size")]
