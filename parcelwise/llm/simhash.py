@@ -12,7 +12,9 @@ Near duplicates by word shingles (:func:`keep_one`) are decided by their exact s
 differing bits. At the distances of 0.8 no radius on 64 bits lets a tree exclude anything, so there every one of many
 short bit ranges has a tree whose leaves a fingerprint enters without reach, and all pairs of a leaf within the radius (three
 standard deviations beyond the expected distance) are candidates. A pair at exactly 0.8 agrees on some range with probability 0.99, a
-closer one more often. A text goes only if a text that stays is similar to it, so groups do not chain.
+closer one more often. A text goes only if a text that stays is similar to it, so groups do not chain. Texts that are surely alike
+first meet one leader each; whatever is not similar to a leader that stays then meets every candidate (:func:`staying`), so leaders
+save comparisons and decide nothing.
 
 The trees' shape is fitted on a bounded sample of distinct fingerprints; every fingerprint is indexed.
 Copies of one fingerprint are one row of the search; a leaf hands on a spanning forest of its pairs,
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from parcelwise.llm import textbytes as tb
 from parcelwise.llm.common import fresh, row_hash
 from parcelwise.operators.graph import connected_components
-from parcelwise.session import materialize
+from parcelwise.session import discard, free_shuffles, materialize
 
 SHINGLE = 4
 RADIUS = 4
@@ -310,40 +312,76 @@ def candidate_pairs(prints: np.ndarray, radius: int, sure: int, block: int = 256
     return np.concatenate(later or [leaders]), np.concatenate(earlier or [leaders])
 
 
+def all_pairs(prints: np.ndarray, fresh: np.ndarray, radius: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(later, earlier) rows of a leaf within ``radius`` of which one or both are ``fresh``, block by block."""
+    for lo in range(0, len(prints), block):
+        hi = min(lo + block, len(prints))
+        near = _apart(prints[lo:hi], prints[:hi]) <= radius
+        near &= (fresh[lo:hi, None] | fresh[None, :hi]) & (np.arange(hi)[None, :] < np.arange(lo, hi)[:, None])
+        q, h = np.nonzero(near)
+        yield q + lo, h
+
+
 def wide_candidates(prints: DataFrame, radius: int, sure: int, words: int = WIDE_WORDS, leaf_rows: int = LEAF_ROWS,
-                    sample: int = SAMPLE // 4) -> DataFrame:
+                    sample: int = SAMPLE // 4, range_words: int = RANGE_WORDS) -> DataFrame:
     """(later, low, earlier): keys of ``prints`` (key, low, wide; distinct keys) to be compared, in order of ``low``, null last,
-    and key; with the ``low`` of the earlier one."""
+    and key; with the ``low`` of the earlier one. A pair comes from the first leaf that both are in.
+
+    With ``sure`` below zero these are all pairs within ``radius`` that share a leaf; if ``prints`` has a boolean column ``fresh``,
+    all of them with a fresh row. Otherwise they are those of :func:`candidate_pairs`.
+    """
     spark = prints.sparkSession
     n = prints.count()
     some = prints.orderBy(F.xxhash64("key", F.lit(7)), "key").limit(sample).toPandas()["wide"]
     bits = np.frombuffer(b"".join(some), "<u8").reshape(-1, words)
     per_leaf = max(16, leaf_rows * len(bits) // max(1, n))
-    places = [(w, s) for w in range(min(words, RANGE_WORDS)) for s in range(0, 65 - WIDE_RANGE, WIDE_RANGE)]
-    forest = spark.sparkContext.broadcast(
-        [(w, VantageTree.fit(bits[:, w], s, WIDE_RANGE, per_leaf, i)) for i, (w, s) in enumerate(places)]
-    )
+    places = [(w, s) for w in range(min(words, range_words)) for s in range(0, 65 - WIDE_RANGE, WIDE_RANGE)]
+    values = np.arange(1 << WIDE_RANGE, dtype=np.uint64)
+    leaf_of = np.zeros((len(places), len(values)), np.int64)
+    for i, (w, s) in enumerate(places):
+        row, leaf = VantageTree.fit(bits[:, w], s, WIDE_RANGE, per_leaf, i).route(values << np.uint64(s), 0)
+        leaf_of[i, row] = leaf
+    tables = spark.sparkContext.broadcast(leaf_of)
     kind = dict(prints.dtypes)["low"]
+    some_fresh = "fresh" in prints.columns
+
+    def leaves(wide: np.ndarray, t: int) -> np.ndarray:
+        w, s = places[t]
+        return tables.value[t, (wide[:, w] >> np.uint64(s)) & np.uint64((1 << WIDE_RANGE) - 1)]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, words)
-            for t, (w, tree) in enumerate(forest.value):
-                row, leaf = tree.route(np.ascontiguousarray(values[:, w]), 0)
-                rows = pa.array(row)
+            wide = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, words)
+            for t in range(len(places)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf * len(places) + t), *(batch.column(i).take(rows) for i in range(3))], ["leaf", "key", "low", "wide"]
+                    [pa.array(leaves(wide, t) * len(places) + t), *batch.columns], ["leaf", "key", "low", "wide", "fresh"]
                 )
 
-    def search(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("low", "ascending"), ("key", "ascending")])
-        key = table.column("key").combine_chunks()
-        mine = np.frombuffer(b"".join(table.column("wide").to_pylist()), "<u8").reshape(-1, words)
-        later, earlier = candidate_pairs(mine, radius, sure)
-        first = pa.array(earlier)
-        return pa.table({"later": key.take(pa.array(later)), "low": table.column("low").take(first), "earlier": key.take(first)})
-
-    routed = prints.select("key", "low", "wide").mapInArrow(route, f"leaf long, key binary, low {kind}, wide binary")
+    def search(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches).sort_by([("low", "ascending"), ("key", "ascending")])
+        key, low = table.column("key").combine_chunks(), table.column("low").combine_chunks()
+        wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), "<u8").reshape(-1, words)
+        if sure < 0:
+            found = all_pairs(wide, table.column("fresh").to_numpy(), radius)
+        else:
+            found = [candidate_pairs(wide, radius, sure)]
+        before = [leaves(wide, t) for t in range(group[0].as_py() % len(places))]
+        for later, earlier in found:
+            for where in before:
+                new = where[later] != where[earlier]
+                later, earlier = later[new], earlier[new]
+            if len(later):
+                later, earlier = pa.array(later), pa.array(earlier)
+                yield pa.RecordBatch.from_arrays([key.take(later), low.take(earlier), key.take(earlier)], ["later", "low", "earlier"])
+
+    fresh = F.col("fresh") if some_fresh else F.lit(True)
+    rows = prints.select("key", "low", "wide", fresh.alias("fresh"))
+    into = f"leaf long, key binary, low {kind}, wide binary, fresh boolean"
+    routed = rows.mapInArrow(route, into)
+    if some_fresh:
+        # the leaves are few: at most 1024 for each range
+        met = rows.where("fresh").mapInArrow(route, into).select("leaf").distinct()
+        routed = routed.join(F.broadcast(met), "leaf", "left_semi")
     return routed.groupBy("leaf").applyInArrow(search, f"later binary, low {kind}, earlier binary").distinct()
 
 
@@ -390,10 +428,8 @@ def left_out(links: DataFrame) -> DataFrame:
     return out
 
 
-def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = WIDE_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(contents, links): distinct shingle sets (key, low, row: the first document), and the similar pairs of their keys
-    (later, earlier) that decide what stays."""
-    texts = docs.select("doc_id", row_hash(docs).alias("row"), "text")
+def _contents(texts: DataFrame, shingle: int, words: int) -> DataFrame:
+    """(key, low, row, wide): the distinct shingle sets of ``texts`` (doc_id, row, text), each with its first document."""
     kind = dict(texts.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,10 +443,14 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, wo
 
     keyed = texts.mapInArrow(run, f"doc_id {kind}, row long, key binary, wide binary")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    contents = materialize(keyed.groupBy("key").agg(F.min(first).alias("f"), F.first("wide").alias("wide")).select(
+    return materialize(keyed.groupBy("key").agg(F.min(first).alias("f"), F.first("wide").alias("wide")).select(
         "key", F.col("f.doc_id").alias("low"), F.col("f.row").alias("row"), "wide"
     ))
-    pairs = materialize(wide_candidates(contents, wide_distance(similarity, words), wide_distance(similarity, words, -1.5), words))
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, contents: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The similar ones of ``pairs`` (later, earlier: keys of ``contents``)."""
+    pairs = pairs.select("later", "earlier")
     met = pairs.select(F.col("later").alias("key")).union(pairs.select("earlier")).distinct()
     wanted = contents.join(met, "key", "left_semi").select("key", F.col("low").alias("low_"), F.col("row").alias("row_"))
     found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["low_"]) & (texts["row"] == wanted["row_"]))
@@ -421,19 +461,48 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, wo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["key", "shingles"])
 
     sets = materialize(found.dropDuplicates(["key"]).select("key", "text").mapInArrow(take, "key binary, shingles binary"))
-    # most texts are similar to the first they meet; the others meet the rest
+    links = materialize(similar(pairs, sets, similarity))
+    discard(sets)
+    return links
+
+
+def staying(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = WIDE_WORDS) -> DataFrame:
+    """(key, low, row): the contents of ``texts`` (doc_id, row, text) that are not similar to an earlier one that stays.
+
+    First a text meets one leader that it is surely alike. What a leader does not take then meets all candidates. Texts whose
+    leader turns out not to stay come back and meet all candidates as well, until every text that is gone has a link to one that
+    stays. The smallest text decided wrongly would be one of those that come back, so each round settles at least that one.
+    """
+    spark = texts.sparkSession
+    contents = _contents(texts, shingle, words)
+    radius, sure = (wide_distance(similarity, words, d) for d in (3.0, -1.5))
+    led = wide_candidates(contents, sure, sure, words, range_words=RANGE_WORDS // 2)
     at = F.struct(F.col("low").isNull().alias("none"), "low", F.col("earlier").alias("key"))
-    firsts = materialize(pairs.groupBy("later").agg(F.min(at).alias("at")).select("later", F.col("at.key").alias("earlier")))
-    sure = materialize(similar(firsts, sets, similarity))
-    rest = pairs.drop("low").join(sure.select("later"), "later", "left_anti").join(firsts, ["later", "earlier"], "left_anti")
-    return contents, materialize(sure.union(similar(rest, sets, similarity)))
+    pairs = materialize(led.groupBy("later").agg(F.min(at).alias("at")).select("later", F.col("at.key").alias("earlier")))
+    links = _compared(pairs, texts, contents, shingle, similarity)
+    open_ = materialize(contents.join(left_out(links), "key", "left_anti").withColumn("fresh", F.lit(True)))
+    first = True
+    while True:
+        del led, pairs
+        free_shuffles(spark)
+        led = wide_candidates(open_.drop("fresh") if first else open_, radius, -1, words)
+        pairs = materialize(led)
+        new = _compared(pairs, texts, contents, shingle, similarity)
+        stay = materialize(open_.drop("fresh").join(left_out(new), "key", "left_anti"))
+        links = links.union(new)
+        kept = links.join(stay.select(F.col("key").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("key"))
+        back = materialize(contents.join(stay, "key", "left_anti").join(kept, "key", "left_anti"))
+        if back.isEmpty():
+            return stay.drop("wide")
+        open_ = materialize(stay.withColumn("fresh", F.lit(False)).unionByName(back.withColumn("fresh", F.lit(True))))
+        first = False
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without those that are similar to one with a smaller id that stays; of equal rows one stays."""
     (row,) = fresh(docs, "row")
-    contents, links = similar_texts(docs, shingle, similarity)
-    stays = contents.join(left_out(links), "key", "left_anti").select(F.col("low").alias("stay_id"), F.col("row").alias("stay_row"))
+    stays = staying(docs.select("doc_id", row_hash(docs).alias("row"), "text"), shingle, similarity)
+    stays = stays.select(F.col("low").alias("stay_id"), F.col("row").alias("stay_row"))
     left = docs.withColumn(row, row_hash(docs))
     same = left["doc_id"].eqNullSafe(stays["stay_id"]) & (left[row] == stays["stay_row"])
     return left.join(stays, same, "left_semi").dropDuplicates(["doc_id", row]).drop(row)

@@ -373,3 +373,34 @@ def test_keep_one_takes_similar_texts_together(spark):
             rows.append((10 * i + k, " ".join(body)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [10 * i for i in range(40)]
+
+
+def test_a_text_whose_first_partner_goes_meets_the_others(spark):
+    """Of a, b, c, d only a and b, b and d, c and d are similar: b goes, so d must be found to be similar to c, which stays."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 9)))
+    rows = []
+    for i in range(20):
+        body = [word() for _ in range(400)]
+        places = list(range(10, 390, 20))
+
+        def changed(text, some):
+            text = list(text)
+            for p in some:
+                text[p] = word()
+            return text
+
+        d = changed(body, places[6:12])
+        texts = [changed(body, places[:6]), body, changed(d, places[12:18]), d]
+        rows += [(4 * i + k, " ".join(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [4 * i + k for i in range(20) for k in (0, 2)]
+
+
+def test_pairs_of_fresh_rows_come_once(spark):
+    rows = [(*r, i % 7 == 0) for i, r in enumerate(wide_rows(5))]
+    df = spark.createDataFrame(rows, "key binary, low long, wide binary, fresh boolean").repartition(3)
+    is_fresh = {r[0]: r[3] for r in rows}
+    pairs = lambda d: [(bytes(r.later), bytes(r.earlier)) for r in simhash.wide_candidates(d, 60, -1, 4, leaf_rows=16).collect()]
+    some, every = pairs(df), pairs(df.drop("fresh"))
+    assert len(set(some)) == len(some) > 0 and set(some) == {p for p in every if is_fresh[p[0]] or is_fresh[p[1]]}
