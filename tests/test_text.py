@@ -85,3 +85,22 @@ def test_variants(spark):
     assert r[14].parse_error == "implausible year_built" and r[15].parse_error == "currency is not CZK"
     assert r[16].disposition is None and r[17].parse_status == "ok" and r[18].parse_status == "quarantine"
     assert r[19].extra_features == {"anuita_czk": "2"}
+
+
+def test_only_one_plain_text_is_cut_out_of_a_value_object(spark):
+    shapes = ['{"value":"a"}', '{"value":""}', '{"value":"a\\"b"}', '{"value":"a","x":"b"}', '{"x":"b","value":"a"}', '{"value":null}',
+              '{"value":7}', '{"value":"\\u00e9"}', '{"value":"', '{"value":"}', "text", None]
+    got = spark.createDataFrame([(i, s) for i, s in enumerate(shapes)], "i int, s string").select(
+        "i", parsers.value_of(F.col("s")).alias("v")).collect()
+    assert [r.v for r in sorted(got)] == ["a", "", 'a"b', "a", "a", None, "7", "é", None, None, None, None]
+
+
+def test_items_are_routed_once_and_the_last_of_a_label_wins(spark):
+    item = "array<struct<name:string,value:string,unit:string,type:string>>"
+    rows = spark.createDataFrame([(1, [("Stavba", "a", None, None), (None, "x", None, None), ("Anuita", "1", "Kč", None), ("neco", "2", None, None),
+                                       ("stavba", "b", None, None), ("neco", "3", None, None)]), (2, None), (3, [])], f"i int, items {item}")
+    got = rows.select("i", parsers.routed_items(F.col("items")).alias("r")).select(
+        "i", parsers.newest_value(F.col("r.key"), F.col("r.value"), "top:building_type_raw").alias("b"),
+        parsers.extra_features(parsers.loose_facts(F.col("r"))).alias("x"), parsers.unknown_labels(parsers.loose_facts(F.col("r"))).alias("u"))
+    assert [(r.b, r.x, r.u) for r in sorted(got.collect())] == [
+        ("b", {"anuita_czk": '{"value":"1","unit":"Kč"}', "neco": "3"}, ["neco"]), (None, {}, []), (None, {}, [])]
