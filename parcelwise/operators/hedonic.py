@@ -416,8 +416,10 @@ def predicted_log(coefficients: Column, intercept: Column, row: Column) -> Colum
 
 
 def with_predictions(listings: DataFrame, models: DataFrame) -> DataFrame:
-    """Add predicted_log, actual_log and hedonic_fit to every listing: one join with the model table, whose
-    measured size decides at run time whether it is broadcast."""
+    """Add predicted_log, actual_log and hedonic_fit to every listing: one join with the model table.
+
+    A model is one row per city, type and ownership, so the models go to the listings: by these few keys all
+    listings of a city would meet in one task."""
     side = models.select(
         *[F.col(g).alias(f"__{g}") for g in GROUP], F.col("intercept").alias("__intercept"),
         F.col("coefficients").alias("__coefficients"),
@@ -426,7 +428,7 @@ def with_predictions(listings: DataFrame, models: DataFrame) -> DataFrame:
     same = F.lit(True)
     for g in GROUP:
         same = same & (F.col(f"__x.{g}") == F.col(f"__{g}"))
-    joined = rows.join(side, same, "left")
+    joined = rows.join(F.broadcast(side), same, "left")
     return joined.select(
         *listings.columns,
         predicted_log(F.col("__coefficients"), F.col("__intercept"), F.col("__x"))

@@ -422,3 +422,12 @@ def test_cluster_ids_are_kept(spark):
     found = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "listing_id bigint, canonical_id bigint")
     got = {r.listing_id: r.dedup_cluster_id for r in dedup.with_cluster_ids(rows, found).collect()}
     assert got == {1: 9, 2: 9, 3: 3, 4: 3, 5: None, 6: None}
+
+
+def test_listings_are_not_shuffled_by_the_few_keys_of_their_models(spark):
+    models = spark.createDataFrame([("Praha", "byt", "osobni", 11.0, {"log_size_m2": -0.1}, 100, 1, 0.1)], hedonic.MODEL_SCHEMA)
+    rows = hedonic_rows(spark, 60, 3)
+    scored = hedonic.with_predictions(rows, models)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert scored.count() == 60
