@@ -5,7 +5,8 @@ symbol, and each symbol is predicted from the ``ORDER - 1`` before it. Spark cou
 over all documents, derives continuation counts, context totals and the three discounts of each order, and
 interpolates order by order with joins. Every counted n-gram is kept. Documents travel in blocks: a block lists its distinct
 n-grams, gets their probabilities by a join as arrays sorted by the n-grams' hashes (:class:`KneserNey`), and looks up
-its documents' n-grams there, each hit checked against the n-gram itself; so no task loads the model.
+its documents' n-grams there, each hit checked against the n-gram itself; so no task loads the model. The words of a block
+lie on disk twice, as a kept table and on their way to the n-grams, so they are packed (:func:`packed_words`) before either.
 
 A text's perplexity must lie inside its language's band: ``SPREAD`` times the quartile distance beyond the
 quartiles of log-perplexity, taken over all documents of the language long enough for the base rules.
@@ -80,9 +81,62 @@ def _suffix(key: str, length: str) -> str:
     return f"(({key} & (shiftleft(1L, CAST(8 * ({length}) AS INT)) - 1)) | shiftleft(CAST({length} AS BIGINT), {_LENGTH}))"
 
 
+#: Words of a block that need one byte, and the first that needs three.
+_SHORT = 128
+_LONG = _SHORT + (255 - _SHORT) * 256
+
+
+def _shrunk(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=9).compress(data, asbytes=True)
+
+
+def _grown(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def packed_words(numbers: np.ndarray, spelling: bytes) -> tuple[bytes, bytes]:
+    """(the words of a block in text order, their spelling), compressed; ``numbers`` tell the words by falling frequency.
+
+    A word that occurs once is code 0 and spelled in text order, so its number takes no room; any other is one more than
+    its number. Codes are split into a byte for each and the bytes that rarer ones need. Words of three bytes are spelled in
+    byte order, as their frequencies hardly differ.
+    """
+    words = spelling.split(b" ")[:-1]
+    used = np.bincount(numbers, minlength=len(words))
+    often = int(np.count_nonzero(used > 1))
+    once = numbers[numbers >= often]
+    tail = sorted(range(min(_LONG - 1, often), often), key=words.__getitem__)
+    code = np.zeros(len(words), np.int64)
+    code[:often] = np.arange(1, often + 1)
+    code[tail] = np.arange(often - len(tail), often) + 1
+    code = code[numbers]
+    two, three = code[(code >= _SHORT) & (code < _LONG)] - _SHORT, code[code >= _LONG] - _LONG
+    top = np.where(code < _SHORT, code, np.where(code < _LONG, _SHORT + (code - _SHORT >> 8), 255))
+    planes = [top, two & 255, *(three >> k & 255 for k in (24, 16, 8, 0))]
+    order = [*range(often - len(tail)), *tail, *once.tolist()]
+    return (
+        _shrunk(len(code).to_bytes(8, "little") + np.concatenate(planes).astype(np.uint8).tobytes()),
+        _shrunk(b"".join(words[i] + b" " for i in order)),
+    )
+
+
+def unpacked_words(packed: bytes, spelling: bytes) -> tuple[np.ndarray, bytes]:
+    """(numbers of words in text order, the words in order with a blank after each)."""
+    data, letters = _grown(packed), _grown(spelling)
+    n, data = int.from_bytes(data[:8], "little"), np.frombuffer(data, np.uint8)[8:].astype(np.int64)
+    code, rest = data[:n].copy(), data[n:]
+    two, three = np.flatnonzero((code >= _SHORT) & (code < 255)), np.flatnonzero(code == 255)
+    code[two] = _SHORT + (code[two] - _SHORT << 8) + rest[: len(two)]
+    planes = rest[len(two) :].reshape(4, len(three))
+    code[three] = _LONG + (planes[0] << 24) + (planes[1] << 16) + (planes[2] << 8) + planes[3]
+    once = np.flatnonzero(code == 0)
+    code[once] = letters.count(b" ") - len(once) + 1 + np.arange(len(once))
+    return code - 1, letters
+
+
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_ROW = {"block": pa.int64(), "lang": pa.string(), **dict.fromkeys(_COUNTS, pa.int64()), "words": pa.binary(),
-        "spelling": pa.binary(), "key": pa.int64(), "n": pa.int64()}
+_ROW = {"block": pa.int64(), "lang": pa.string(), **dict.fromkeys(_COUNTS, pa.int64()), "place": pa.int64(),
+        "words": pa.binary(), "spelling": pa.binary(), "key": pa.int64(), "n": pa.int64()}
 
 
 def _row(ids: pa.Array, block: int, **columns) -> pa.RecordBatch:
@@ -110,10 +164,17 @@ class _Block:
         if not self.docs:
             return
         texts, spelling, _, _ = self.words.close()
-        for (ids, lang, counts), words in zip(self.docs, texts, strict=True):
-            yield _row(ids, block, lang=[lang] * len(ids), words=words, **{c: counts[c].astype(np.int64) for c in _COUNTS})
+        self.words.parts.clear()
+        numbers = np.concatenate([_unvarints(np.frombuffer(t.buffers()[2] or b"", np.uint8)) for t in texts])
+        words, spelling = packed_words(numbers, spelling)
+        del texts, numbers
+        place = 0
+        for ids, lang, counts in self.docs:
+            yield _row(ids, block, lang=[lang] * len(ids), place=np.arange(place, place + len(ids)),
+                       **{c: counts[c].astype(np.int64) for c in _COUNTS})
+            place += len(ids)
         kind = self.docs[0][0].type
-        yield _row(pa.nulls(1, kind), block, spelling=[spelling])
+        yield _row(pa.nulls(1, kind), block, words=[words], spelling=[spelling])
         for lang, parts in self.grams.items():
             key, n = count_runs(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
             for a in range(0, len(key), 100_000):
@@ -123,7 +184,7 @@ class _Block:
 
 
 def packed(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """Blocks of documents: a row by document, one with the block's words and one by (language, n-gram)."""
+    """Blocks of documents: a row by document, one with the words of all of them and one by (language, n-gram)."""
     lang = F.coalesce(F.concat(F.lit("="), "lang"), F.lit(NO_LANG))
     rows = docs.select("doc_id", lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -142,7 +203,7 @@ def packed(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     told, _ = keep(rows.mapInArrow(
         run, f"doc_id {dict(rows.dtypes)['doc_id']}, block long, lang string, {', '.join(f'{c} long' for c in _COUNTS)}, "
-        "words binary, spelling binary, key long, n long"
+        "place long, words binary, spelling binary, key long, n long"
     ))
     return told
 
@@ -337,19 +398,20 @@ def measure(docs: DataFrame, order: int = ORDER) -> DataFrame:
         discard(frame, at)
     del counted, kinds, table, levels, frame
     free_shuffles(docs.sparkSession)
-    names = ["doc_id", "block", "lang", *_COUNTS, "words", "spelling"]
+    names = ["doc_id", "block", "lang", *_COUNTS, "place", "words", "spelling"]
     rows = told.where("key IS NULL").select(names).toDF(*names)  # new columns, as both sides come from one table
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        spelling = next(s.as_py() for s in left.column("spelling") if s.is_valid)
-        left = left.filter(left.column("spelling").is_null())
+        block = left.filter(left.column("spelling").is_valid())
+        numbers, spelling = unpacked_words(block.column("words")[0].as_py(), block.column("spelling")[0].as_py())
+        left = left.filter(left.column("spelling").is_null()).sort_by("place")
+        texts = np.split(numbers, np.cumsum(left.column("n_words").to_numpy())[:-1])
         langs, owners = (np.array(t.column("lang").to_pylist(), dtype=object) for t in (left, right))
         told = np.zeros(left.num_rows)
         for lang in set(langs):
             mine, own = np.flatnonzero(langs == lang), np.flatnonzero(owners == lang)
             key, weight = unpacked(right.column("packed").take(pa.array(own)).to_pylist())
-            texts = [_unvarints(np.frombuffer(w.as_buffer(), np.uint8)) for w in left.column("words").take(pa.array(mine))]
-            sums, sizes = KneserNey.of_block(key, weight, order).text_sums(spelling, texts)
+            sums, sizes = KneserNey.of_block(key, weight, order).text_sums(spelling, [texts[i] for i in mine])
             told[mine] = -sums / sizes
         return left.select(["doc_id", "lang", *_COUNTS]).append_column("log_perplexity", pa.array(told))
 

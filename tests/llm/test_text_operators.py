@@ -195,6 +195,29 @@ def test_hash_hits_are_checked_against_the_ngram():
     assert np.isnan(model.log_chances(key)).all()
 
 
+@pytest.mark.parametrize("rare", [0, 3, 70_000])
+def test_packed_words_come_back(rare):
+    rng = np.random.default_rng(rare)
+    # some words once, some often, and with 70 000 some codes of three bytes
+    numbers = rng.permutation(np.concatenate([np.repeat(np.arange(rare), 2), np.repeat(np.arange(rare, rare + 5 * (rare > 0)), 1)]))
+    words = [f"é{i * 7919 % 70_001}" for i in range(rare + 5 * (rare > 0))]
+    spelling = "".join(w + " " for w in words).encode()
+    told, letters = perplexity.unpacked_words(*perplexity.packed_words(numbers, spelling))
+    again = letters.decode().split(" ")[:-1]
+    assert sorted(again) == sorted(words)
+    assert [again[i] for i in told] == [words[i] for i in numbers]
+
+
+def test_documents_take_little_room_on_their_way_to_the_ngrams(spark):
+    rng = np.random.default_rng(7)
+    # words as uneven as those of a language, most of them used once
+    texts = [" ".join(f"w{x * 2654435761 % 2**32:x}" for x in rng.zipf(1.2, 400) % 10**9) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
+    rows = perplexity.packed(docs).where("words IS NOT NULL OR spelling IS NOT NULL").select("words", "spelling").collect()
+    room = sum(len(r.words or b"") + len(r.spelling or b"") for r in rows)
+    assert room < 0.25 * sum(map(len, texts))
+
+
 def test_block_automaton_walks_what_tables_say():
     rng = np.random.default_rng(2)
     texts = [rng.choice(np.frombuffer(b"abc d", np.uint8), n).tobytes() for n in (0, 1, 3, 900, 40, 5000)]
