@@ -88,13 +88,14 @@ def score_rows(
     )
     base = with_segment(with_model(base, models))
     held = set(stats.columns)
-    side = stats.select(
+    # written first, so that its size is known before the listings are shuffled for it: a row per segment is mostly broadcast
+    side = materialize(stats.select(
         F.col("segment_key").alias("__key"),
         *[
             (F.col(c) if c in held else F.lit(None)).cast(k).alias(f"__{c}")
             for c, k in _STAT_COLUMNS.items()
         ],
-    )
+    ))
     c = F.col
     joined = base.join(side, c("segment_key") == c("__key"), "left")
     # without a rent level of their own, rental figures share the segment's level

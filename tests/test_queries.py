@@ -52,3 +52,8 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
+
+
+def test_scores_meet_statistics_of_known_size(spark):
+    plan = driver.queries()["K3_score_rows_without_model"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Aggregate" not in plan
