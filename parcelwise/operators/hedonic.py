@@ -6,9 +6,10 @@ median absolute residual, at most 50 rounds, until the deviance settles within 1
 One solver serves every group. A group's rows lie in blocks of about ``BLOCK_ROWS``; a weighted block is reduced to
 the triangular factor of a QR decomposition, factors merge in a tree, and the last one gives the least squares
 solution of smallest norm. The factor has the singular values of the whole design, so precision and rank do not
-suffer from squaring, and collinear columns share their effect alike whatever a group's size. A group of one block
-goes through its rounds in the task that holds the block; for all others a round is one pass for the factors and two
-for the median absolute residual, and no group is ever gathered.
+suffer from squaring, and collinear columns share their effect alike whatever a group's size. Listings that are alike in
+every feature share one row of the design and are dealt to one block, so that a large group keeps little more than its
+targets. A group of one block goes through its rounds in the task that holds the block; for all others a round is one
+pass for the factors and mostly one for the median absolute residual, and no group is ever gathered.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,11 +126,22 @@ def huber_weight(resid: np.ndarray, scale: float) -> tuple[np.ndarray, float]:
     return np.where(z <= HUBER_T, 1.0, HUBER_T / np.maximum(z, HUBER_T)), float(loss)
 
 
-def huber_fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shared_factor(x: np.ndarray, y: np.ndarray, runs: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """:func:`factor` where each row of ``x`` stands for the next ``runs`` targets.
+
+    Equal rows of a design add up to one of their summed weight at their mean target; what the targets differ from that mean is
+    orthogonal to the design and would change the last diagonal value only.
+    """
+    starts = np.concatenate([[0], np.cumsum(runs)[:-1]]).astype(int)
+    total = runs.astype(float) if weight is None else np.add.reduceat(weight, starts)
+    return factor(x, np.add.reduceat(y if weight is None else y * weight, starts) / total, total)
+
+
+def huber_fit(x: np.ndarray, y: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients and residuals of one block: the rounds of ``_fit_in_rounds`` without an exchange."""
-    beta, before = least_squares(factor(x, y)), np.inf
+    beta, before = least_squares(shared_factor(x, y, runs)), np.inf
     for turn in range(MAX_ROUNDS):
-        resid = y - x @ beta
+        resid = y - np.repeat(x @ beta, runs)
         scale = np.median(np.abs(resid)) / MAD_TO_SIGMA
         if scale == 0.0 or turn == MAX_ROUNDS - 1:
             break
@@ -137,23 +150,43 @@ def huber_fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if abs(loss - before) <= TOLERANCE:
                 break
             before = loss
-        beta = least_squares(factor(x, y, weight))
+        beta = least_squares(shared_factor(x, y, runs, weight))
     return beta, resid
 
 
 _PLAIN = 1 + len(CONTINUOUS) + len(BINARY)
 
 
-def _one_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A block of a group; with its coefficients and residual deviation where it is the group's only one."""
-    gid, parts, widths = pdf["gid"].iloc[0], pdf["parts"].iloc[0], pdf["widths"].iloc[0]
-    block = pdf.drop(columns=["gid", "parts", "part", "widths"]).to_numpy(float).tobytes()
+FITTED = "gid long, widths array<int>, block binary, runs binary, targets binary, beta array<double>, residual_stddev double"
+
+
+def _shared_rows(key: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order that brings equal rows of ``data`` together, how many follow each other); equal rows have equal keys."""
+    order = np.argsort(key, kind="stable")
+    sorted_ = data[order]
+    new = np.ones(len(data), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (sorted_[1:] != sorted_[:-1]).any(axis=1)
+    return order, np.diff(np.append(np.flatnonzero(new), len(data)))
+
+
+def _one_block(table: pa.Table) -> pa.Table:
+    """A block of a group, a design row for all targets that share it; with its coefficients and residual deviation where it
+    is the group's only one."""
+    gid, parts, widths = table["gid"][0].as_py(), table["parts"][0].as_py(), table["widths"][0].as_py()
+    column = lambda c: table[c].to_numpy()
+    names = [*CONTINUOUS, *BINARY, *[f"c_{f}" for f in CATEGORICAL]]
+    data = np.column_stack([np.zeros(len(table)), *[column(c) for c in names]])
+    order, runs = _shared_rows(column("alike"), data)
+    y = column("y")[order]
+    block = data[order[np.cumsum(runs) - runs]].tobytes()
     if parts > 1:
-        row = (gid, block, None, None)
+        row = (gid, widths, block, runs.tobytes(), y.tobytes(), None, None)
     else:
-        beta, resid = huber_fit(*_unpack(block, widths))
-        row = (gid, None, beta.tolist(), float(np.std(resid)))
-    return pd.DataFrame([row], columns=["gid", "block", "beta", "residual_stddev"])
+        beta, resid = huber_fit(_unpack(block, widths)[0], y, runs)
+        row = (gid, None, None, None, None, beta.tolist(), float(np.std(resid)))
+    kinds = [pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.float64()]
+    names = ["gid", "widths", "block", "runs", "targets", "beta", "residual_stddev"]
+    return pa.table([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
 
 
 def _unpack(block: bytes, widths: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,6 +198,14 @@ def _unpack(block: bytes, widths: Sequence[int]) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(parts, axis=1), data[:, 0]
 
 
+def _read(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(design matrix, targets, how many of them share each design row); a block without runs holds a row per target."""
+    x, y = _unpack(r.block, r.widths)
+    if getattr(r, "runs", None) is None:
+        return x, y, np.ones(len(y), int)
+    return x, np.frombuffer(r.targets), np.frombuffer(r.runs, np.int64)
+
+
 FACTORS = "gid long, part int, widths array<int>, factor binary, loss double"
 #: Low bits of a residual that its bin drops: a bin is 0.05 % wide.
 _BIN_BITS = 41
@@ -177,11 +218,14 @@ class _State:
     beta: np.ndarray | None = None
     scale: float = 0.0
     before: float | None = None
+    #: bin of the last median, and how far the bins are from it in which the next one is looked for first
+    bin: int | None = None
+    reach: int | None = None
 
 
 def _away(r, state: dict[int, _State]) -> np.ndarray:
-    x, y = _unpack(r.block, r.widths)
-    return y - x @ state[r.gid].beta
+    x, y, runs = _read(r)
+    return y - np.repeat(x @ state[r.gid].beta, runs)
 
 
 def _factors(state: Broadcast):
@@ -194,9 +238,11 @@ def _factors(state: Broadcast):
                 at = state.value.get(r.gid)
                 if at is None:
                     continue
-                x, y = _unpack(r.block, r.widths)
-                w, loss = (None, 0.0) if at.beta is None else huber_weight(y - x @ at.beta, at.scale)
-                new = factor(x, y, w)
+                x, y, runs = _read(r)
+                if not len(y):
+                    continue
+                w, loss = (None, 0.0) if at.beta is None else huber_weight(y - np.repeat(x @ at.beta, runs), at.scale)
+                new = shared_factor(x, y, runs, w)
                 if r.gid in held:
                     new, loss = merged([held[r.gid][1], new]), held[r.gid][2] + loss
                 held[r.gid] = r.widths, new, loss
@@ -223,8 +269,13 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(pdf["gid"].iloc[0], least_squares(f).tolist(), loss)], columns=["gid", "next", "loss"])
 
 
+#: Keys of the rows below a group's bins and of those above.
+_BELOW, _ABOVE = -1, -2
+
+
 def _counted(state: Broadcast, bins: dict[int, tuple[int, int]] | None):
-    """(gid, key, n): absolute residuals counted by bin, or by value (its bits) inside the groups' ``bins``."""
+    """(gid, key, n): absolute residuals counted by bin, or by value (its bits) inside the groups' ``bins``; what lies
+    outside them is counted as a whole."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -236,7 +287,8 @@ def _counted(state: Broadcast, bins: dict[int, tuple[int, int]] | None):
                 own = bits >> _BIN_BITS
                 if bins is not None:
                     low, high = bins[r.gid]
-                    own = bits[(own >= low) & (own <= high)]
+                    below, above = own < low, own > high
+                    own = np.concatenate([bits[~(below | above)], np.full(below.sum(), _BELOW), np.full(above.sum(), _ABOVE)])
                 key, n = np.unique(own, return_counts=True)
                 yield pd.DataFrame({"gid": r.gid, "key": key, "n": n})
 
@@ -247,26 +299,46 @@ def _at_rank(keys: np.ndarray, n: np.ndarray, rank: int) -> int:
     return int(keys[np.searchsorted(np.cumsum(n), rank, side="right")])
 
 
+def _bin(value: float) -> int:
+    return int(np.float64(value).view(np.int64)) >> _BIN_BITS
+
+
 def _medians(blocks: DataFrame, state: Broadcast) -> dict[int, float]:
-    """The exact median absolute residual of every group of the state: first the bins of the middle rows, then the
-    values there. What comes to the driver is a row per bin, then the two bins' values, a two-thousandth or so of a group."""
-
-    def counts(bins: dict[int, tuple[int, int]] | None) -> dict[int, pd.DataFrame]:
-        seen = blocks.mapInPandas(_counted(state, bins), "gid long, key long, n long").groupBy("gid", "key").agg(F.sum("n").alias("n"))
-        return {gid: g.sort_values("key") for gid, g in seen.toPandas().groupby("gid")}
-
-    coarse, bins, ranks = counts(None), {}, {}
-    for gid, g in coarse.items():
-        keys, n = g["key"].to_numpy(), g["n"].to_numpy()
-        middle = ((n.sum() - 1) // 2, n.sum() // 2)
-        bins[gid] = tuple(_at_rank(keys, n, r) for r in middle)
-        below = int(n[keys < bins[gid][0]].sum())
-        ranks[gid] = [int(r) - below for r in middle]
-    out = {}
-    for gid, g in counts(bins).items():
-        keys, n = g["key"].to_numpy(), g["n"].to_numpy()
-        # between the two bins of a gap there are no values
-        out[gid] = float(np.mean(np.array([_at_rank(keys, n, r) for r in ranks[gid]]).view(np.float64)))
+    """The exact median absolute residual of every group of the state. Where the one before tells about where it is, the values of
+    a few bins are counted at once; else first all bins, then the values of the middle ones. What comes to the driver is a row
+    per bin and the values of a few of them, a thousandth or so of a group."""
+    spark = blocks.sparkSession
+
+    def counts(of: Broadcast, bins: dict[int, tuple[int, int]] | None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        seen = blocks.mapInPandas(_counted(of, bins), "gid long, key long, n long").groupBy("gid", "key").agg(F.sum("n").alias("n"))
+        return {gid: tuple(g.sort_values("key")[c].to_numpy() for c in ("key", "n")) for gid, g in seen.toPandas().groupby("gid")}
+
+    def found(bins: dict[int, tuple[int, int]], of: Broadcast) -> dict[int, float]:
+        """The medians that lie in the bins."""
+        out = {}
+        for gid, (keys, n) in counts(of, bins).items():
+            inside, below = keys >= 0, int(n[keys == _BELOW].sum())
+            ranks = [int(r) - below for r in ((n.sum() - 1) // 2, n.sum() // 2)]
+            if ranks[0] >= 0 and ranks[1] < n[inside].sum():
+                # between the two bins of a gap there are no values
+                middle = np.array([_at_rank(keys[inside], n[inside], r) for r in ranks])
+                out[gid] = float(np.mean(middle.view(np.float64)))
+        return out
+
+    near = {gid: (at.bin - at.reach, at.bin + at.reach) for gid, at in state.value.items() if at.reach is not None}
+    if near:
+        some = spark.sparkContext.broadcast({gid: state.value[gid] for gid in near})
+        out = found(near, some)
+        some.unpersist()
+    else:
+        out = {}
+    rest = {gid: at for gid, at in state.value.items() if gid not in out}
+    if rest:
+        left, bins = spark.sparkContext.broadcast(rest), {}
+        for gid, (keys, n) in counts(left, None).items():
+            bins[gid] = tuple(_at_rank(keys, n, r) for r in ((n.sum() - 1) // 2, n.sum() // 2))
+        out |= found(bins, left)
+        left.unpersist()
     return out
 
 
@@ -292,12 +364,13 @@ def _fit_in_rounds(blocks: DataFrame) -> DataFrame:
     spark = blocks.sparkSession
     state = {r.gid: _State() for r in blocks.select("gid").distinct().collect()}
     settled: dict[int, _State] = {}
+    many = blocks.rdd.getNumPartitions() > 32
     for turn in range(MAX_ROUNDS + 1):
         now = spark.sparkContext.broadcast(state)
-        solved = (
-            blocks.mapInPandas(_factors(now), FACTORS).groupBy("gid", "part").applyInPandas(_merge_parts, FACTORS)
-            .groupBy("gid").applyInPandas(_solve, "gid long, next array<double>, loss double").collect()
-        )
+        factors = blocks.mapInPandas(_factors(now), FACTORS)
+        if many:
+            factors = factors.groupBy("gid", "part").applyInPandas(_merge_parts, FACTORS)
+        solved = factors.groupBy("gid").applyInPandas(_solve, "gid long, next array<double>, loss double").collect()
         going = {}
         for r in solved:
             at = state[r.gid]
@@ -305,13 +378,15 @@ def _fit_in_rounds(blocks: DataFrame) -> DataFrame:
             if turn == MAX_ROUNDS or (at.before is not None and abs(r.loss - at.before) <= TOLERANCE):
                 settled[r.gid] = at
             else:
-                going[r.gid] = _State(np.asarray(r.next), before=r.loss if turn > 1 else None)
+                going[r.gid] = _State(np.asarray(r.next), before=r.loss if turn > 1 else None, bin=at.bin, reach=at.reach)
         now.unpersist()
         if not going:
             break
         now = spark.sparkContext.broadcast(going)
         for gid, middle in _medians(blocks, now).items():
-            going[gid].scale = middle / MAD_TO_SIGMA
+            at, own = going[gid], _bin(middle)
+            moved = None if at.bin is None else abs(own - at.bin)
+            at.scale, at.bin, at.reach = middle / MAD_TO_SIGMA, own, None if moved is None or moved > 3 else 1 + moved
         now.unpersist()
         settled |= {gid: at for gid, at in going.items() if at.scale == 0}
         state = {gid: at for gid, at in going.items() if at.scale > 0}
@@ -348,16 +423,20 @@ def fit_models(listings: DataFrame, min_rows: int = MIN_FIT_ROWS, block_rows: in
         F.coalesce(F.array_position(F.col(f"__{f}"), F.col(f)), F.lit(0)).cast("double").alias(f"c_{f}")
         for f in CATEGORICAL
     ]
-    coded = rows.join(named, GROUP).select(
-        "gid", "parts", F.pmod("row", "parts").alias("part"), "widths", "y", *CONTINUOUS, *BINARY, *codes
-    )
-    fitted = materialize(
-        coded.groupBy("gid", "part").applyInPandas(_one_block, "gid long, block binary, beta array<double>, residual_stddev double")
+    names = [*CONTINUOUS, *BINARY, *[f"c_{f}" for f in CATEGORICAL]]
+    coded = rows.join(named, GROUP).select("gid", "parts", "widths", "row", "y", *CONTINUOUS, *BINARY, *codes).withColumn(
+        "alike", F.xxhash64(*names)
     )
-    done = fitted.where("block IS NULL").drop("block")
-    open_ = named.where("parts > 1").select("gid", "widths")
-    if not open_.isEmpty():
-        blocks = fitted.where("block IS NOT NULL").join(F.broadcast(open_), "gid").select("gid", "widths", "block")
+    # what is alike meets in one block, unless it is so much that it is dealt out by row
+    large = coded.where("parts > 1").groupBy("gid", "alike").agg(F.count(F.lit(1)).alias("n"))
+    frequent = materialize(large.where(F.col("n") > block_rows / 4).select("gid", "alike", F.lit(True).alias("frequent")))
+    coded = coded.join(F.broadcast(frequent), ["gid", "alike"], "left")
+    dealt = F.when(F.col("frequent"), F.col("row")).otherwise(F.col("alike"))
+    coded = coded.select("gid", "parts", F.pmod(dealt, "parts").alias("part"), "widths", "alike", "y", *names)
+    fitted = materialize(coded.groupBy("gid", "part").applyInArrow(_one_block, FITTED))
+    done = fitted.where("block IS NULL").select("gid", "beta", "residual_stddev")
+    blocks = fitted.where("block IS NOT NULL").select("gid", "widths", "block", "runs", "targets")
+    if not blocks.select("gid").isEmpty():
         done = done.unionByName(_fit_in_rounds(blocks))
     labels = F.concat(
         F.array(*[F.lit(c) for c in CONTINUOUS + BINARY]),

@@ -431,3 +431,17 @@ def test_listings_are_not_shuffled_by_the_few_keys_of_their_models(spark):
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert scored.count() == 60
+
+
+def test_alike_listings_share_a_design_row_and_no_block_holds_all_of_a_frequent_one(spark, monkeypatch):
+    seen, keep = [], hedonic._fit_in_rounds
+    monkeypatch.setattr(hedonic, "_fit_in_rounds", lambda blocks: (seen.append(blocks.collect()), keep(blocks))[1])
+    df = hedonic_rows(spark, 600, 5, outliers=20).withColumn("size_m2", F.floor(F.col("size_m2") / 20) * 20 + 10)
+    one, many = (hedonic.fit_models(df, block_rows=n).head() for n in (10_000, 150))
+    assert many.coefficients == pytest.approx(one.coefficients, abs=1e-6) and many.residual_stddev == pytest.approx(one.residual_stddev, rel=1e-6)
+    held = sum(len(r.block) for r in seen[0]) // (8 * (hedonic._PLAIN + len(hedonic.CATEGORICAL)))
+    assert held == hedonic.design(df).drop("y").distinct().count() < 100 and sum(len(r.targets) for r in seen[0]) == 600 * 8
+    monkeypatch.setattr(hedonic, "MAX_ROUNDS", 1)
+    same = df.withColumns({"size_m2": F.lit(50.0), "floor_current": F.lit(1), "building_type": F.lit("panel")})
+    hedonic.fit_models(same, block_rows=150)
+    assert max(len(r.targets) for r in seen[1]) < 300 * 8
