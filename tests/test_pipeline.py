@@ -445,3 +445,14 @@ def test_alike_listings_share_a_design_row_and_no_block_holds_all_of_a_frequent_
     same = df.withColumns({"size_m2": F.lit(50.0), "floor_current": F.lit(1), "building_type": F.lit("panel")})
     hedonic.fit_models(same, block_rows=150)
     assert max(len(r.targets) for r in seen[1]) < 300 * 8
+
+
+def test_watch_lists_are_not_broadcast(spark):
+    w = spark.range(2000).selectExpr(
+        "id AS watchlist_id", *[f"CAST(NULL AS string) AS {c}" for c in market.EQUAL], *[f"CAST(NULL AS double) AS {c}" for c in ("min_price", "max_price", "min_size", "max_size")]
+    )
+    l = spark.range(30).selectExpr("id AS listing_id", *[f"'x' AS {c}" for c in market.EQUAL], "1e6 AS price", "50D AS size_m2")
+    hits = market.watchlist_hits(w, l)
+    count = hits.count()
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert count == 2000 * 30 and "SortMergeJoin" in plan and "Broadcast" not in plan
