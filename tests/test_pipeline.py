@@ -456,3 +456,15 @@ def test_watch_lists_are_not_broadcast(spark):
     count = hits.count()
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert count == 2000 * 30 and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_stream_does_not_write_its_documents_again(spark, tmp_path, monkeypatch):
+    from parcelwise import session
+    from parcelwise.streaming import ingest as st
+
+    wide, held, keep = [], set(session._written), st.materialize
+    monkeypatch.setattr(st, "materialize", lambda df: (wide.append("payload" in df.columns), keep(df))[1])
+    docs = listing_docs(spark, 1, [1, 2]).withColumnRenamed("canonical_url", "url").withColumn("content_type", F.lit("application/json"))
+    docs.drop("content_hash").write.parquet(f"{tmp_path}/in")
+    table = st.run_incremental(spark, f"{tmp_path}/in", f"{tmp_path}/table", f"{tmp_path}/checkpoint", buckets=2)
+    assert table.count() == 2 and not any(wide) and wide and set(session._written) == held
